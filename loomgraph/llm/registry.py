@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash_dedup, substring_dedup
+from . import bpe, minhash_dedup, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_query,
         "op4_bpe_encode_decode": bpe.op4_query,
         "op9_minhash_near_dedup": minhash_dedup.op9_query,
         "op6_substring_dedup": substring_dedup.op6_query,
