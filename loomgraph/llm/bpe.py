@@ -232,7 +232,7 @@ class Bpe:
         met = {c for pieces in split for _, chunks in pieces for c in chunks}
         if len(self.cache) + len(met) > CACHE:
             self.cache.clear()
-        self.learn(met - self.cache.keys())
+        self.learn({c for c in met if c not in self.cache})
         get = self.cache.__getitem__
         return [b"".join([x for special, chunks in pieces for x in (special, *map(get, chunks))]) for pieces in split]
 

@@ -1,9 +1,9 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows.
 
-The lexicon is learned from labelled documents: terms (whole words, or stems of 4 to 6 letters that stand for every word
+The lexicon is learned from labelled documents: terms (whole words, or stems of 4 to 8 letters that stand for every word
 they begin) that tell toxic documents from others, chosen one after another until each toxic document is covered a few
 times, so that words of one group of copies do not enter. A word meets the lexicon exactly, or through its Levenshtein
-automaton run along the lexicon's trie (distance 1 from 5 letters on, 2 from 9 on). Each hit is weighed by its context
+automaton run along the lexicon's trie (distance 1 from 5 letters on, 2 from 12 on). Each hit is weighed by its context
 window: hits inside quotation marks count apart from hits outside. A logistic model of these counts gives the score.
 
 Everything is learned from at most `max_train` labelled documents (a documented bound; they are those with the least
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .words import slices
 
 WORD = re.compile(r"[^\W_]+")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 OPEN, CLOSE = "\"“„«‹", "\"”“»›"
 CACHE = 400_000
 
@@ -96,14 +96,14 @@ class Matcher:
 
     def __init__(self, model: Model):
         self.words, self.stems = model.words, model.stems
-        self.trie = Trie([w for w in (*model.words, *model.stems) if len(w) >= 5])
-        self.longest = max([len(w) for w in (*model.words, *model.stems)], default=0)
+        long = [w for w in (*model.words, *model.stems) if len(w) >= 5]
+        self.tries = {n: Trie([w for w in long if abs(len(w) - n) <= (2 if n >= 12 else 1)]) for n in range(5, max(map(len, long), default=0) + 3)}
         self.cache: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
         if word in self.words or any(word[:n] in self.stems for n in STEMS if len(word) >= n):
             return 1
-        if 5 <= len(word) <= self.longest + 1 and self.trie.near(word, 1 if len(word) < 9 else 2):
+        if (trie := self.tries.get(len(word))) and trie.near(word, 2 if len(word) >= 12 else 1):
             return 2
         return 0
 
@@ -113,10 +113,10 @@ class Matcher:
         found = WORD.findall(low)
         cache = self.cache
         met = set(found)
-        if new := met - cache.keys():
+        if new := [x for x in met if x not in cache]:
             if len(cache) > CACHE:
                 cache.clear()
-                new = met
+                new = list(met)
             for word in new:
                 cache[word] = self.kind(word)
         kinds = {w: k for w in met if (k := cache[w])}
@@ -230,7 +230,8 @@ def _cover(terms: list[str], rows: list[tuple[int, list[int]]], n1: int, fade: f
             break
         out.append(terms[t])
         weight[places[t]] *= fade
-        left = {u for u in left if gain[u][0] >= least and u != t}
+        root = terms[t].rstrip("*")
+        left = {u for u in left if gain[u][0] >= least and not root.startswith(r := terms[u].rstrip("*")) and not r.startswith(root)}
     return out
 
 
@@ -242,6 +243,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
         w += step
+        w[:-1] = np.maximum(w[:-1], 0)  # a hit never speaks for a clean text
         if abs(step).max() < 1e-8:
             break
     return w
