@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash_dedup, substring_dedup, toxicity
+from . import bpe, decontamination, licenses, minhash_dedup, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_query,
+        "op2_benchmark_decontamination": decontamination.op2_query,
         "op4_bpe_encode_decode": bpe.op4_query,
+        "op10_license_scan": licenses.op10_query,
         "op9_minhash_near_dedup": minhash_dedup.op9_query,
         "op6_substring_dedup": substring_dedup.op6_query,
     }
