@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, licenses, minhash_dedup, substring_dedup, toxicity
+from . import bpe, decontamination, exact_topk, licenses, minhash_dedup, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_query,
         "op2_benchmark_decontamination": decontamination.op2_query,
+        "op3_exact_topk": exact_topk.op3_query,
         "op4_bpe_encode_decode": bpe.op4_query,
         "op10_license_scan": licenses.op10_query,
         "op9_minhash_near_dedup": minhash_dedup.op9_query,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_topk": exact_topk.OP3_SQL}
