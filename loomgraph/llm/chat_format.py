@@ -37,6 +37,8 @@ def _own_lines(text: Column) -> Column:
 def _links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, n_linked of the messages that quote earlier ones."""
     quoting = messages.where(F.col("text").rlike(r"(?m)" + MARKS)).select("conv_id", "turn", F.xxhash64("role", "text").alias("own"), "text").where("conv_id is not null and turn is not null").distinct()
+    if quoting.isEmpty():
+        return quoting.select("conv_id", "turn", F.col("turn").alias("reply_to"), F.lit(0).cast("long").alias("n_linked"))
     lines = quoting.select("conv_id", "turn", "own", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.withColumn("level", F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 1), "[^>]", ""))).where("level > 0")
     run = Window.partitionBy("conv_id", "turn", "own", "level").orderBy("at")
@@ -45,19 +47,13 @@ def _links(messages: DataFrame) -> DataFrame:
     passages = lines.groupBy("conv_id", "turn", "own", "level", "run").agg(_normal(passage).alias("passage")).where("passage != ''").select("conv_id", "turn", "level", F.xxhash64("passage").alias("hash"))
     body = F.array_join(_own_lines(F.col("text")), "\n")
     parts = F.concat(F.array(body), F.split(body, r"\n\s*\n"), F.split(body, "\n"))
-    offers = messages.join(F.broadcast(_some(quoting)), F.lit(True), "left_semi").where("conv_id is not null and turn is not null")
-    offers = offers.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, lambda x: F.xxhash64(_normal(x))))).alias("hash"))
+    offers = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, lambda x: F.xxhash64(_normal(x))))).alias("hash"))
     offers = stored(offers.groupBy("conv_id", "hash").agg(F.min("turn").alias("source")))
     linked = stored(passages).join(offers, ["conv_id", "hash"]).where("source < turn")
     outer = F.min(F.struct("level", (-F.col("source")).alias("s")))
     return linked.groupBy("conv_id", "turn").agg(outer.alias("o"), F.count(F.lit(1)).alias("n_linked")).select("conv_id", "turn", (-F.col("o.s")).alias("reply_to"), "n_linked")
 
 
-def _some(df: DataFrame) -> DataFrame:
-    """One row if df has any: without quotes, nothing is offered."""
-    return df.select(F.lit(1).alias("some")).limit(1)
-
-
 def threads(links: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, n_linked, thread_root, depth, by pointer doubling; rounds grow as the depth's logarithm."""
     now = stored(links.withColumn("thread_root", F.col("reply_to")).withColumn("depth", F.lit(1).cast("long")).withColumn("open", F.lit(True)))

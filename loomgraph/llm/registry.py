@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontamination, exact_topk, licenses, minhash_dedup, substring_dedup, token_counts, toxicity
+from . import bpe, chat_format, decontamination, exact_topk, licenses, minhash_dedup, substring_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe_encode_decode": bpe.op4_query,
         "op10_license_scan": licenses.op10_query,
         "op5_chat_format": chat_format.op5_query,
+        "op7_warc_revisits": warc.op7_query,
         "op8_token_counts": token_counts.op8_query,
         "op9_minhash_near_dedup": minhash_dedup.op9_query,
         "op6_substring_dedup": substring_dedup.op6_query,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": exact_topk.OP3_SQL}
+    return {"op3_exact_topk": exact_topk.OP3_SQL, "op7_warc_revisits": warc.OP7_SQL}
