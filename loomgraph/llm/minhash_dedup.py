@@ -6,12 +6,13 @@ the concentration of k independent minima. Bands of `rows` coordinates make the
 
 1. One scan gives each row its set of word shingles as a size, a 128-bit key and `bands` band values. Rows with equal
    sets make one class, whatever their number.
-2. Classes that share a band value are candidates. Nothing lists all pairs of a group: in each bucket every class is
-   held against one pivot, so a round makes at most a pair for each class and bucket. Pairs are confirmed by the exact
-   intersection of the full sets.
-3. Confirmed links join into components. Buckets whose classes lie in one component are done. The others get further
-   pivots; after `rounds` of them, all pairs left between different components of a bucket, whose sizes allow the
-   threshold, are confirmed too. So a pair that shares a bucket is either linked in effect or has been looked at.
+2. Classes that share a band value are candidates. In each bucket every class is first held against one pivot, which
+   makes at most a pair for each class and bucket; pairs are confirmed by the exact intersection of the full sets.
+3. Confirmed links join into components. Buckets whose classes lie in one component are done. The classes of the others
+   are gathered in clusters (components of sharing a bucket), and a cluster is dealt into blocks of about BLOCK_ROWS
+   classes or BLOCK_SHINGLES shingles. Two blocks meet in a cell, which counts all intersections of its classes by
+   matrix products and returns only the links that join different components. So every pair that shares a bucket is
+   either linked in effect or confirmed not to be a link, and no task or table holds the pairs of a group.
 
 A pair at the threshold misses every bucket with probability (1 - threshold^rows)^bands, 1e-6 with the defaults.
 
@@ -35,6 +36,7 @@ from .components import components
 from .tables import stored
 
 U = np.uint64
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,41 +126,83 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _intersections(values: np.ndarray, first: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets; only values of two sets or more are looked at."""
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.append(True, values[1:] != values[:-1])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    out = np.zeros((n, n), np.float32)
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, (low, low + width))
+        part = np.zeros((n, width), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _cell_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a cell that join components, one for each two components that they join."""
+    lists = table["shingles"].combine_chunks()
+    values, first = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    size, keys, label = np.diff(first), table["set_key"].to_numpy(), table["component"].to_numpy()
+    values, first = values[first[0] : first[-1]], first - first[0]
+    common = _intersections(values, first).astype(np.int64)
+    linked = 100 * common >= percent * (size[:, None] + size[None] - common)
+    linked &= label[:, None] != label[None]
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in above:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        a, b = root(int(label[i])), root(int(label[j]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((int(keys[i]), int(keys[j])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _cluster_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of the clusters of mixed (bucket, set_key, component, n)."""
+    pivots = stored(mixed.groupBy("bucket").agg(F.min("set_key").alias("pivot")))
+    cluster = components(mixed.join(pivots, "bucket").select("pivot", "set_key"), "pivot", "set_key").select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
+    members = stored(mixed.select("set_key", "component", "n").distinct().join(stored(cluster), "set_key"))
+    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = members.join(stored(size), "cluster").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
+    dealt = dealt.join(sets, "set_key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_key", "component", "shingles")
+    return cells.groupBy("cluster", "i", "j").applyInArrow(lambda table: _cell_links(table, percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach), kept (doc_id = component_id) of every row."""
     signed = stored(signatures(docs, shingle, bands, rows, id_col, text_col))
     classes = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("band").alias("band")))
     cells = classes.select("set_key", "n", F.posexplode("band").alias("i", "value")).select("set_key", "n", F.xxhash64("i", "value").alias("bucket"))
     shared = stored(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("set_key").alias("pivot")).where("size > 1"))
-    cells = stored(cells.join(shared.select("bucket"), "bucket"))
-    tried = stored(cells.join(shared, "bucket").where("set_key != pivot").select(F.col("pivot").alias("a"), F.col("set_key").alias("b")).distinct())
+    cells = stored(cells.join(shared, "bucket"))
+    tried = stored(cells.where("set_key != pivot").select(F.col("pivot").alias("a"), F.col("set_key").alias("b")).distinct())
     wanted = cells.select("set_key").distinct().join(classes.select("set_key", "doc_id"), "set_key")
     sets = stored(_sets(docs, wanted, shingle, id_col, text_col))
     links = stored(_confirmed(tried, sets, percent))
     joined = stored(components(links))
-    for turn in range(rounds + 1):
-        placed = cells.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-        order = F.xxhash64("set_key", F.lit(turn))
-        mixed = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(order.alias("o"), "set_key", "component", "n")).alias("p")).where("low < high"))
-        cells = stored(placed.join(mixed.select("bucket"), "bucket").select("set_key", "n", "component", "bucket"))
-        if cells.isEmpty():
-            break
-        if turn < rounds:
-            rest = cells.join(mixed.select("bucket", F.col("p.set_key").alias("a"), F.col("p.component").alias("pc"), F.col("p.n").alias("pn")), "bucket").where("component != pc")
-            pairs = rest.select("a", F.col("set_key").alias("b"), F.col("n").alias("bn"), F.col("pn").alias("an"))
-        else:
-            one = cells.select("bucket", F.col("set_key").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-            two = cells.select("bucket", F.col("set_key").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-            pairs = one.join(two, "bucket").where("ac < bc")
-        fits = F.lit(100) * F.least("an", "bn") >= F.lit(percent) * F.greatest("an", "bn")
-        pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = stored(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        tried = tried.unionAll(fresh)
-        more = stored(_confirmed(fresh, sets, percent))
-        links = links.unionAll(more)
-        cells = cells.drop("component")
-        if not more.isEmpty():
-            joined = stored(components(links))
+    placed = cells.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").select("bucket", "set_key", "n", F.coalesce("component", "set_key").alias("component"))
+    placed = stored(placed)
+    split = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
+    mixed = stored(placed.join(split, "bucket"))
+    if not mixed.isEmpty():
+        links = links.unionAll(stored(_cluster_links(mixed, sets, percent)))
+        joined = stored(components(links))
     named = classes.select("set_key", F.col("doc_id").alias("first")).join(joined.withColumnRenamed("node", "set_key"), "set_key")
     least = stored(named.groupBy("component").agg(F.min("first").alias("component_id")))
     groups = stored(classes.select("set_key", "doc_id").join(named.select("set_key", "component").join(least, "component").select("set_key", "component_id"), "set_key", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id")))
