@@ -23,7 +23,7 @@ def ppr(seeds: DataFrame, edges: DataFrame, alpha: float = 0.45, tol: float = 1e
     The number of rounds follows from alpha and tol beforehand. stored, if given, cuts the lineage every few rounds."""
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     steps = edges.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("n")).alias("w"))
-    steps = stored(steps) if stored else steps.persist()
+    steps = (stored(steps) if stored else steps).repartition("src").persist()  # the rounds move ranks, not edges
     starts = seeds.select("qid", "node").distinct().join(steps.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
     starts = starts.withColumn("r", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("qid")))
     restart = starts.select("qid", "node", ((1 - alpha) * F.col("r")).alias("r"))
