@@ -103,3 +103,108 @@ def candidate_chunks(chunks: DataFrame, n_entities: DataFrame, least: int = 40)
     joined = chunks.join(n_entities, "chunk_id", "left").na.fill(0, ["n_entities"])
     reason = F.when(F.length("text") < least, "short").when(F.col("n_entities") == 0, "no entities").otherwise("ok")
     return joined.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_chunks"), F.min("n_entities").alias("low"), F.max("n_entities").alias("high"), F.round(F.avg("n_entities"), 9).alias("mean"))
+
+
+def prefilter(size: DataFrame, confidence: DataFrame, min_chunks: int = 2, max_hubs: int = 1, least: float = 0.5) -> DataFrame:
+    """gid, reason of subgraphs (gid, n_chunks, n_hubs) and their relations' best confidences (gid, best): null is kept."""
+    low = confidence.groupBy("gid").agg(F.min("best").alias("low"))
+    reason = F.when(F.col("n_chunks") < min_chunks, "few chunks").when(F.col("n_hubs") > max_hubs, "hubs").when(F.coalesce("low", F.lit(0.0)) < least, "low confidence")
+    return size.join(low, "gid", "left").select("gid", reason.alias("reason"))
+
+
+def sample_themes(relations: DataFrame, assertions: DataFrame, n: int, seed: str, cap: int = 8, by: str = "label") -> DataFrame:
+    """theme, relation_id: relations of themes with three relations and two chunks at least."""
+    met = relations.join(assertions.select("relation_id", "chunk_id"), "relation_id").groupBy(by).agg(F.count_distinct("relation_id").alias("r"), F.count_distinct("chunk_id").alias("c"))
+    chosen = met.where("r >= 3 and c >= 2").select(by).orderBy(draw(seed, by), by).limit(n)
+    own = relations.join(chosen, by, "left_semi").select(F.col(by).alias("theme"), "relation_id").withColumn("_d", draw(seed, "theme", "relation_id"))
+    return top_per(own, cap, "_d", "relation_id", by="theme", rank="_n").select("theme", "relation_id")
+
+
+def chunk_entities(mentions: DataFrame, cap: int = 30) -> DataFrame:
+    """chunk_id, entities: names, distinct without case, in order of appearance (ord), at most cap."""
+    first = top_per(mentions.withColumn("low", F.lower("name")), 1, "ord", "name", by=["chunk_id", "low"], rank="_n")
+    few = top_per(first, cap, "ord", "name", by="chunk_id", rank="_n")
+    return few.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]).alias("entities"))
+
+
+def overlap_edges(lists: DataFrame, name_pairs: DataFrame, least: float = 0.05, drop_share: float = 0.05) -> DataFrame:
+    """src, dst, overlap of chunks (chunk_id, name): matching name pairs (a, b, both directions) over the product of sizes.
+
+    The most frequent names (drop_share of them, one at least) are left out."""
+    names = lists.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    drop = max(1, int(names.count() * drop_share))
+    common = names.orderBy(F.desc("n"), "name").limit(drop).select("name")
+    kept = lists.select("chunk_id", "name").distinct().join(common, "name", "left_anti")
+    sizes = kept.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("size"))
+    left, right = kept.select(F.col("chunk_id").alias("src"), F.col("name").alias("a")), kept.select(F.col("chunk_id").alias("dst"), F.col("name").alias("b"))
+    met = left.join(name_pairs.select("a", "b").distinct(), "a").join(right, "b").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    one, two = sizes.select(F.col("chunk_id").alias("src"), F.col("size").alias("n1")), sizes.select(F.col("chunk_id").alias("dst"), F.col("size").alias("n2"))
+    score = F.round(F.col("m") / (F.col("n1") * F.col("n2")), 9)
+    return met.join(one, "src").join(two, "dst").select("src", "dst", score.alias("overlap")).where(F.col("overlap") >= least)
+
+
+def communities(edges: DataFrame, least: float, rounds: int = 8, stored=lambda df: df) -> DataFrame:
+    """node, community of edges (src, dst, weight) of `least` and more, in communities of two nodes at least.
+
+    Weighted label propagation for a fixed number of rounds; ties go to the smaller label."""
+    one = edges.where(F.col("weight") >= least).select("src", "dst", "weight")
+    both = stored(one.unionAll(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    for _ in range(rounds):
+        votes = both.join(label, both["dst"] == label["node"]).groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
+        own = label.select(F.col("node").alias("src"), "community", F.lit(1e-6).alias("w"))  # a node keeps its label on ties
+        label = stored(votes.unionAll(own).groupBy("src").agg(F.max_by("community", F.struct("w", (-F.col("community")).alias("c"))).alias("community")).withColumnRenamed("src", "node"))
+    size = label.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return label.join(size.select("community"), "community", "left_semi")
+
+
+def expand_gold(gold: DataFrame, near: DataFrame, evidenced: DataFrame, least: float = 0.35, most: int = 20) -> DataFrame:
+    """qid, relation_id, score: candidates (near: qid, relation_id, score) that are evidenced and not gold yet."""
+    fresh = near.where(F.col("score") >= least).join(gold.select("qid", "relation_id"), ["qid", "relation_id"], "left_anti").join(evidenced.select("relation_id"), "relation_id", "left_semi")
+    return top_per(fresh.select("qid", "relation_id", "score"), most, F.desc("score"), "relation_id").select("qid", "rank", "relation_id", "score")
+
+
+def scenario_grid(groups: DataFrame, dims: dict[str, list[str]], per: int, n: int, seed: str) -> DataFrame:
+    """gid and a value of each dimension: `per` combinations for each group, n in all, by hash."""
+    grid = groups.select("gid")
+    for name, values in dims.items():
+        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))  # a few fixed values
+    grid = grid.withColumn("_d", draw(seed, F.col("gid").cast("string"), *dims))
+    few = top_per(grid, per, "_d", *dims, by="gid", rank="_n")
+    return few.orderBy("_d", "gid").limit(n).select("gid", *dims)
+
+
+def flatten_props(df: DataFrame) -> DataFrame:
+    """Structs, arrays and maps as JSON strings; NaN and infinite numbers as null."""
+    out = []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("struct", "array", "map"):
+            out.append(F.to_json(F.col(f.name)).alias(f.name))
+        elif kind in ("double", "float"):
+            out.append(F.when(~F.isnan(f.name) & (F.abs(f.name) != float("inf")), F.col(f.name)).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def coverage(df: DataFrame) -> DataFrame:
+    """property, n_set of each column, in one aggregate."""
+    row = df.agg(*[F.count(c).alias(c) for c in df.columns])
+    return row.unpivot([], df.columns, "property", "n_set")
+
+
+def map_required(qa: DataFrame, relations: DataFrame) -> DataFrame:
+    """qid, relation_id: the relations (qid, pos from 1, relation_id) that tags like R1,R2 name; all where none does."""
+    tags = qa.select("qid", F.explode(F.split(F.coalesce("required", F.lit("")), r"\s*,\s*")).alias("tag")).where(F.col("tag").rlike(r"^R\d+$"))
+    named = relations.join(tags.distinct(), (relations["qid"] == tags["qid"]) & (F.concat(F.lit("R"), F.col("pos")) == F.col("tag")), "left_semi").select("qid", "relation_id")
+    rest = relations.join(named.select("qid").distinct(), "qid", "left_anti").join(qa.select("qid"), "qid", "left_semi").select("qid", "relation_id")
+    return named.unionAll(rest)
+
+
+def match_personas(terms: DataFrame, personas: DataFrame) -> DataFrame:
+    """gid, persona: personas one of whose concepts is one of the group's terms; all personas where none is."""
+    met = terms.select("gid", F.lower("term").alias("t")).join(personas.select("persona", F.lower("concept").alias("t")), "t").select("gid", "persona").distinct()
+    none = terms.select("gid").distinct().join(met.select("gid").distinct(), "gid", "left_anti")
+    every = personas.agg(F.array_sort(F.collect_set("persona")).alias("p"))  # a short list of personas, by design
+    return met.unionAll(none.join(F.broadcast(every)).select("gid", F.explode("p").alias("persona")))

@@ -588,9 +588,9 @@ def _(g):
     return g.chunks.agg(F.count_distinct(goldset.chunk_group(F.col("chunk_id"))).alias("n_groups"), F.count(F.lit(1)).alias("n_chunks"))
 
 
-@query("k13_similarity_edges", "SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.7", tables=False)
+@query("k13_similarity_edges", "SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.4", tables=False)
 def _(g):
-    return goldset.similarity_edges(g.table("embeddings"), 0.7)
+    return goldset.similarity_edges(g.table("embeddings"), 0.4)
 
 
 @query("k23_candidate_chunks", "SELECT reason, count(*) AS n_chunks, min(n) AS low, max(n) AS high, round(avg(n), 9) AS mean FROM (SELECT chunk_id, n, CASE WHEN length(text) < 40 THEN 'short' WHEN n = 0 THEN 'no entities' ELSE 'ok' END AS reason FROM (SELECT c.chunk_id, c.text, count(DISTINCT m.entity_key) AS n FROM chunks c LEFT JOIN mentions m ON m.chunk_id = c.chunk_id AND c.strength > 2 GROUP BY 1, 2)) GROUP BY 1")
