@@ -63,7 +63,8 @@ def phrase_match(docs: DataFrame, phrase: list[str], slop: int = 3, key: str = "
     at = lambda word: F.filter(F.transform("t", lambda x, i: F.when(x == word, i)), lambda i: i.isNotNull())
     ends = F.transform(at(phrase[0]), lambda i: F.struct(i.alias("from"), i.alias("to")))
     for word in phrase[1:]:
-        ends = F.filter(F.transform(ends, lambda e, w=word: F.struct(e["from"].alias("from"), F.array_min(F.filter(at(w), lambda j: j > e["to"])).alias("to"))), lambda e: e["to"].isNotNull())
+        places = at(word)
+        ends = F.filter(F.transform(ends, lambda e: F.struct(e["from"].alias("from"), F.array_min(F.filter(places, lambda j: j > e["to"])).alias("to"))), lambda e: e["to"].isNotNull())  # noqa: B023
     return split.where(F.exists(ends, lambda e: e["to"] - e["from"] <= len(phrase) - 1 + slop)).select(key)
 
 

@@ -294,10 +294,10 @@ def _(g):
     return goldset.judge_filter(g.table("labels").select(F.col("doc_id").alias("qid"), (F.col("quality") == 1).alias("accept"), F.lit(5).alias("a"), F.when(F.col("toxic") == 1, 2).otherwise(4).alias("b")), ["a", "b"])
 
 
-@query("k16_combine_edges", "WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), e AS (SELECT * FROM s WHERE similarity >= 0.4), o AS (SELECT vec_id AS src, vec_id + 1 AS dst, 0.5::DOUBLE AS overlap FROM embeddings WHERE vec_id % 3 = 0) SELECT src, dst, similarity, overlap, round(0.7 * coalesce(similarity, 0) + 0.3 * coalesce(overlap, 0), 6) AS combined, concat_ws('+', CASE WHEN similarity IS NOT NULL THEN 'similarity' END, CASE WHEN overlap IS NOT NULL THEN 'overlap' END) AS types FROM e FULL JOIN o USING (src, dst)", tables=False)
+@query("k16_combine_edges", "WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), e AS (SELECT * FROM s WHERE similarity >= 0.4), o AS (SELECT vec_id AS src, vec_id + 1 AS dst, 0.5::DOUBLE AS overlap FROM embeddings WHERE vec_id % 3 = 0) SELECT src, dst, similarity, overlap, round(0.7 * coalesce(similarity, 0) + 0.3 * coalesce(overlap, 0), 9) AS combined, concat_ws('+', CASE WHEN similarity IS NOT NULL THEN 'similarity' END, CASE WHEN overlap IS NOT NULL THEN 'overlap' END) AS types FROM e FULL JOIN o USING (src, dst)", tables=False)
 def _(g):
     over = g.table("embeddings").where("vec_id % 3 = 0").select((F.col("vec_id") + 1).alias("src"), F.col("vec_id").alias("dst"), F.lit(0.5).alias("overlap"))
-    return goldset.combine_edges(goldset.similarity_edges(g.table("embeddings"), 0.4), over).withColumn("combined", F.round("combined", 6))
+    return goldset.combine_edges(goldset.similarity_edges(g.table("embeddings"), 0.4), over).withColumn("combined", F.round("combined", 9))
 
 
 # Streaming
