@@ -34,7 +34,7 @@ from .words import slices
 WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6, 7, 8)
 OPEN, CLOSE = "\"“„«‹", "\"”“»›"
-CACHE = 400_000
+CACHE = 200_000
 
 
 @dataclass
@@ -174,17 +174,17 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_terms
     if not n1 or not n0:
         return Model(bias=float(np.log((n1 + 0.5) / (n0 + 0.5))) if n1 + n0 else 0.0)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [Counter(), Counter()]
-            for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-                both[int(toxic > 0)].update(_terms(text))
-            terms = list(both[1])
-            yield pd.DataFrame({"term": terms, "n1": [both[1][t] for t in terms], "n0": 0})
-            terms = list(both[0])
-            yield pd.DataFrame({"term": terms, "n1": 0, "n0": [both[0][t] for t in terms]})
-
-    counts = train.mapInPandas(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+            for part in slices(batch, "text", 1 << 20):
+                both = [Counter(), Counter()]
+                for toxic, text in zip(part["toxic"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    both[int(toxic > 0)].update(_terms(text))
+                for kind in (0, 1):
+                    n, zero = pa.array(list(both[kind].values()), pa.int64()), pa.array([0] * len(both[kind]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(both[kind]), pa.string()), n if kind else zero, zero if kind else n], names=["term", "n1", "n0"])
+
+    counts = train.mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
     best = counts.where(F.col("n1") >= 3).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("n1") * F.col("odds")), "term").limit(max_terms)
     terms = [r["term"] for r in best.select("term").collect()]
