@@ -26,7 +26,7 @@ from .words import slices
 NO_RANK = np.iinfo(np.int32).max
 WIDTHS = (4, 8, 12, 16, 24, 48)  # of the shared matrices
 ROWS = 1 << 16
-CACHE = 500_000
+CACHE = 250_000
 # Letters and digits of Unicode 16, which the tokenizer knows and unicodedata (15.1) does not yet.
 NEW_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
 NEW_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
