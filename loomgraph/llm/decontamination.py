@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. The document frequency of every n-gram of the items is counted over all documents.
-2. Of each item, the n-grams at or below its median frequency are its seeds. The rule is relative, so an item whose
-   passages stand in very many documents keeps its seeds as well.
-3. A document that holds a seed is aligned with the seed's item around the seeds' places. First the share of the item's
-   words that occur there bounds the score from above; then the local alignment (match 2, change -1, gap -1), divided by
-   that of a full match, must reach `threshold`.
+2. An alignment at the threshold keeps at least `need` of its item's n-grams (see `least_shared`), so it keeps one of
+   those that are left without the item's need - 1 most frequent ones: these are the item's seeds. The n-grams are as
+   long as n allows while need is at least 1 for the shortest item (2 words at 0.6), so no copy is without a seed.
+3. A document that holds a seed and need n-grams of the item is aligned with it around their places. First the share of
+   the item's words that occur there bounds the score from above; then the local alignment (match 2, change -1, gap -1),
+   divided by that of a full match, must reach `threshold`. Every pair that reaches it is found.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z. Items are taken
 in blocks of about `block` (a bound on what tasks and driver hold, for items are short); every block meets all
@@ -17,9 +18,9 @@ best score; null ids are reported as null. Other columns do not pass. Empty tabl
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from . import words as w
 from .licenses import _words
 
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
+SLIP = 1e-9  # what floating point may add to a whole number
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -47,24 +49,40 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def least_shared(size: int, n: int, threshold: float) -> int:
+    """How many n-grams of an item of size words every alignment at the threshold keeps.
+
+    m matches and e edits score 2m - e >= 2 * threshold * size, and stand in at most e + 1 runs. A run of l matches keeps
+    l - n + 1 n-grams or none, so m - (n - 1)(e + 1) are kept or more, the least at m = size."""
+    if n == 1:
+        return ceil(threshold * size - SLIP)
+    return ceil(size - (n - 1) * (2 * size * (1 - threshold) + 1) - SLIP)
+
+
 class Seeds:
     """The items of a block and the places of their n-grams."""
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int, least_words: int):
+    def __init__(self, items: list[tuple[int, str | None]], n: int, threshold: float, least_words: int):
         split = [(i, _words(pa.array([t]))[2]) for i, t in items]
-        self.items = [(i, x) for i, x in split if len(x) >= max(n, least_words)]
-        self.grams = [w.mix(w.windows(x, n)) for _, x in self.items]
-        self.every = np.unique(np.concatenate([np.empty(0, np.uint64), *self.grams]))
+        self.items = [(i, x) for i, x in split if len(x) >= max(1, least_words)]
+        shortest = min((len(x) for _, x in self.items), default=1)
+        self.n = max(k for k in range(1, n + 1) if k == 1 or k <= shortest and least_shared(shortest, k, threshold) >= 1)
+        grams = [w.mix(w.windows(x, self.n)) for _, x in self.items]
+        self.every, self.gram = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_inverse=True)
+        self.first = np.cumsum([0] + [len(g) for g in grams])  # of each item's places in self.gram
+        self.need = np.array([max(1, least_shared(len(x), self.n, threshold)) for _, x in self.items], np.int64)
 
     def choose(self, frequency: np.ndarray) -> None:
         """frequency: of each gram of self.every."""
-        owners: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for k, grams in enumerate(self.grams):
-            df = frequency[np.searchsorted(self.every, grams)]
-            for at in np.flatnonzero(df <= np.median(df)).tolist():
-                owners[int(grams[at])].add((k, at))
-        self.seeds = np.array(sorted(owners), np.uint64)
-        self.owners = [sorted(owners[int(s)]) for s in self.seeds]
+        owners = [np.empty((0, 2), np.int64)]
+        for k, (a, b) in enumerate(zip(self.first[:-1], self.first[1:], strict=True)):
+            rare = np.argsort(frequency[self.gram[a:b]], kind="stable")[: b - a - self.need[k] + 1]
+            seeds = np.unique(self.gram[a:b][rare])
+            owners.append(np.stack([seeds, np.full(len(seeds), k)], axis=1))
+        owned = np.concatenate(owners)
+        owned = owned[np.argsort(owned[:, 0], kind="stable")]
+        self.owner = owned[:, 1]
+        self.owned = np.searchsorted(owned[:, 0], np.arange(len(self.every) + 1))  # where each gram's owners begin
 
 
 def _met(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -75,17 +93,19 @@ def _met(grams: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == grams, at, -1)
 
 
-def _regions(places: list[tuple[int, int]], size: int, words: int) -> Iterator[tuple[int, int]]:
-    """Ranges of text to align, from (place in text, place in item) of the seeds; ranges that meet are one."""
-    slack = size // 2 + 2
-    ranges = sorted((max(0, p - q - slack), min(words, p - q + size + slack)) for p, q in places)
-    low, high = ranges[0]
-    for a, b in ranges[1:]:
-        if a > high:
-            yield low, high
-            low, high = a, b
-        high = max(high, b)
-    yield low, high
+def _spread(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places first[k] to first[k + 1] of each key, and the number of the key that each is of."""
+    size = first[keys + 1] - first[keys]
+    own = np.repeat(np.arange(len(keys)), size)
+    return np.arange(len(own)) + np.repeat(first[keys] - np.cumsum(size) + size, size), own
+
+
+def _regions(diagonals: np.ndarray, size: int, slack: int, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of text to align, from the seeds' place in text less that in the item; ranges that meet are one."""
+    diagonals = np.unique(diagonals)
+    cut = np.flatnonzero(np.diff(diagonals) > size + 2 * slack)
+    for low, high in zip(np.append(0, cut + 1), np.append(cut, len(diagonals) - 1), strict=True):
+        yield max(0, int(diagonals[low]) - slack), min(words, int(diagonals[high]) + size + slack)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.6, least_words: int = 6, block: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -99,7 +119,8 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float
 
 
 def _found(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: float, least_words: int) -> DataFrame:
-    index = Seeds(items, n, least_words)
+    index = Seeds(items, n, threshold, least_words)
+    n = index.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size = np.zeros(len(index.every), np.int64), max(1, len(index.every))
@@ -123,7 +144,7 @@ def _found(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in w.slices(batch, "text"):
-                rows = list(_aligned(part, index, n, threshold))
+                rows = list(_aligned(part, index, threshold))
                 if rows:
                     ids, item, score, low, high = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -131,30 +152,39 @@ def _found(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: flo
     return docs.mapInArrow(run, SCHEMA)
 
 
-def _aligned(part: pa.RecordBatch, index: Seeds, n: int, threshold: float) -> Iterator[tuple]:
+def _candidates(doc: np.ndarray, met: np.ndarray, index: Seeds) -> np.ndarray:
+    """Sorted rows (document, item) that share a seed and as many n-grams as the item needs."""
+    held = np.unique(doc[met >= 0] * len(index.every) + met[met >= 0])
+    at, own = _spread(index.owned, held % len(index.every))
+    pairs = np.unique(np.stack([(held // len(index.every))[own], index.owner[at]], axis=1), axis=0)
+    at, own = _spread(index.first, pairs[:, 1])
+    asked = pairs[own, 0] * len(index.every) + index.gram[at]
+    shared = np.bincount(own[_met(asked, held) >= 0], minlength=len(pairs))
+    return pairs[shared >= index.need[pairs[:, 1]]]
+
+
+def _aligned(part: pa.RecordBatch, index: Seeds, threshold: float) -> Iterator[tuple]:
     _, _, hashes, first = _words(part["text"])
-    at, _ = w.window_texts(first, n)
-    if not len(at):
+    at, own = w.window_texts(first, index.n)
+    if not len(at) or not len(index.every):
         return
-    met = _met(w.mix(w.windows(hashes, n)[at]), index.seeds)
-    hit = np.flatnonzero(met >= 0)
-    doc = np.searchsorted(first, at[hit], side="right") - 1
-    places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for d, p, s in zip(doc.tolist(), (at[hit] - first[doc]).tolist(), met[hit].tolist(), strict=True):
-        for k, q in index.owners[s]:
-            places[d, k].append((p, q))
-    for (d, k), seen in places.items():
+    met = _met(w.mix(w.windows(hashes, index.n)[at]), index.every)
+    starts = np.concatenate(([0], np.cumsum(own)))
+    for d, k in _candidates(np.repeat(np.arange(len(own)), own), met, index).tolist():
         item_id, item = index.items[k]
         text = hashes[first[d] : first[d + 1]]
+        grams, known = met[starts[d] : starts[d + 1]], index.gram[index.first[k] : index.first[k + 1]]
+        places = np.flatnonzero(np.isin(grams, known))
+        p, q = np.nonzero(grams[places, None] == known)
         best = (0, 0, 0)
-        for a, b in _regions(seen, len(item), len(text)):
-            if np.isin(item, text[a:b]).sum() < threshold * len(item):
+        for a, b in _regions(places[p] - q, len(item), int(2 * len(item) * (1 - threshold) + SLIP) + 1, len(text)):
+            if np.isin(item, text[a:b]).sum() < threshold * len(item) - SLIP:
                 continue
             value, end = align(item, text[a:b])
             if value > best[0]:
                 back, size = align(item[::-1], text[a : a + end][::-1])
                 best = (value, a + end - size, a + end - 1)
-        if best[0] >= threshold * 2 * len(item):
+        if best[0] >= threshold * 2 * len(item) - SLIP:
             yield part["doc_id"][d].as_py(), item_id, best[0] / (2 * len(item)), best[1], best[2]
 
 

@@ -217,6 +217,19 @@ def test_decontamination_of_edited_copies(spark):
     assert decontamination.contaminated(docs.limit(0), items).collect() == [] and decontamination.contaminated(docs, items.limit(0)).collect() == []
 
 
+def test_decontamination_of_copies_with_most_trigrams_broken(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    changed = [" ".join(f"x{i}" if i in at else f"t{i}" for i in range(20)) for at in ((4, 9, 14), (3, 8, 13, 17), (2, 5, 8, 11, 14, 17))]
+    stuffed = " ".join(f"t{i}" + (f" y{i}" if i % 2 else "") for i in range(20))
+    rng = random.Random(11)
+    mixed = [" ".join(y for i in range(20) for y in rng.choice([[f"t{i}"]] * 6 + [[f"z{i}"], [], [f"t{i}", "and"]])) for _ in range(60)]
+    texts = [*changed, stuffed, *mixed]
+    docs = table(spark, ["some other words " * 9 + t + " at the end" * 30 for t in texts])
+    got = {r["doc_id"]: r["score"] for r in decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    want = {i: score_by_hand(t, item) for i, t in enumerate(texts)}
+    assert got == {i: s for i, s in want.items() if s >= 0.6} and {0, 1, 3} <= set(got) and 2 not in got
+
+
 # 3
 
 
