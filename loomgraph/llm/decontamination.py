@@ -8,9 +8,10 @@
    the item's words that occur there bounds the score from above; then the local alignment (match 2, change -1, gap -1),
    divided by that of a full match, must reach `threshold`. Every pair that reaches it is found.
 
-Words are runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z. Items are taken
-in blocks of about `block` (a bound on what tasks and driver hold, for items are short); every block meets all
-documents. Items of fewer than `least_words` words cannot be told from chance and take no part.
+Texts and items are first made NFKC and case-folded, in all scripts. Words are runs of ASCII letters and digits and of
+all characters beyond ASCII in what comes of it; first_word and last_word count these. Items are taken in blocks of about
+`block` (a bound on what tasks and driver hold, for items are short); every block meets all documents. Items of fewer
+than `least_words` words cannot be told from chance and take no part.
 
 Cases: null and empty texts and items meet nothing. Repeated documents are reported once for each id and item, with the
 best score; null ids are reported as null. Other columns do not pass. Empty tables give an empty table.
@@ -21,19 +22,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from math import ceil
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .licenses import _words
+from .licenses import _words as _plain_words
 
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
 SLIP = 1e-9  # what floating point may add to a whole number
 
 
+def _folded(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    return normalize("NFKC", normalize("NFKC", text).casefold())
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the folded texts, and each text's first word."""
+    raw = (t.decode("utf-8", "surrogateescape") for t in pc.fill_null(texts, "").cast(pa.binary()).to_pylist())
+    folded = pa.array([_folded(t).encode("utf-8", "surrogateescape") for t in raw], pa.large_binary())
+    _, offsets, data = folded.buffers()
+    _, _, hashes, first = _plain_words(pa.LargeStringArray.from_buffers(len(folded), offsets, data))
+    return hashes, first
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of the whole of item with any part of text, and the place in text where it ends."""
     row = np.zeros(len(text) + 1, np.int64)
@@ -63,7 +81,7 @@ class Seeds:
     """The items of a block and the places of their n-grams."""
 
     def __init__(self, items: list[tuple[int, str | None]], n: int, threshold: float, least_words: int):
-        split = [(i, _words(pa.array([t]))[2]) for i, t in items]
+        split = [(i, _words(pa.array([t], pa.string()))[0]) for i, t in items]
         self.items = [(i, x) for i, x in split if len(x) >= max(1, least_words)]
         shortest = min((len(x) for _, x in self.items), default=1)
         self.n = max(k for k in range(1, n + 1) if k == 1 or k <= shortest and least_shared(shortest, k, threshold) >= 1)
@@ -126,7 +144,7 @@ def _found(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: flo
         total, size = np.zeros(len(index.every), np.int64), max(1, len(index.every))
         for batch in batches:
             for part in w.slices(batch, "text"):
-                _, _, hashes, first = _words(part["text"])
+                hashes, first = _words(part["text"])
                 at, own = w.window_texts(first, n)
                 if len(at):
                     met = _met(w.mix(w.windows(hashes, n)[at]), index.every)
@@ -164,7 +182,7 @@ def _candidates(doc: np.ndarray, met: np.ndarray, index: Seeds) -> np.ndarray:
 
 
 def _aligned(part: pa.RecordBatch, index: Seeds, threshold: float) -> Iterator[tuple]:
-    _, _, hashes, first = _words(part["text"])
+    hashes, first = _words(part["text"])
     at, own = w.window_texts(first, index.n)
     if not len(at) or not len(index.every):
         return

@@ -230,6 +230,17 @@ def test_decontamination_of_copies_with_most_trigrams_broken(spark):
     assert got == {i: s for i, s in want.items() if s >= 0.6} and {0, 1, 3} <= set(got) and 2 not in got
 
 
+def test_decontamination_of_upper_cased_copies(spark):
+    items = {1: "été après été, où élèves et âmes zélées étaient à l’école ébahies", 2: "die größere straße über flüsse und bäche führt schließlich südwärts zu häusern", 3: "ο γρήγορος λύκος πηδά πάνω από τους τεμπέληδες σκύλους", 4: "plain words of one item that are written in full width"}
+    texts = [items[1].upper(), items[2].upper(), items[3].upper(), "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in items[4]), "e\u0301te\u0301 apre\u0300s e\u0301te\u0301, ou\u0300 e\u0301le\u0300ves et a\u0302mes ze\u0301le\u0301es e\u0301taient a\u0300 l’e\u0301cole e\u0301bahies", "ÉTÉ ÂMES", "\U0001f389 " * 30]
+    docs = table(spark, ["un mot " * 20 + t + " et puis" * 20 for t in texts])
+    asked = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in decontamination.contaminated(docs, asked).collect()}
+    assert got == {(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0), (4, 1, 1.0)}
+    broken = docs.select("doc_id", F.expr("concat(text, cast(x'ff' as string))").alias("text"))
+    assert decontamination.contaminated(broken, asked).count() == 5
+
+
 # 3
 
 
