@@ -3,6 +3,9 @@
 toxicity drops documents that the learned score rejects; minhash_near_dedup keeps one document of each group;
 substring_dedup takes passages of 50 words and more that stand in several places out of the texts; decontamination
 drops documents that hold benchmark items; bpe adds token counts and ids.
+
+Rows get a key of their own, row_id, in the first stage, for doc_id may be repeated or null. Dedup and decontamination
+decide by it: of each group of near or exact copies one row is kept, that of the least doc_id (null ids last).
 """
 
 from __future__ import annotations
@@ -16,31 +19,41 @@ from loomgraph.llm import bpe, decontamination, minhash_dedup, substring_dedup,
 from loomgraph.llm.tables import read, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+KEYED = ["row_id", *COLUMNS]
 REPEATED_WORDS = 50
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_id. The key is fixed once the rows are written; here they are, if they have none yet."""
+    return docs if "row_id" in docs.columns else stored(docs.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(COLUMNS), model, passed=tuple(COLUMNS[1:])).where("predicted = 0").select(COLUMNS)
+    clean = toxicity.score(docs.select(COLUMNS), model, passed=tuple(COLUMNS[1:])).where("predicted = 0")
+    return clean.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS)  # each stage's rows are written
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null").select(COLUMNS)
-    return docs.select(COLUMNS).join(stored(kept), "doc_id").select(COLUMNS).unionAll(unnamed)
+    rows = keyed(docs)
+    groups = minhash_dedup.near_duplicates(rows, id_col="row_id").select(F.col("doc_id").alias("row_id"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "row_id")
+    first = rows.select("row_id", order.alias("r")).join(groups, "row_id").groupBy("component_id").agg(F.min("r").alias("r"))
+    return rows.select(KEYED).join(stored(first.select("r.row_id")), "row_id").select(KEYED)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring_dedup.remove_repeats(docs.select(COLUMNS), window=REPEATED_WORDS, passed=tuple(COLUMNS[1:]))
+    out = substring_dedup.remove_repeats(keyed(docs).select(KEYED), window=REPEATED_WORDS, passed=("row_id", *COLUMNS[1:]))
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    return out.select("row_id", "doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(stored(leaks), "doc_id", "left_anti").select(COLUMNS)
+    rows = keyed(docs)
+    leaks = decontamination.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col="row_id").select(F.col("doc_id").alias("row_id")).distinct()
+    return rows.select(KEYED).join(stored(leaks), "row_id", "left_anti").select(KEYED)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

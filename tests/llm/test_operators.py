@@ -388,3 +388,21 @@ def test_pipeline(spark, sf_dir):
     got = {r["doc_id"]: r["n_tokens"] for r in pipeline.run(spark, sf_dir).collect()}
     coder = bpe.Bpe(bpe.default_tokenizer())
     assert got == {i: len(coder.encode([t])[0]) // 4 for i, t in left if i not in leaked}
+
+
+def test_pipeline_of_repeated_rows_and_null_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    passage = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(n))
+    twice, unnamed, one, other, copied, shared, leak = passage(80), passage(70), passage(60), passage(60), passage(90), passage(65), passage(30)
+    rows = [(1, twice), (1, twice), (None, unnamed), (None, unnamed), (None, unnamed), (2, one), (2, other), (3, copied), (4, copied + " end"), (4, shared), (None, copied)]
+    rows += [(5, passage(40)), (5, passage(10) + " " + leak + " " + passage(10)), (None, passage(12) + " " + leak), (6, None), (7, "")]
+    fill = [(100 + i, passage(30)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + fill], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in fill], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter((r["doc_id"], r["decoded_sha256"]) for r in pipeline.run(spark, str(tmp_path)).collect())
+    left = [(1, twice), (None, unnamed), (2, one), (2, other), (3, copied), (4, shared), rows[11], (6, None), (7, ""), *fill]
+    decoded = bpe.encode_decode(spark.createDataFrame(left, "doc_id long, text string")).select("doc_id", F.sha2(F.col("decoded").cast("binary"), 256))
+    assert got == Counter(map(tuple, decoded.collect()))
