@@ -7,7 +7,9 @@ All tokens are ordered by their global document frequency, counted over all docu
 the threshold has one of the first |T| - ceil(threshold * |T|) + 1 tokens of T (prefix filter), at least
 ceil(threshold * |T|) tokens known to the templates (length filter), and from the first common token on enough tokens
 on both sides (positional filter). What is left is counted exactly. Blocks are lines; a line of over 2 * STRIDE words is
-also cut into windows of that many words, STRIDE apart, so that any STRIDE words in a row lie within one block.
+also cut into windows of that many words, STRIDE apart. Besides, each stretch of ROOM times as many words in a row as the
+template has is a block for it, wherever lines end, so notices wrapped over lines and templates of any length are met.
+The whole text goes through the join first: what it does not contain, none of its blocks does.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z. The templates
 are a small fixed list (a parameter); documents are read in one pass and nothing is shuffled but token counts.
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from . import words as w
 
 STRIDE = 64
+ROOM = 2  # a template may be strewn with as many other words
 
 # The phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -67,7 +70,9 @@ def _hashed(text: str) -> np.ndarray:
 class Templates:
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
         self.labels = [label for label, _ in templates]
-        self.sets = [np.unique(_hashed(text)) for _, text in templates]
+        words = [_hashed(text) for _, text in templates]
+        self.stretch = [ROOM * len(x) for x in words]
+        self.sets = [np.unique(x) for x in words]
         self.tokens = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]))
         self.need = [ceil(threshold * len(s)) for s in self.sets]
 
@@ -103,6 +108,22 @@ class Templates:
                         yield t, common / len(self.sorted[t])
 
 
+def _most(places: list[int], tokens: list[int], stretch: int) -> int:
+    """The most distinct tokens that stand in a stretch of so many words."""
+    inside: dict[int, int] = {}
+    left = best = 0
+    for at, token in zip(places, tokens, strict=True):
+        inside[token] = inside.get(token, 0) + 1
+        while places[left] <= at - stretch:
+            gone = tokens[left]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            left += 1
+        best = max(best, len(inside))
+    return best
+
+
 def _blocks(line: np.ndarray) -> Iterator[tuple[int, int]]:
     """Word ranges of the blocks of a text, from its words' line numbers."""
     cut = np.flatnonzero(np.diff(line, prepend=-1, append=-2))
@@ -161,13 +182,24 @@ def _scanned(part: pa.RecordBatch, known: Templates, wanted: list[tuple[np.ndarr
         for d in np.unique(np.searchsorted(first, hot, side="right") - 1).tolist():
             a, b = int(first[d]), int(first[d + 1])
             own = rank[a:b]
+            whole = np.unique(own)
+            tried = [t for t, _ in known.join(whole[whole >= 0].tolist())]
+            if not tried:
+                continue
             marks = np.concatenate(([0], np.cumsum(known.is_prefix[own] & (own >= 0))))
+            found = []
             for i, j in _blocks(lines[starts[a:b]]):
                 if marks[i] < marks[j]:
                     block = np.unique(own[i:j])
-                    for t, share in known.join(block[block >= 0].tolist()):
-                        label = known.labels[t]
-                        more[d][label] = max(share, more[d].get(label, 0.0))
+                    found.extend(known.join(block[block >= 0].tolist()))
+            for t in tried:
+                held = np.flatnonzero(np.isin(own, known.sorted[t]))
+                most = _most(held.tolist(), own[held].tolist(), known.stretch[t])
+                if most >= known.need[t]:
+                    found.append((t, most / len(known.sorted[t])))
+            for t, share in found:
+                label = known.labels[t]
+                more[d][label] = max(share, more[d].get(label, 0.0))
     base = [{label for _, label in places.get(d, ())} for d in range(n)]
     joined = lambda labels: ",".join(sorted(labels))
     return pa.RecordBatch.from_arrays(

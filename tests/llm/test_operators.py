@@ -370,6 +370,22 @@ def contained(text):
     return found
 
 
+def test_wrapped_and_long_licenses(spark):
+    mit = "Copyright 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin it"
+    apache = "# you may not use this file except in compliance\n# with the License. You may obtain a copy of\n# the License at"
+    gpl = "\n * ".join("This program is free software: you can redistribute it and/or|modify it under the terms of the GNU General Public License as|published by the Free Software Foundation".split("|"))
+    far = "\n".join(x + " q" * 40 for x in licenses.TEMPLATES[5][1].split())
+    texts = [mit, apache, gpl, far, "a b " * 300 + "\n" + mit]
+    got = {r["doc_id"]: (r["labels"], r["base_labels"]) for r in licenses.scan(table(spark, texts)).collect()}
+    assert got == {0: ("mit", ""), 1: ("apache", ""), 2: ("gpl", "gpl"), 3: ("", ""), 4: ("mit", "")}
+    long = [f"v{i}" for i in range(300)]
+    wrapped = "\n".join(" ".join(long[i : i + 9]) for i in range(0, 300, 9))
+    less = " ".join(x for i, x in enumerate(long) if i % 4)
+    texts = ["k " * n + t for n in (0, 31, 64, 100) for t in (wrapped, " ".join(long), less)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(table(spark, texts), templates=[("long", " ".join(long)), ("two", "u1 u2")]).collect()}
+    assert got == {i: ("", 0.0) if i % 3 == 2 else ("long", 1.0) for i in range(12)}
+
+
 # pipeline
 
 
