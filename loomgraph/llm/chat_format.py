@@ -1,11 +1,13 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
-Leading '>' marks give each line its quote level. Runs of lines of one level are passages; a passage is lower-cased, its
-white space is made one space, and it is hashed. Messages offer the hashes of their own words: the whole of them, their
-paragraphs and their lines. A quoted passage belongs to the earliest message of its conversation that offers its hash,
-if that came earlier. A message replies to the latest message that it quotes at the outermost level linked; deeper
-levels are counted. Threads are found by pointer doubling over the replies, so every message gets its thread's first
-turn and its depth; (thread_root, turn) is the reply order, for a reply comes later than what it quotes.
+Leading '>' marks give each line its quote level. Runs of lines of one level are passages; texts are lower-cased, white
+space is made one space, and they are hashed. A passage asks for the whole of it, its paragraphs, lines and sentences;
+messages offer those of their own words. A piece belongs to the earliest message of its conversation that offers its
+hash, if that came earlier, and a passage to the message of its longest piece found. Passages that find none (quotes
+that begin or end within a sentence) ask for their stretches of SHINGLE words, and belong to the message that the most of
+them belong to. A message replies to the latest message that it quotes at the outermost level linked; deeper levels are
+counted. Threads are found by pointer doubling over the replies, so every message gets its thread's first turn and its
+depth; (thread_root, turn) is the reply order, for a reply comes later than what it quotes.
 
 Only messages that hold quotes are taken apart by line; of the others only hashes move. The offers are aggregated to one
 row for each conversation and hash before the join, so a hot conversation or a text repeated in it makes no pairs.
@@ -24,12 +26,42 @@ from .tables import stored
 
 MARKS = r"^\s{0,3}((?:>\s?)+)"
 ATTRIBUTION = r"^\s*(On|Am|Le|El)\b.*(wrote|schrieb|écrit|escribió)\b.*:\s*$"
+SENTENCE = r"(?<=[.!?])\s+"
+SHINGLE = 4
 
 
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _pieces(text: Column) -> Column:
+    """Distinct normal forms of the whole text, its paragraphs, lines and sentences."""
+    parts = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n"), F.split(text, SENTENCE))
+    return F.filter(F.array_distinct(F.transform(parts, _normal)), lambda x: x != "")
+
+
+def _shingles(text: Column, size: Column) -> Column:
+    """Hashes of the stretches of size words, bare of the signs around words."""
+    bare = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    words = F.split(F.when(bare == "", _normal(text)).otherwise(bare), " ")
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(size, F.array_join(F.slice(words, i, size), " "))))
+
+
+def _stretches(left: DataFrame, messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, source of passages that no whole piece places, by stretches of words."""
+    count = F.size(F.split(F.trim(F.regexp_replace("passage", r"[^\p{L}\p{N}]+", " ")), " "))
+    asked = stored(left.withColumn("size", F.least(count, F.lit(SHINGLE))).withColumn("hash", F.explode(_shingles(F.col("passage"), F.col("size")))))
+    sizes = asked.select("conv_id", "size").distinct()
+    body = F.array_join(_own_lines(F.col("text")), "\n")
+    offers = messages.join(sizes, "conv_id").select("conv_id", "turn", F.explode(_shingles(body, F.col("size"))).alias("hash"))
+    wanted = asked.select("conv_id", "hash").distinct()
+    offers = stored(offers.join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("source")))
+    found = asked.join(offers, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "level", "id", "source").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.struct("n", (-F.col("source")).alias("s")))
+    return found.groupBy("conv_id", "turn", "level", "id").agg(best.alias("b")).select("conv_id", "turn", "level", (-F.col("b.s")).alias("source"))
+
+
 def _own_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: ~x.rlike(MARKS) & ~x.rlike(ATTRIBUTION))
 
@@ -43,13 +75,22 @@ def _links(messages: DataFrame) -> DataFrame:
     lines = lines.withColumn("level", F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 1), "[^>]", ""))).where("level > 0")
     run = Window.partitionBy("conv_id", "turn", "own", "level").orderBy("at")
     lines = lines.withColumn("run", F.col("at") - F.row_number().over(run)).withColumn("line", F.regexp_replace("line", MARKS, ""))
-    passage = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ")
-    passages = lines.groupBy("conv_id", "turn", "own", "level", "run").agg(_normal(passage).alias("passage")).where("passage != ''").select("conv_id", "turn", "level", F.xxhash64("passage").alias("hash"))
+    passage = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    passages = lines.groupBy("conv_id", "turn", "own", "level", "run").agg(passage.alias("passage")).where(_normal(F.col("passage")) != "")
+    passages = stored(passages.select("conv_id", "turn", "level", F.xxhash64("own", "run").alias("id"), "passage"))
+    asked = passages.select("conv_id", "turn", "level", "id", F.explode(_pieces(F.col("passage"))).alias("piece"))
+    asked = asked.select("conv_id", "turn", "level", "id", F.length("piece").alias("size"), F.xxhash64("piece").alias("hash"))
+    named = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", "text")
     body = F.array_join(_own_lines(F.col("text")), "\n")
-    parts = F.concat(F.array(body), F.split(body, r"\n\s*\n"), F.split(body, "\n"))
-    offers = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, lambda x: F.xxhash64(_normal(x))))).alias("hash"))
+    offers = named.select("conv_id", "turn", F.explode(F.transform(_pieces(body), lambda x: F.xxhash64(x))).alias("hash"))
     offers = stored(offers.groupBy("conv_id", "hash").agg(F.min("turn").alias("source")))
-    linked = stored(passages).join(offers, ["conv_id", "hash"]).where("source < turn")
+    longest = F.max(F.struct("size", (-F.col("source")).alias("s")))
+    placed = asked.join(offers, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "level", "id").agg(longest.alias("b"))
+    placed = stored(placed.select("conv_id", "turn", "level", "id", (-F.col("b.s")).alias("source")))
+    left = stored(passages.join(placed, ["conv_id", "turn", "level", "id"], "left_anti"))
+    linked = placed.drop("id")
+    if not left.isEmpty():
+        linked = linked.unionByName(_stretches(left, named))
     outer = F.min(F.struct("level", (-F.col("source")).alias("s")))
     return linked.groupBy("conv_id", "turn").agg(outer.alias("o"), F.count(F.lit(1)).alias("n_linked")).select("conv_id", "turn", (-F.col("o.s")).alias("reply_to"), "n_linked")
 
@@ -77,7 +118,19 @@ def format_chats(conversations: DataFrame, template: str = "<|%s|>\n%s\n<|end|>"
     return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "text", shown.alias("formatted"))
 
 
+def quoted_replies(conversations: DataFrame) -> DataFrame:
+    """conversations with a quote of the message before put before each: on even turns of all its lines, on odd ones of
+    the latter half of its words, from within a line on. The given table holds no quotes."""
+    messages = conversations.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
+    before = messages.where("text is not null").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("before"))
+    words = F.split(F.trim("before"), r"\s+")
+    half = F.array_join(F.slice(words, F.floor(F.size(words) / 2).cast("int") + 1, F.size(words)), " ")
+    quote = F.when(F.pmod("turn", F.lit(2)) == 0, F.col("before")).otherwise(half)
+    marked = F.concat(F.lit("> "), F.regexp_replace(quote, "\n", "\n> "), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return messages.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.coalesce(marked, "text").alias("text"))
+
+
 def op5_query(spark, sf_dir: str) -> DataFrame:
     from .tables import read
 
-    return format_chats(read(spark, sf_dir, "conversations"))
+    return format_chats(stored(quoted_replies(read(spark, sf_dir, "conversations"))))

@@ -277,6 +277,21 @@ def test_chat_format(spark):
     assert chat_format.format_chats(df).count() == len(rows) and chat_format.format_chats(df.limit(0)).collect() == []
 
 
+def test_partial_quotes(spark):
+    first = "one two three\nfour five six\nseven eight nine\n\nsecond part here. It goes on\n\nthird part, which is long and ends here"
+    quotes = {2: "> one two three\n> four five six", 3: "> second part here. It goes on\n>\n> third part, which is long and ends here", 4: "> third part, which is", 5: "> It goes on", 6: "> eight", 7: "> one two three\n> seven eight nine", 8: "> goes on third part", 9: "> unlike all others"}
+    rows = [(1, 0, "user", "unrelated talk"), (1, 1, "user", first), *((1, t, "user", q + f"\nanswer {t}") for t, q in quotes.items())]
+    got = {r["turn"]: (r["reply_to"], r["text"]) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: got[t] for t in quotes} == {t: (None if t == 9 else 1, f"answer {t}") for t in quotes}
+
+
+def test_op5_links_the_given_table(spark, sf_dir):
+    given = {(r["conv_id"], r["turn"]) for r in read(spark, sf_dir, "conversations").where("trim(text) != ''").collect()}
+    got = chat_format.op5_query(spark, sf_dir).collect()
+    replies = [r for r in got if (r["conv_id"], r["turn"] - 1) in given]
+    assert replies and all(r["reply_to"] is not None and r["reply_to"] < r["turn"] for r in replies) and ">" not in "".join(r["text"][:2] for r in got)
+
+
 def test_long_reply_chains(spark):
     rows = [(1, i, "user", f"> unique words {i - 1}\nunique words {i}" if i else "unique words 0") for i in range(40)]
     got = {r["turn"]: (r["reply_to"], r["thread_root"], r["depth"]) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
