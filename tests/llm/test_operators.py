@@ -107,6 +107,15 @@ def test_near_duplicates(spark, texts, k, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == linked_by_hand(list(enumerate(texts)), k, percent)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_bands_of_the_threshold(spark, monkeypatch, percent):
+    asked, signatures = [], minhash_dedup.signatures
+    monkeypatch.setattr(minhash_dedup, "signatures", lambda docs, shingle, bands, rows, *more: asked.append((bands, rows)) or signatures(docs, shingle, bands, rows, *more))
+    minhash_dedup.near_duplicates(table(spark, ["a b c"]), percent=percent)
+    [(bands, rows)] = asked
+    assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
 def test_near_duplicates_without_ids_and_rows(spark):
     assert minhash_dedup.near_duplicates(table(spark, [])).collect() == []
     rows = minhash_dedup.near_duplicates(table(spark, ["a b c d e f", "a b c d e f", None], [None, 4, 2])).collect()
