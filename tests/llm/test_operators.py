@@ -253,20 +253,30 @@ def test_decontamination_of_upper_cased_copies(spark):
 # 3
 
 
-def test_exact_topk(spark):
+@pytest.mark.parametrize(("block", "pivots"), [(8192, None), (40, 3)])
+def test_exact_topk(spark, monkeypatch, block, pivots):
+    monkeypatch.setattr(exact_topk, "CANDIDATE_BLOCK", block)
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(300)]
     vectors += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [1.0, 2.0]), (None, [0.0] * 6), (304, vectors[5][1]), (305, vectors[5][1]), (306, [])]
-    df = spark.createDataFrame([(i, v, "clash") for i, v in vectors], "vec_id long, embedding array<double>, data string")
-    got = sorted(tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") % 20 == 0, k=7).collect())
-    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = []
-    for q in whole:
-        if q % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
-            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:7], 1)]
-    assert got == sorted(want)
-    assert exact_topk.top_k(df.limit(0), F.lit(True)).collect() == []
+    vectors += [(7, vectors[7][1]), (7, vectors[7][1]), (20, vectors[20][1]), (307, [4e7, 0.0, 0.0, 0.0, 0.0, 0.0]), (320, [1e8 + 0.5, -3e7, 1e8, 2e8, 1.0, 0.1]), (308, [1e8, 1e8, -1e8, 5.0, 1e7, 0.0]), (340, [1e17, 0.0, 1.0, 0.0, 0.0, 0.0]), (309, [-1e17, 1e17, 0.0, 0.0, 0.0, 1.0]), (310, [1.7e308] * 6)]
+    df = spark.createDataFrame([(i, v, "clash", 5) for i, v in vectors], "vec_id long, embedding array<double>, data string, row int")
+    got = sorted(tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") % 20 == 0, k=7, pivots=pivots).collect())
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vectors if i not in (None, 310) and v and all(x is not None and np.isfinite(x) for x in v)]
+    want, most = [], 2**63 - 1
+    for q, x in {(i, tuple(v)) for i, v in whole if i % 20 == 0}:
+        scores = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(x, v, strict=True)))), i) for i, v in whole if i != q and len(v) == len(x))
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:7], 1)]
+    assert got == sorted(want) and len(got) == 17 * 7
+    assert exact_topk.top_k(df.limit(0), F.lit(True)).collect() == [] and exact_topk.top_k(df, F.lit(False)).collect() == []
+    one = exact_topk.top_k(df.where("vec_id in (0, 1)"), F.lit(True)).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in one) == [(0, 1), (1, 0)]
+
+
+def test_topk_eliminates(spark):
+    d = "/root/testdata/sf0.01"
+    done = exact_topk.top_k(read(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, work=True).collect()
+    assert len(done) == 25 and sum(r["n_evaluated"] for r in done) < 0.5 * sum(r["n_candidates"] for r in done)
 
 
 def test_op3_is_sql(spark, sf_dir):
