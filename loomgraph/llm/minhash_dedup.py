@@ -4,8 +4,9 @@ Sketch: an element is hashed in rounds. In each of the first k rounds it takes a
 i; a bin keeps the least (round, hash). By round 2k every bin is filled, mostly after a few rounds, and the sketch has
 the concentration of k independent minima. Bands of `rows` coordinates make the candidates.
 
-1. One scan gives each row its set of word shingles as a size, a 128-bit key and `bands` band values. Rows with equal
-   sets make one class, whatever their number.
+1. One scan gives each row its set of word shingles as a size, a 128-bit key (of the sorted 64-bit hashes of its shingles)
+   and `bands` band values. Rows of equal size and key make one class, whatever their number; a class is numbered, and its
+   set is read once, from the row or rows of its least id, repeated ones left out.
 2. Classes that share a band value are candidates. In each bucket every class is first held against one pivot, which
    makes at most a pair for each class and bucket; pairs are confirmed by the exact intersection of the full sets.
 3. Confirmed links join into components. Buckets whose classes lie in one component are done. The classes of the others
@@ -18,8 +19,8 @@ A pair at the threshold misses every bucket with probability (1 - threshold^rows
 as many as bring it to MISSED (35 of 5 rows at 0.8, 24 at 0.85).
 
 Cases: null and empty texts have an empty set and are linked with nothing; texts shorter than a shingle are one shingle;
-repeated rows are rows of one class. Rows with a null id stand apart: component null, kept. Other columns do not pass.
-An empty table gives an empty table.
+very long texts are read whole; repeated rows are rows of one class, and rows of one id may have different texts. Rows with
+a null id stand apart: component null, kept. Other columns do not pass. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -51,9 +52,11 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     values = w.mix(w.windows(words, k)[at]) if len(at) else np.empty(0, U)
     owner = np.repeat(np.arange(len(n)), n)
     count = np.diff(first)
-    for i in np.flatnonzero((count > 0) & (count < k)):
-        whole = w.windows(words[first[i] : first[i + 1]], int(count[i]))
-        values, owner = np.append(values, w.mix(whole, 1 + int(count[i]))), np.append(owner, i)
+    for size in range(1, k):  # texts shorter than a shingle, by their number of words
+        short = np.flatnonzero(count == size)
+        if len(short):
+            whole = w.windows(words, size)[first[short]]
+            values, owner = np.concatenate([values, w.mix(whole, 1 + size)]), np.concatenate([owner, short])
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     new = np.append(True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])) if len(values) else np.empty(0, bool)
@@ -81,44 +84,58 @@ def sketches(values: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return out.reshape(n, k)
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), band values."""
+    """doc_id, text_hash, n_shingles, set_high and set_low (the set's key; null for an empty set), band values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in w.slices(batch, "text"):
                 values, first = shingle_sets(*w.flat(part["text"]), shingle)
                 n = np.diff(first)
-                keys = [_key(values[a:b]) if a < b else None for a, b in zip(first[:-1], first[1:], strict=True)]
+                high, low = zip(*(_key(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)), strict=True)
                 table = sketches(values, first, bands * rows)
                 band = np.zeros((len(n), bands), U)
                 for r in range(rows):
                     band = w.mix(band ^ table[:, r::rows], r)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(band.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists], names=["doc_id", "n_shingles", "set_key", "band"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], names=["doc_id", "text_hash", "n_shingles", "set_high", "set_low", "band"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_shingles long, set_key long, band array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_high long, set_low long, band array<long>")
 
 
-def _key(values: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(values.tobytes()).digest()[:8], "little", signed=True)
+def _key(values: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    if not len(values):
+        return None, None
+    digest = hashlib.md5(values.tobytes()).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """set_key, shingles of the wanted (doc_id, set_key)."""
+    """set_key (the class's number), shingles of the wanted (doc_id, text_hash, set_key, set_high, set_low), a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for part in w.slices(batch, "text"):
                 values, first = shingle_sets(*w.flat(part["text"]), shingle)
-                keys = part["set_key"].to_pylist()
-                own = [i for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if _key(values[a:b]) == keys[i]]  # an id may be repeated
+                own = []
+                for i, (key, high, low) in enumerate(zip(*(part[c].to_pylist() for c in ("set_key", "set_high", "set_low")), strict=True)):
+                    if key not in done and _key(values[first[i] : first[i + 1]]) == (high, low):  # texts of one hash may differ
+                        done.add(key)
+                        own.append(i)
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part["set_key"], lists], names=["set_key", "shingles"]).take(pa.array(own, pa.int64()))
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.join(wanted, "doc_id").select("set_key", "text").mapInArrow(run, "set_key long, shingles array<long>")
+    sets = stored(_rows(docs, id_col, text_col).join(wanted, ["doc_id", "text_hash"]).select("set_key", "set_high", "set_low", "text").mapInArrow(run, "set_key long, shingles array<long>"))
+    size = sets.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("set_key").alias("d")).first()
+    if size["n"] > size["d"]:  # copies of a much repeated row, dealt over several tasks
+        sets = stored(sets.groupBy("set_key").agg(F.first("shingles").alias("shingles")))
+    return sets
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,13 +212,16 @@ def bands_for(percent: int, rows: int) -> int:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int | None = None, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id that links reach), kept (doc_id = component_id) of every row."""
     signed = stored(signatures(docs, shingle, bands or bands_for(percent, rows), rows, id_col, text_col))
-    classes = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("band").alias("band")))
+    key = ["set_high", "set_low", "n_shingles"]
+    alone = F.col("set_high").isNull() | F.col("doc_id").isNull()
+    classes = signed.where(~alone).groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.first("band").alias("band"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("set_key"), *key, F.col("n_shingles").alias("n"), "r.doc_id", "r.text_hash", "band"))  # numbers hold once written
     cells = classes.select("set_key", "n", F.posexplode("band").alias("i", "value")).select("set_key", "n", F.xxhash64("i", "value").alias("bucket"))
     shared = stored(cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("set_key").alias("pivot")).where("size > 1"))
     cells = stored(cells.join(shared, "bucket"))
     tried = stored(cells.where("set_key != pivot").select(F.col("pivot").alias("a"), F.col("set_key").alias("b")).distinct())
-    wanted = cells.select("set_key").distinct().join(classes.select("set_key", "doc_id"), "set_key")
-    sets = stored(_sets(docs, wanted, shingle, id_col, text_col))
+    wanted = cells.select("set_key").distinct().join(classes.select("set_key", "set_high", "set_low", "doc_id", "text_hash"), "set_key")
+    sets = _sets(docs, wanted, shingle, id_col, text_col)
     links = stored(_confirmed(tried, sets, percent))
     joined = stored(components(links))
     placed = cells.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").select("bucket", "set_key", "n", F.coalesce("component", "set_key").alias("component"))
@@ -213,9 +233,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         joined = stored(components(links))
     named = classes.select("set_key", F.col("doc_id").alias("first")).join(joined.withColumnRenamed("node", "set_key"), "set_key")
     least = stored(named.groupBy("component").agg(F.min("first").alias("component_id")))
-    groups = stored(classes.select("set_key", "doc_id").join(named.select("set_key", "component").join(least, "component").select("set_key", "component_id"), "set_key", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id")))
-    alone = F.col("set_key").isNull() | F.col("doc_id").isNull()
-    grouped = signed.where(~alone).select("doc_id", "n_shingles", "set_key").join(groups, "set_key")
+    groups = classes.select("set_key", *key, "doc_id").join(named.select("set_key", "component").join(least, "component").select("set_key", "component_id"), "set_key", "left")
+    groups = stored(groups.select(*key, F.coalesce("component_id", "doc_id").alias("component_id")))
+    grouped = signed.where(~alone).select("doc_id", *key).join(groups, key)
     out = grouped.select("doc_id", "n_shingles", "component_id").unionAll(signed.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -122,6 +122,32 @@ def test_near_duplicates_without_ids_and_rows(spark):
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["component_id"], r["kept"]) for r in rows) == [((False, 2), 2, True), ((False, 4), 4, True), ((True, 0), None, True)]
 
 
+def test_op9_on_given_tables(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.op9_query(spark, d).collect()}
+    assert got == linked_by_hand(docs_of(spark, d), 3, 85)
+
+
+def test_near_duplicates_of_repeated_rows_and_ids(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    near = " ".join([*base[:59], "other"])
+    other = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(20)) for _ in range(300)]
+    rows = [(1, " ".join(base))] * 3000 + [(1, " ".join(base).upper())] * 50 + [(2, near)] * 2000 + [(9, t) for t in other] + [(8, near)]
+    sizes, cell = [], minhash_dedup._sets
+    monkeypatch.setattr(minhash_dedup, "_sets", lambda *a: sizes.append(cell(*a)) or sizes[-1])
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(16)
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs, shingle=3, percent=85).collect())
+    assert got == {(1, 1, True): 3050, (2, 1, False): 2000, (8, 1, False): 1, (9, 9, True): 300}
+    assert sizes[0].count() == 2  # one set for each class, whatever its rows
+
+
+def test_short_texts_are_sets_of_one(spark):
+    texts = ["a b", "A  B", "b a", "c", "c", *[f"x{i}" for i in range(5000)]]
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert rows == {i: (1, {1: 0, 4: 3}.get(i, i)) for i in range(len(texts))}
+
+
 def test_sketches_fill_and_estimate():
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(201, 1201, dtype=np.uint64)
     s = minhash_dedup.sketches(np.concatenate([a, b, a[:2]]), np.array([0, 1000, 2000, 2002]), 512)
