@@ -3,25 +3,33 @@
 The lexicon is learned from labelled documents: terms (whole words, or stems of 4 to 8 letters that stand for every word
 they begin) that tell toxic documents from others, chosen one after another until each toxic document is covered a few
 times, so that words of one group of copies do not enter. A word meets the lexicon exactly, or through its Levenshtein
-automaton run along the lexicon's trie (distance 1 from 5 letters on, 2 from 12 on). Each hit is weighed by its context
-window: hits inside quotation marks count apart from hits outside. A logistic model of these counts gives the score.
+automaton run along the lexicon's trie (distance 1 from 5 letters on, 2 from 12 on); terms that are near to words of clean
+documents are left out of the trie. The context window of each hit tells quotation from abuse: hits whose line opens a
+quotation shortly before and closes it shortly after count apart, and not in the share of hits.
 
-Everything is learned from at most `max_train` labelled documents (a documented bound; they are those with the least
-hashes), so the lexicon, its counts and the model are small and bounded; scoring reads every document whole.
+A logistic model of exact and near hits, quoted or not, gives the score. Labelled texts seldom hold misspelled or quoted
+terms, so the model also learns from variants of the toxic ones: with a letter of each exact hit changed (still toxic),
+and with each hit in quotation marks (not toxic). Unquoted hits never lower a score; quoted ones may.
 
-Cases: null and empty texts have no hits and get the score of a text without any. Documents without a label, or with a
-null one, are not learned from; a document labelled more than once counts as toxic if one label says so. Repeated rows
-are scored each; null ids are scored and held in (their remainder is null, held_out false). An empty table of documents
-gives an empty table; without any labelled document of both kinds the score is the constant share of toxic labels.
-Other columns do not pass, but for those named in `passed`.
+Everything is learned from at most `max_train` labelled documents (a documented bound; they are those with the least
+hashes), so the lexicon, its counts and the model are small and bounded: a term stands in `least_docs` toxic ones at
+least, and the `max_terms` that tell most are looked at. Scoring reads every document whole.
+
+Cases: null and empty texts have no hits and get the score of a text without any. Very long texts are scored whole.
+Documents without a label, or with a null one, are not learned from; a document labelled more than once counts as toxic if
+one label says so. Repeated rows are scored each; null ids are scored and held in (their remainder is null, held_out
+false). An empty table of documents gives an empty table; without any labelled document of both kinds (or any label) the
+score is the constant share of toxic labels, one half without labels. Other columns do not pass, but those in `passed`.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -33,14 +41,19 @@ from .words import slices
 
 WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6, 7, 8)
-OPEN, CLOSE = "\"“„«‹", "\"”“»›"
+OPEN, CLOSE = "“„«‹", "”“»›"  # besides the straight mark, which is both
+MARK = re.compile(f'["{OPEN}{CLOSE}]')
+REACH = 80
 CACHE = 200_000
+VARIANT = 0.5  # how much a variant weighs in learning
+UNQUOTED = [0, 2, 4, 5]  # features that never lower a score
 
 
 @dataclass
 class Model:
     words: dict[str, int] = field(default_factory=dict)
     stems: dict[str, int] = field(default_factory=dict)
+    exact_only: set[str] = field(default_factory=set)
     weights: list[float] = field(default_factory=lambda: [0.0] * 6)
     bias: float = 0.0
 
@@ -92,58 +105,100 @@ class Trie:
 
 
 class Matcher:
-    """Weights of words: 0 for none, 1 for an exact hit (whole word or stem), 2 for a near one."""
+    """Kinds of words: 0 for none, 1 for an exact hit (whole word or stem), 2 for a near one."""
 
     def __init__(self, model: Model):
         self.words, self.stems = model.words, model.stems
-        long = [w for w in (*model.words, *model.stems) if len(w) >= 5]
+        long = [w for w in (*model.words, *model.stems) if len(w) >= 5 and w not in model.exact_only]
         self.tries = {n: Trie([w for w in long if abs(len(w) - n) <= (2 if n >= 12 else 1)]) for n in range(5, max(map(len, long), default=0) + 3)}
         self.cache: dict[str, int] = {}
 
-    def kind(self, word: str) -> int:
-        if word in self.words or any(word[:n] in self.stems for n in STEMS if len(word) >= n):
-            return 1
-        if (trie := self.tries.get(len(word))) and trie.near(word, 2 if len(word) >= 12 else 1):
-            return 2
-        return 0
+    def exact(self, word: str) -> bool:
+        return word in self.words or any(word[:n] in self.stems for n in STEMS if len(word) >= n)
 
-    def features(self, text: str | None) -> list[float]:
-        """Exact and near hits, outside and inside quotation marks, and hits by words and in all, damped."""
-        low = (text or "").lower()
-        found = WORD.findall(low)
+    def near(self, word: str) -> str | None:
+        """The term that the automaton finds for a word that is no exact hit."""
+        trie = self.tries.get(len(word))
+        found = trie.near(word, 2 if len(word) >= 12 else 1) if trie else None
+        return found[0] if found else None
+
+    def kinds(self, words: set[str]) -> dict[str, int]:
+        """Those of the words that hit."""
         cache = self.cache
-        met = set(found)
-        if new := [x for x in met if x not in cache]:
+        if new := [x for x in words if x not in cache]:
             if len(cache) > CACHE:
                 cache.clear()
-                new = list(met)
+                new = list(words)
             for word in new:
-                cache[word] = self.kind(word)
-        kinds = {w: k for w in met if (k := cache[w])}
+                cache[word] = 1 if self.exact(word) else 2 if self.near(word) else 0
+        return {w: k for w in words if (k := cache[w])}
+
+    def features(self, text: str | None) -> list[float]:
+        """Exact hits outside and inside quotation marks, near ones likewise, damped; the share of words that hit outside
+        them; and whether any hits exactly there."""
+        low = (text or "").lower()
+        found = WORD.findall(low)
+        kinds = self.kinds(set(found))
         if not kinds:
             return [0.0] * 6
         count = Counter()
-        if any(c in low for c in OPEN):
+        if marks := Quotes(low):
             for m in WORD.finditer(low):
                 if k := kinds.get(m[0]):
-                    count[k, self.quoted(low, m.start(), m.end())] += 1
+                    count[k, marks.around(m.start(), m.end())] += 1
         else:
             for word, n in Counter(w for w in found if w in kinds).items():
                 count[kinds[word], False] += n
-        hits = sum(count.values())
-        return [np.log1p(count[k, q]).item() for k in (1, 2) for q in (False, True)] + [min(1.0, 20 * hits / len(found)), float(count[1, False] > 0)]
+        return [np.log1p(count[k, q]).item() for k in (1, 2) for q in (False, True)] + [min(1.0, 20 * (count[1, False] + count[2, False]) / len(found)), float(count[1, False] > 0)]
+
+    def variants(self, text: str) -> list[tuple[int, str]]:
+        """1 and the text with a letter of each exact hit changed; 0 and it, and the text, with each hit in quotation marks."""
+
+        def changed(text: str, wrong: bool) -> str:
+            kinds = self.kinds(set(WORD.findall(text.lower())))
+            if wrong:
+                return WORD.sub(lambda m: misspelled(m[0]) if kinds.get(m[0].lower()) == 1 and len(m[0]) >= 5 else m[0], text)
+            return WORD.sub(lambda m: f'"{m[0]}"' if m[0].lower() in kinds else m[0], text)
+
+        if not self.kinds(set(WORD.findall(text.lower()))):
+            return []
+        wrong = changed(text, True)
+        return [(0, changed(text, False))] + ([(1, wrong), (0, changed(wrong, False))] if wrong != text else [])
+
+
+def misspelled(word: str) -> str:
+    """One letter of the word changed, doubled or left out, by its hash."""
+    draw = crc32(word.encode())
+    at = 1 + draw % (len(word) - 2)
+    return word[:at] + ["x", word[at] * 2, ""][draw // 64 % 3] + word[at + 1 :]
 
-    @staticmethod
-    def quoted(text: str, start: int, end: int, reach: int = 80) -> bool:
+
+class Quotes:
+    """The quotation marks of a text; straight ones open and close by turns within each line."""
+
+    def __init__(self, text: str):
+        self.marks = [(m.start(), m[0]) for m in MARK.finditer(text)]
+        self.at = [i for i, _ in self.marks]
+        self.lines = [m.start() for m in re.finditer("\n", text)] if self.marks else []
+        self.straight = [i for i, c in self.marks if c == '"']
+
+    def __bool__(self) -> bool:
+        return bool(self.marks)
+
+    def around(self, start: int, end: int) -> bool:
         """Whether a quotation opens before and closes after, within the context window and the line."""
-        left, right = text[max(0, start - reach) : start].rpartition("\n")[2], text[end : end + reach].partition("\n")[0]
-        opened = max(left.rfind(c) for c in OPEN)
-        if opened < 0:
+        line = bisect_left(self.lines, start)
+        low = self.lines[line - 1] if line else -1
+        high = self.lines[line] if line < len(self.lines) else end + REACH
+        before = bisect_left(self.at, start) - 1
+        after = before + 1
+        if before < 0 or self.at[before] < max(low, start - REACH) or after == len(self.at) or self.at[after] >= min(high, end + REACH):
             return False
-        straight = left[opened] == '"'
-        if straight and left.count('"') % 2 == 0 or not straight and any(c in left[opened + 1 :] for c in CLOSE):
-            return False
-        return any(c in right for c in CLOSE)
+        left, right = self.marks[before][1], self.marks[after][1]
+        if left == '"':
+            opened = bisect_left(self.straight, start) - bisect_left(self.straight, low)
+            return opened % 2 == 1 and right == '"'
+        return left in OPEN and right in CLOSE
 
 
 def held_out(id_col: str) -> Column:
@@ -161,10 +216,10 @@ def _training(docs: DataFrame, labels: DataFrame, max_train: int, id_col: str, t
 
 def _terms(text: str) -> set[str]:
     words = set(WORD.findall(text.lower()))
-    return {w for w in words if 3 <= len(w) <= 24} | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
+    return {w for w in words if len(w) >= 3} | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_terms: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_terms: int = 3000, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The lexicon and the weights, from labelled documents that are not held out."""
     from .tables import stored
 
@@ -186,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_terms
 
     counts = train.mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    best = counts.where(F.col("n1") >= 3).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("n1") * F.col("odds")), "term").limit(max_terms)
+    best = counts.where(F.col("n1") >= least_docs).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("n1") * F.col("odds")), "term").limit(max_terms)
     terms = [r["term"] for r in best.select("term").collect()]
     number = {t: i for i, t in enumerate(terms)}
 
@@ -200,17 +255,43 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_terms
     for term in _cover(terms, [(r["toxic"], r["met"]) for r in rows], n1):
         (model.stems if term.endswith("*") else model.words)[term.rstrip("*")] = 1
 
+    model.exact_only = _near_to_clean(train, model, n0)
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(model)
         for batch in batches:
-            yield pd.DataFrame({"toxic": (batch["toxic"] > 0).astype("int32"), "x": [matcher.features(t) for t in batch["text"]]})
-
-    seen = train.mapInPandas(measure, "toxic int, x array<double>").collect()
-    weights = _logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float))
+            rows = []
+            for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
+                rows.append((int(toxic > 0), 1.0, matcher.features(text)))
+                if toxic > 0:
+                    rows += [(y, VARIANT, matcher.features(t)) for y, t in matcher.variants(text)]
+            yield pd.DataFrame(rows, columns=["toxic", "weight", "x"])
+
+    seen = train.mapInPandas(measure, "toxic int, weight double, x array<double>").collect()
+    weights = _logistic(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float), np.array([r["weight"] for r in seen]))
     model.weights, model.bias = weights[:-1].tolist(), float(weights[-1])
     return model
 
 
+def _near_to_clean(train: DataFrame, model: Model, n0: int, share: float = 0.002) -> set[str]:
+    """Terms that words of clean documents are near to, in more than a few of them."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher, known = Matcher(model), {}
+        for batch in batches:
+            terms = []
+            for text in batch["text"]:
+                words = set(WORD.findall(text.lower()))
+                known |= {x: None if matcher.exact(x) else matcher.near(x) for x in words if x not in known}
+                terms += {t for x in words if (t := known[x])}
+                if len(known) > CACHE:
+                    known = {}
+            yield pd.DataFrame({"term": pd.Series(terms, dtype="object")})
+
+    near = train.where("toxic = 0").mapInPandas(find, "term string").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return {r["term"] for r in near.where(F.col("n") > max(1, share * n0)).collect()}  # terms of the lexicon alone
+
+
 def _cover(terms: list[str], rows: list[tuple[int, list[int]]], n1: int, fade: float = 0.55) -> list[str]:
     """Terms by the toxic documents they newly cover, less those of clean ones; a covered document fades."""
     toxic = [met for y, met in rows if y]
@@ -235,16 +316,33 @@ def _cover(terms: list[str], rows: list[tuple[int, list[int]]], n1: int, fade: f
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Newton's method; the intercept is last and free of the penalty."""
+def _logistic(x: np.ndarray, y: np.ndarray, size: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Newton's method; the intercept is last and free of the penalty. A step that does not gain is halved."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(60):
+    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((size * (np.logaddexp(0, z) - y * z)).sum() + w @ penalty @ w / 2)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        w[:-1] = np.maximum(w[:-1], 0)  # a hit never speaks for a clean text
-        if abs(step).max() < 1e-8:
+        free = np.ones(len(w), bool)
+        slope = x.T @ (size * (y - p)) - penalty @ w
+        free[UNQUOTED] = (w[UNQUOTED] > 0) | (slope[UNQUOTED] > 0)
+        curve = (x[:, free] * (size * p * (1 - p))[:, None]).T @ x[:, free] + penalty[np.ix_(free, free)]
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(curve, slope[free])
+        now, part = loss(w), 1.0
+        while True:
+            new = w + part * step
+            new[UNQUOTED] = np.maximum(new[UNQUOTED], 0)  # an unquoted hit never speaks for a clean text
+            if loss(new) <= now or part < 1e-6:
+                break
+            part /= 2
+        moved, w = abs(new - w).max(), new
+        if moved < 1e-8:
             break
     return w
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -208,15 +209,44 @@ def test_toxicity_learns_and_holds_out(spark, sf_dir):
 
 
 def test_toxicity_cases(spark):
-    docs = table(spark, [f"you idiot number{i}" for i in range(30)] + [f"a kind word number{i}" for i in range(60)] + [None, "", "you ldiot", 'she said "idiot" to them'])
+    docs = table(spark, [f"you idiot number{i}" for i in range(30)] + [f"a kind word number{i}" for i in range(60)] + [None, "", "you idi0t", 'she said "idiot" to them', "kind " * 200_000, "kind " * 200_000 + "idiot", "you idiot number3"])
     labels = spark.createDataFrame([(i, int(i < 30)) for i in range(90)] + [(3, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels)
     score = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
-    assert len(score) == 94 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in score.values())
+    assert len(score) == 97 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in score.values())
     assert score[0]["predicted"] == 1 and score[40]["predicted"] == 0 and score[90]["score"] == score[91]["score"]
-    assert score[92]["n_near_hits"] == 1
+    assert score[92]["n_near_hits"] == 1 and score[92]["predicted"] == 1 and score[93]["n_exact_hits"] == 1 and score[93]["predicted"] == 0
+    assert score[94]["score"] == score[91]["score"] < score[95]["score"] and score[96]["score"] == score[3]["score"]
     assert toxicity.score(docs.limit(0), model).collect() == []
-    assert toxicity.Matcher(model).quoted('said "idiot" to', 6, 11) and not toxicity.Matcher(model).quoted("an idiot here", 3, 8)
+    twice = toxicity.score(docs.where("doc_id = 3").unionAll(docs.where("doc_id = 3")), model, passed=("lang", "n_words")).collect()
+    assert [(r["lang"], r["n_words"], r["score"]) for r in twice] == [("en", 7, score[3]["score"])] * 2
+    unlabelled = toxicity.score(docs, toxicity.learn(docs, labels.where("toxic > 5"))).collect()
+    assert {r["score"] for r in unlabelled} == {0.5} and len(unlabelled) == 97
+    held = {r["doc_id"]: r["held_out"] for r in toxicity.score(docs.withColumn("doc_id", F.when(F.col("doc_id") != 5, F.col("doc_id"))), model).collect()}
+    assert held == {None if i == 5 else i: i != 5 and zlib.crc32(str(i).encode()) % 3 == 1 for i in range(97)}
+
+
+def test_quoting_lowers_and_misspelling_raises(spark):
+    d = "/root/testdata/sf0.1"
+    model = toxicity.learn(read(spark, d, "documents"), read(spark, d, "labels"))
+    exact, exact_quoted, near, near_quoted = model.weights[:4]
+    assert exact > 0 and near > 0 and exact_quoted < 0 and near_quoted < 0
+    matcher = toxicity.Matcher(model)
+    score = lambda t: float(np.dot(matcher.features(t), model.weights)) + model.bias
+    plain = "the whole town says that nobody here is a %s and all go home"
+    clean, abuse, wrong, quoted = (score(plain % x) for x in ("neighbour", "moron", "moronn", '"moron"'))
+    assert quoted <= clean < wrong and clean < abuse and score(plain % '"moronn"') <= clean
+    assert score(plain % '"moron" but a moron') > clean
+
+
+def test_quotes():
+    def quoted(text, word="idiot"):
+        at = text.index(word)
+        return toxicity.Quotes(text).around(at, at + len(word))
+
+    assert quoted('said "idiot" to') and quoted("„idiot“ x") and quoted("“you idiot”") and quoted("«un idiot»")
+    assert not quoted("an idiot here") and not quoted('"a" idiot "b"') and not quoted('"a\nidiot" x') and not quoted('a" ' + "x " * 60 + 'idiot "b')
+    assert not quoted('token = "abc" idiot token = "def"') and not quoted('"idiot')
 
 
 # 2
