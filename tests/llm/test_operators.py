@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, chat_format, decontamination, exact_topk, licenses, minhash_dedup, substring_dedup, token_counts, toxicity, warc
@@ -343,13 +344,109 @@ def test_op3_is_sql(spark, sf_dir):
 # 5
 
 
+def chats_by_hand(rows):
+    """(conv_id, turn) -> reply_to, thread_root, depth, n_linked; and the messages' own words. One message a turn."""
+    white = re.compile(r"[ \t\n\x0b\f\r]+")
+    normal = lambda t: white.sub(" ", t.lower()).strip(" ")
+    marks = re.compile(r"[ \t\x0b\f\r]{0,3}((?:>[ \t\x0b\f\r]?)+)")
+    says = re.compile(r"\s*(On|Am|Le|El)\b.*(wrote|schrieb|écrit|escribió)\b.*:\s*$")
+
+    def pieces(t):
+        parts = [t, *re.split(r"\n[ \t\n\x0b\f\r]*\n", t), *t.split("\n"), *re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", t)]
+        return {x for x in map(normal, parts) if x}
+
+    def words(t):
+        return (regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).strip(" ") or normal(t)).split(" ")
+
+    own, quotes = {}, {}
+    for c, t, _, text in rows:
+        lines = (text or "").split("\n")
+        level = [m[1].count(">") if (m := marks.match(x)) else 0 for x in lines]
+        after = lambda i: level[i + 1 : i + 2] != [0] and level[i + 1 : i + 2] or lines[i + 1 : i + 2] != [] and not lines[i + 1].strip(" ") and level[i + 2 : i + 3] not in ([], [0])  # noqa: B023, E731
+        own[c, t] = "\n".join(x for i, x in enumerate(lines) if not level[i] and not (says.match(x) and after(i)))
+        runs, last = [], None
+        for i, n in enumerate(level):
+            if n:
+                if last != n:
+                    runs.append((n, []))
+                runs[-1][1].append(marks.sub("", lines[i], count=1))
+            last = n
+        quotes[c, t] = [(n, "\n".join(x)) for n, x in runs if normal("\n".join(x))]
+    offered, stretches = {}, {}
+    for (c, t), text in sorted(own.items(), key=lambda x: x[0][1] if None not in x[0] else -1):
+        if c is not None and t is not None:
+            for x in pieces(text):
+                offered.setdefault((c, x), t)
+            v = words(text)
+            for size in range(1, chat_format.SHINGLE + 1):
+                for i in range(len(v) - size + 1):
+                    stretches.setdefault((c, tuple(v[i : i + size])), t)
+    links = {}
+    for (c, t), passages in quotes.items():
+        found = []
+        for level, text in passages if c is not None and t is not None else ():
+            near = [(-len(x), offered[c, x]) for x in pieces(text) if offered.get((c, x), t) < t]
+            if near:
+                found.append((level, -min(near)[1]))
+                continue
+            v = words(text)
+            size = min(len(v), chat_format.SHINGLE)
+            votes = Counter(stretches[k] for k in {(c, tuple(v[i : i + size])) for i in range(len(v) - size + 1)} if stretches.get(k, t) < t)
+            if votes:
+                found.append((level, -min(votes, key=lambda s: (-votes[s], s))))
+        if found:
+            links[c, t] = (-min(found)[1], len(found))
+    out = {}
+    for c, t in own:
+        root, depth = t, 0
+        while (c, root) in links:
+            root, depth = links[c, root][0], depth + 1
+        out[c, t] = (links.get((c, t), (None,))[0], root, depth, links.get((c, t), (None, 0))[1])
+    return out, {k: re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", x) for k, x in own.items()}
+
+
+CHAT = "conv_id long, turn long, role string, text string"
+
+
 def test_chat_format(spark):
-    rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> Hello there\nfine"), (1, 2, "user", ">> hello  there\n> fine\nok, On it\n"), (1, 3, "user", "new topic"), (1, 4, "user", "On Monday X wrote:\n> new topic\nreply"), (2, 0, None, None), (1, 5, "user", "> not there\nz"), (2, 1, "user", ">"), (2, 1, "user", ">"), (None, 3, "user", "> x")]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, depth int")
-    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread_root"], r["depth"], r["text"]) for r in chat_format.format_chats(df).collect()}
+    rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> Hello there\nfine"), (1, 2, "user", ">> hello  there\n> fine\nok, On it\n"), (1, 3, "user", "new topic"), (1, 4, "user", "On Monday X wrote:\n> new topic\nreply"), (2, 0, None, None), (1, 5, "user", "> not there\nz"), (2, 1, "user", ">"), (2, 1, "user", ">"), (None, 3, "user", "> x"), (3, 0, "user", "if a > b\nOn Monday he wrote:\nfoo"), (3, 1, "user", "On Monday he wrote:\nOn Tuesday she wrote:\n\n> if a > b\n <|end|> x")]
+    df = spark.createDataFrame([(*r, 9) for r in rows], CHAT + ", depth int")
+    found = chat_format.format_chats(df).collect()
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread_root"], r["depth"], r["text"]) for r in found}
     assert got[1, 1] == (0, 0, 1, "fine") and got[1, 2] == (1, 0, 2, "ok, On it") and got[1, 4] == (3, 3, 1, "reply")
     assert got[1, 5] == (None, 5, 0, "z") and got[2, 0] == (None, 0, 0, "") and got[2, 1] == (None, 1, 0, "")
-    assert chat_format.format_chats(df).count() == len(rows) and chat_format.format_chats(df.limit(0)).collect() == []
+    assert got[3, 0] == (None, 0, 0, rows[10][3]) and got[3, 1] == (0, 0, 1, "On Monday he wrote:\n\n <|end|> x")
+    assert {r["formatted"] for r in found if r["conv_id"] == 3 and r["turn"] == 1} == {"<|user|>\nOn Monday he wrote:\n\n <\\|end|> x\n<|end|>"}
+    assert len(found) == len(rows) and chat_format.format_chats(df.limit(0)).collect() == []
+    whole = {(r["conv_id"], r["thread_root"]): r for r in chat_format.assemble(chat_format.format_chats(df)).collect()}
+    assert whole[1, 0]["turns"] == [0, 1, 2] and whole[1, 0]["replies"] == [None, 0, 1] and whole[1, 0]["text"] == "<|user|>\nHello there\nHow are you?\n<|end|>\n<|assistant|>\nfine\n<|end|>\n<|user|>\nok, On it\n<|end|>"
+    assert whole[2, 1]["n_messages"] == 1 and (None, 3) in whole and sum(r["n_messages"] for r in whole.values()) == len(rows) - 1
+    assert chat_format.assemble(chat_format.format_chats(df.limit(0))).collect() == []
+
+
+def test_hot_messages_and_long_texts(spark):
+    rows = [(1, 0, "user", "the first of all\n" + "long words " * 200_000)] + [(1, i, "user", f"> the first of all\nanswer {i}") for i in range(1, 1500)] + [(2, 7, "user", f"same turn {i}") for i in range(2000)]
+    found = chat_format.format_chats(spark.createDataFrame(rows, CHAT))
+    assert found.where("conv_id = 1 and turn > 0 and reply_to = 0 and depth = 1 and thread_root = 0").count() == 1499
+    parts = chat_format.assemble(found).collect()
+    assert max(r["n_messages"] for r in parts) < 1400 and sum(r["n_messages"] for r in parts) == len(rows)
+    assert {(r["conv_id"], r["part"], tuple(r["turns"])) for r in parts if r["conv_id"] == 1} == {(1, i, tuple(range(256 * i, min(1500, 256 * i + 256)))) for i in range(6)}
+
+
+def test_op5_by_hand(spark):
+    d = "/root/testdata/sf0.01"
+    derived = chat_format.quoted_replies(read(spark, d, "conversations"))
+    rows = [tuple(r) for r in derived.collect()]
+    want, own = chats_by_hand(rows)
+    found = chat_format.format_chats(derived).collect()
+    assert {(r["conv_id"], r["turn"]): (r["reply_to"], r["thread_root"], r["depth"], r["n_linked"]) for r in found} == want
+    assert {(r["conv_id"], r["turn"]): r["text"] for r in found} == own
+    assert sum(x[0] is not None for x in want.values()) > 0.6 * len(rows) and max(x[2] for x in want.values()) >= 5 and max(x[3] for x in want.values()) >= 2
+    threads = {}
+    for r in sorted(found, key=lambda r: r["turn"]):
+        threads.setdefault((r["conv_id"], r["thread_root"]), []).append(r)
+    got = {(r["conv_id"], r["thread_root"]): (r["turns"], r["replies"], r["n_linked"], r["text"]) for r in chat_format.op5_query(spark, d).collect()}
+    assert got == {k: ([r["turn"] for r in v], [r["reply_to"] for r in v], sum(r["n_linked"] for r in v), "\n".join(r["formatted"] for r in v)) for k, v in threads.items()}
 
 
 def test_partial_quotes(spark):
@@ -360,13 +457,6 @@ def test_partial_quotes(spark):
     assert {t: got[t] for t in quotes} == {t: (None if t == 9 else 1, f"answer {t}") for t in quotes}
 
 
-def test_op5_links_the_given_table(spark, sf_dir):
-    given = {(r["conv_id"], r["turn"]) for r in read(spark, sf_dir, "conversations").where("trim(text) != ''").collect()}
-    got = chat_format.op5_query(spark, sf_dir).collect()
-    replies = [r for r in got if (r["conv_id"], r["turn"] - 1) in given]
-    assert replies and all(r["reply_to"] is not None and r["reply_to"] < r["turn"] for r in replies) and ">" not in "".join(r["text"][:2] for r in got)
-
-
 def test_long_reply_chains(spark):
     rows = [(1, i, "user", f"> unique words {i - 1}\nunique words {i}" if i else "unique words 0") for i in range(40)]
     got = {r["turn"]: (r["reply_to"], r["thread_root"], r["depth"]) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
