@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 Base labels: places where a phrase's words stand consecutively. The method adds the labels of templates that a block
-contains: with T the distinct words of a template and B those of a block, |T and B| >= threshold * |T|.
+contains: with T the distinct words of a template and B those of a block, |T and B| >= threshold * |T|. Templates are a table
+(id, label, text) of whole license texts and of notices (license_texts), or the caller's own.
 
 All tokens are ordered by their global document frequency, counted over all documents, rarest first. A block that meets
 the threshold has one of the first |T| - ceil(threshold * |T|) + 1 tokens of T (prefix filter), at least
@@ -11,11 +12,13 @@ also cut into windows of that many words, STRIDE apart. Besides, each stretch of
 template has is a block for it, wherever lines end, so notices wrapped over lines and templates of any length are met.
 The whole text goes through the join first: what it does not contain, none of its blocks does.
 
-Words are runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z. The templates
-are a small fixed list (a parameter); documents are read in one pass and nothing is shuffled but token counts.
+Words are runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z. The templates go with
+the code to each task, so their words are at most MOST_WORDS in all (more are refused); documents are read in two passes,
+for the counts and for the join, and nothing is shuffled but token counts.
 
-Cases: null and empty texts have no words, no places and the score 0. Repeated rows and null ids are scanned row by
-row. Other columns do not pass. An empty table gives an empty table.
+Cases: null and empty texts have no words, no places and the score 0. Very long texts are scanned whole. Repeated rows and
+null ids are scanned row by row. Other columns do not pass. An empty table gives an empty table; without templates and
+phrases there are no labels.
 """
 
 from __future__ import annotations
@@ -30,27 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
+from .license_texts import TEMPLATES
 
 STRIDE = 64
+MOST_WORDS = 5_000_000
 ROOM = 2  # a template may be strewn with as many other words
 
 # The phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Notices by which public licenses ask to be named.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "Released under the MIT License"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-]
-
-
 def word_mask(low: np.ndarray) -> np.ndarray:
     return ((low >= 48) & (low <= 57)) | ((low >= 97) & (low <= 122)) | (low >= 128)
 
@@ -68,9 +59,11 @@ def _hashed(text: str) -> np.ndarray:
 
 
 class Templates:
-    def __init__(self, templates: list[tuple[str, str]], threshold: float):
-        self.labels = [label for label, _ in templates]
-        words = [_hashed(text) for _, text in templates]
+    def __init__(self, templates: list[tuple[str, str, str]], threshold: float):
+        self.names, self.labels = [name for name, _, _ in templates], [label for _, label, _ in templates]
+        words = [_hashed(text) for _, _, text in templates]
+        if sum(map(len, words)) > MOST_WORDS:
+            raise ValueError(f"templates of more than {MOST_WORDS} words: scan them in parts")
         self.stretch = [ROOM * len(x) for x in words]
         self.sets = [np.unique(x) for x in words]
         self.tokens = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]))
@@ -131,8 +124,8 @@ def _blocks(line: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from ((i, min(b, i + 2 * STRIDE)) for i in range(a, max(a + 1, b - STRIDE), STRIDE))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, template_ids of every row."""
     known = Templates(TEMPLATES if templates is None else templates, threshold)
     wanted = [(_hashed(p), label) for p, label in (PHRASES if phrases is None else phrases).items()]
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -157,7 +150,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
             for part in w.slices(batch, "text"):
                 yield _scanned(part, known, wanted)
 
-    return chosen.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return chosen.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, template_ids string")
 
 
 def _scanned(part: pa.RecordBatch, known: Templates, wanted: list[tuple[np.ndarray, str]]) -> pa.RecordBatch:
@@ -174,6 +167,7 @@ def _scanned(part: pa.RecordBatch, known: Templates, wanted: list[tuple[np.ndarr
         for d, at in zip((np.searchsorted(first, hit, side="right") - 1).tolist(), hit.tolist(), strict=True):
             places[d].append((at - int(first[d]), label))
     more: dict[int, dict[str, float]] = defaultdict(dict)
+    named: dict[int, set[str]] = defaultdict(set)
     if len(known.tokens) and len(hashes):
         ids = known.ids(hashes)
         rank = np.where(ids >= 0, known.rank[ids], -1)
@@ -199,6 +193,7 @@ def _scanned(part: pa.RecordBatch, known: Templates, wanted: list[tuple[np.ndarr
                     found.append((t, most / len(known.sorted[t])))
             for t, share in found:
                 label = known.labels[t]
+                named[d].add(known.names[t])
                 more[d][label] = max(share, more[d].get(label, 0.0))
     base = [{label for _, label in places.get(d, ())} for d in range(n)]
     joined = lambda labels: ",".join(sorted(labels))
@@ -212,8 +207,9 @@ def _scanned(part: pa.RecordBatch, known: Templates, wanted: list[tuple[np.ndarr
             pa.array([joined(base[d]) for d in range(n)]),
             pa.array([joined(base[d] | more.get(d, {}).keys()) for d in range(n)]),
             pa.array([1.0 if base[d] else max(more[d].values()) if d in more else 0.0 for d in range(n)]),
+            pa.array([joined(named.get(d, ())) for d in range(n)]),
         ],
-        names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+        names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "template_ids"],
     )
 
 

@@ -535,26 +535,43 @@ def test_licenses(spark, sf_dir):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(v), len(places), min(places)[0] if places else None, max(places)[0] if places else None)
         assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and r["labels"] == ",".join(sorted({x for _, x in places} | contained(text)))
-    assert got[-4]["labels"] == "bsd" and got[-5]["labels"] == "cc" and got[-3]["n_base"] == 2
+    assert got[-4]["labels"] == "bsd" and got[-5]["labels"] == "cc" and got[-3]["n_base"] == 2 and got[-5]["template_ids"] == "cc-by-4.0-notice,cc-by-sa-4.0-notice"
     assert licenses.scan(table(spark, [])).collect() == []
+    twice = [tuple(r) for r in licenses.scan(table(spark, ["MIT License " * 3, "MIT License " * 3, "w " * 300_000 + "mit license"], [None, None, 4])).collect()]
+    assert sorted(twice, key=str) == sorted([(None, 6, 3, 0, 4, "mit", "mit", 1.0, "")] * 2 + [(4, 300_002, 1, 300_000, 300_000, "mit", "mit", 1.0, "")], key=str)
 
 
 def contained(text):
+    """Labels of templates of which some stretch of twice their words, or some line's block, holds enough."""
     found = set()
     split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
-    for line in (text or "").split("\n"):
-        v = split(line)
-        for i in range(0, max(1, len(v) - licenses.STRIDE), licenses.STRIDE):
-            block = set(v[i : i + 2 * licenses.STRIDE])
-            found |= {label for label, t in licenses.TEMPLATES if len(block & set(split(t))) >= 0.8 * len(set(split(t)))}
+    v = split(text or "")
+    lines = [split(x) for x in (text or "").split("\n")]
+    blocks = [set(x[i : i + 2 * licenses.STRIDE]) for x in lines for i in range(0, max(1, len(x) - licenses.STRIDE), licenses.STRIDE)]
+    for _, label, t in licenses.TEMPLATES:
+        own, size = set(split(t)), 2 * len(split(t))
+        inside = [x if x in own else None for x in v]
+        if len(own.intersection(v)) >= 0.8 * len(own):
+            stretches = (set(inside[i : i + size]) - {None} for i in range(len(v)) if inside[i])
+            if any(len(x & own) >= 0.8 * len(own) for x in blocks) or any(len(x) >= 0.8 * len(own) for x in stretches):
+                found.add(label)
     return found
 
 
+def test_whole_license_texts(spark):
+    rows = list(licenses.TEMPLATES)
+    wrapped = ["\n".join(" ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11)) for _, _, t in rows]
+    docs = table(spark, ["plain words before\n" * 40 + t + "\nplain words after" * 40 for t in wrapped])
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for i, (name, label, _) in enumerate(rows):
+        assert label in got[i]["labels"].split(",") and name in got[i]["template_ids"].split(",") and contained(docs.collect()[i]["text"]) <= set(got[i]["labels"].split(","))
+
+
 def test_wrapped_and_long_licenses(spark):
     mit = "Copyright 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin it"
     apache = "# you may not use this file except in compliance\n# with the License. You may obtain a copy of\n# the License at"
     gpl = "\n * ".join("This program is free software: you can redistribute it and/or|modify it under the terms of the GNU General Public License as|published by the Free Software Foundation".split("|"))
-    far = "\n".join(x + " q" * 40 for x in licenses.TEMPLATES[5][1].split())
+    far = "\n".join(x + " q" * 40 for x in dict((n, t) for n, _, t in licenses.TEMPLATES)["bsd-grant"].split())
     texts = [mit, apache, gpl, far, "a b " * 300 + "\n" + mit]
     got = {r["doc_id"]: (r["labels"], r["base_labels"]) for r in licenses.scan(table(spark, texts)).collect()}
     assert got == {0: ("mit", ""), 1: ("apache", ""), 2: ("gpl", "gpl"), 3: ("", ""), 4: ("mit", "")}
@@ -562,7 +579,7 @@ def test_wrapped_and_long_licenses(spark):
     wrapped = "\n".join(" ".join(long[i : i + 9]) for i in range(0, 300, 9))
     less = " ".join(x for i, x in enumerate(long) if i % 4)
     texts = ["k " * n + t for n in (0, 31, 64, 100) for t in (wrapped, " ".join(long), less)]
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(table(spark, texts), templates=[("long", " ".join(long)), ("two", "u1 u2")]).collect()}
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(table(spark, texts), templates=[("a", "long", " ".join(long)), ("b", "two", "u1 u2")]).collect()}
     assert got == {i: ("", 0.0) if i % 3 == 2 else ("long", 1.0) for i in range(12)}
 
 
