@@ -1,29 +1,11 @@
-"""Reading the given tables and cutting lineage in the folder that all executors share."""
+"""Reading the given tables; lineage is cut in the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.storage import new_folder, shared_dir, stored  # noqa: F401
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only where it is unset (tests on one machine) a local folder is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a written Parquet table in the shared folder: it survives lost executors and ends the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -77,6 +77,15 @@ def test_substring_dedup_of_nothing(spark):
     assert [r["n_removed"] for r in substring_dedup.remove_repeats(table(spark, [" ".join(map(str, range(40)))] * 2, [None, 1])).collect()] == [40, 40]
 
 
+def test_equal_rows_are_dealt_over_buckets(spark, monkeypatch):
+    text = " ".join(map(str, range(40)))
+    docs = spark.createDataFrame([(None, text)] * 4000 + [(1, "a b")], DOC.split(", ")[0] + ", text string")
+    spread = docs.select(F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(96)).alias("b")).groupBy("b").count()
+    assert spread.agg(F.max("count")).first()[0] < 100
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == {(None, 40, 40, ""): 4000, (1, 2, 0, "a b"): 1}
+
+
 # 9
 
 
@@ -510,8 +519,8 @@ def test_separator_scan(spark, tmp_path, monkeypatch):
         want |= {(name, i): v for i, v in enumerate(runs + [n] * bool(n))}
     for size in (2, 1024):
         monkeypatch.setattr(token_counts, "SUPER", size)
-        blocks = token_counts.read_token_files(spark, f"file://{tmp_path}/f")
-        got = {(r["file_id"].rsplit("/", 1)[-1], r["document"]): r["n_tokens"] for r in token_counts.separator_scan(blocks, separator=9).collect()}
+        files = token_counts.listed(spark, f"file://{tmp_path}/f")
+        got = {(r["file_id"].rsplit("/", 1)[-1], r["document"]): r["n_tokens"] for r in token_counts.separator_scan(files, separator=9).collect()}
         assert got == want
 
 
@@ -523,6 +532,19 @@ def test_op8(spark, sf_dir):
     assert got == {i: len(encode(t or "")) for i, t in docs_of(spark, sf_dir)}
 
 
+def test_token_files_of_odd_rows(spark):
+    texts = ["one two", None, "", "one two", "many words " * 100_000, "x"]
+    docs = table(spark, texts, [1, 2, 3, 1, 5, None]).unionAll(table(spark, ["one two"], [1])).withColumn("file_id", F.lit("clash"))
+    files = token_counts.stored(token_counts.token_files(docs, token_counts.new_folder(spark)))
+    assert files.where("bytes is not null").agg(F.sum("bytes")).first()[0] == 2 * (7 + 3 * 2 + 200_001 + 1)
+    counts = token_counts.separator_scan(files.where("bytes is not null").select("file_id", "bytes"))
+    names = files.where("bytes is null").select("file_id", F.posexplode("doc_ids").alias("i", "doc_id"), "number").withColumn("document", F.col("number") + F.col("i"))
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in names.join(counts, ["file_id", "document"]).collect())
+    assert got == {(1, 2): 3, (2, 0): 1, (3, 0): 1, (5, 200_001): 1, (None, 1): 1}
+    none = token_counts.stored(token_counts.token_files(docs.limit(0), token_counts.new_folder(spark)))
+    assert token_counts.separator_scan(none.where("bytes is not null").select("file_id", "bytes")).collect() == []
+
+
 # 10
 
 
