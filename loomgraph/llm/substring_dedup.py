@@ -1,9 +1,12 @@
 """Exact removal of repeated word windows, with a count-min prefilter.
 
-A window is `window` consecutive words (runs of bytes other than space and 0x09-0x0D) of one document, known by 128
-bits of hash. Each word that a repeated window covers is removed, in every copy.
+A window is `window` consecutive words (runs of bytes other than space and 0x09-0x0D) of one document, known by two
+64-bit hashes of its words' 64-bit hashes: sequences of equal words always agree, and others differ but for a chance of
+about 2^-64 for each pair of words. Each word that a repeated window covers is removed, in every copy.
 
-1. Documents are dealt into buckets. A bucket makes a partial count-min sketch of its windows: `depth` rows of cells
+1. Documents are dealt into buckets by a hash of the row: its id, its text and its place in the table, so that repeated
+   rows (a third of all, say, of a null id) are spread too. The table should be a stored one, which gives the same places
+   whenever a lost task is done again. A bucket makes a partial count-min sketch of its windows: `depth` rows of cells
    dealt over shards by the window's hash, sent sparsely (cells met, and which of them were met twice or more).
 2. A shard adds the buckets' partial sketches up and answers each bucket: one bit for each cell sent, set where the
    merged count reaches two. Counts are only ever overestimated, so no repeated window is lost.
@@ -158,7 +161,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, depth: int = 2, id_col: st
     size = docs.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long")), F.lit(0)).alias("b")).first()
     buckets = max(min(LEAST_BUCKETS, size["n"]), size["b"] // BUCKET_BYTES, 1)
     shards = max(LEAST_SHARDS, size["b"] // 6 // SHARD_WORDS)
-    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int")
+    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
     dealt = docs.select(*kept, F.col(text_col).cast("string").alias("_text"), key.alias("_bucket")).groupBy("_bucket")
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
