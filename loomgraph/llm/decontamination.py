@@ -6,15 +6,21 @@
    long as n allows while need is at least 1 for the shortest item (2 words at 0.6), so no copy is without a seed.
 3. A document that holds a seed and need n-grams of the item is aligned with it around their places. First the share of
    the item's words that occur there bounds the score from above; then the local alignment (match 2, change -1, gap -1),
-   divided by that of a full match, must reach `threshold`. Every pair that reaches it is found.
+   divided by that of a full match, must reach `threshold`. Every pair that reaches it is found: a matched run that holds
+   one of the shared n-grams lies in the ranges that are aligned, which reach as far to both sides of it as an alignment
+   at the threshold can (the item's length and the gaps that its score allows).
 
 Texts and items are first made NFKC and case-folded, in all scripts. Words are runs of ASCII letters and digits and of
-all characters beyond ASCII in what comes of it; first_word and last_word count these. Items are taken in blocks of about
-`block` (a bound on what tasks and driver hold, for items are short); every block meets all documents. Items of fewer
-than `least_words` words cannot be told from chance and take no part.
-
-Cases: null and empty texts and items meet nothing. Repeated documents are reported once for each id and item, with the
-best score; null ids are reported as null. Other columns do not pass. Empty tables give an empty table.
+all characters beyond ASCII in what comes of it; first_word and last_word count these. The documents' words are hashed
+and stored once (8 bytes a word, in the shared folder). Items are joined in blocks of about `block_bytes` of text, which
+bounds what the driver and a task hold whatever the items' number and length; every block meets all documents' hashes.
+Items of exact_words to least_words - 1 words are too short for edits: they must stand whole. Shorter ones cannot be told
+from chance and take no part.
+
+Cases: null and empty texts and items meet nothing; very long texts are aligned whole, around the seeds. Repeated
+documents are reported once for each id and item, with the best score; null ids are reported as null, as one. Repeated
+items count once, and an id with several texts has the best of them. Other columns do not pass. Empty tables give an empty
+table.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .licenses import _words as _plain_words
+from .tables import stored
 
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
 SLIP = 1e-9  # what floating point may add to a whole number
@@ -80,15 +87,16 @@ def least_shared(size: int, n: int, threshold: float) -> int:
 class Seeds:
     """The items of a block and the places of their n-grams."""
 
-    def __init__(self, items: list[tuple[int, str | None]], n: int, threshold: float, least_words: int):
+    def __init__(self, items: list[tuple[int, str | None]], n: int, threshold: float, least_words: int, exact_words: int):
         split = [(i, _words(pa.array([t], pa.string()))[0]) for i, t in items]
-        self.items = [(i, x) for i, x in split if len(x) >= max(1, least_words)]
-        shortest = min((len(x) for _, x in self.items), default=1)
-        self.n = max(k for k in range(1, n + 1) if k == 1 or k <= shortest and least_shared(shortest, k, threshold) >= 1)
+        self.items = [(i, x) for i, x in split if len(x) >= max(1, min(least_words, exact_words))]
+        self.least = [threshold if len(x) >= least_words else 1.0 for _, x in self.items]
+        own = {(len(x), t) for (_, x), t in zip(self.items, self.least, strict=True)}
+        self.n = max(k for k in range(1, n + 1) if k == 1 or all(k <= size and least_shared(size, k, t) >= 1 for size, t in own))
         grams = [w.mix(w.windows(x, self.n)) for _, x in self.items]
         self.every, self.gram = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_inverse=True)
         self.first = np.cumsum([0] + [len(g) for g in grams])  # of each item's places in self.gram
-        self.need = np.array([max(1, least_shared(len(x), self.n, threshold)) for _, x in self.items], np.int64)
+        self.need = np.array([max(1, least_shared(len(x), self.n, t)) for (_, x), t in zip(self.items, self.least, strict=True)], np.int64)
 
     def choose(self, frequency: np.ndarray) -> None:
         """frequency: of each gram of self.every."""
@@ -126,25 +134,42 @@ def _regions(diagonals: np.ndarray, size: int, slack: int, words: int) -> Iterat
         yield max(0, int(diagonals[low]) - slack), min(words, int(diagonals[high]) + size + slack)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.6, least_words: int = 6, block: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.6, least_words: int = 6, exact_words: int = 3, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score (0 to 1), first_word and last_word of the aligned stretch, for each pair at the threshold."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     asked = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
-    parts = max(1, -(-asked.count() // block))
-    found = [_found(chosen, [tuple(r) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()], n, threshold, least_words) for p in range(parts)]
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).first()["b"]  # one number
+    parts = max(1, -(-size // block_bytes))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in w.slices(batch, "text"):
+                hashes, first = _words(part["text"])
+                blobs = [hashes[a:b].astype("<u8").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(blobs, pa.binary())], names=["doc_id", "words"])
+
+    words = stored(chosen.where("text is not null").mapInArrow(hashed, "doc_id long, words binary"))
+    found = [_found(words, [tuple(r) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()], n, threshold, least_words, exact_words) for p in range(parts)]
     best = reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.first_word", "b.last_word")
 
 
-def _found(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: float, least_words: int) -> DataFrame:
-    index = Seeds(items, n, threshold, least_words)
+def _unpacked(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, and each row's first."""
+    data, offs = w.flat_binary(blobs)
+    return data.view("<u8") if len(data) else np.empty(0, np.uint64), offs // 8
+
+
+def _found(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: float, least_words: int, exact_words: int) -> DataFrame:
+    """Contaminated pairs of docs (doc_id, words) and the items of a block."""
+    index = Seeds(items, n, threshold, least_words, exact_words)
     n = index.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size = np.zeros(len(index.every), np.int64), max(1, len(index.every))
         for batch in batches:
-            for part in w.slices(batch, "text"):
-                hashes, first = _words(part["text"])
+            for part in w.slices(batch, "words"):
+                hashes, first = _unpacked(part["words"])
                 at, own = w.window_texts(first, n)
                 if len(at):
                     met = _met(w.mix(w.windows(hashes, n)[at]), index.every)
@@ -161,8 +186,8 @@ def _found(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in w.slices(batch, "text"):
-                rows = list(_aligned(part, index, threshold))
+            for part in w.slices(batch, "words"):
+                rows = list(_aligned(part, index))
                 if rows:
                     ids, item, score, low, high = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -181,15 +206,15 @@ def _candidates(doc: np.ndarray, met: np.ndarray, index: Seeds) -> np.ndarray:
     return pairs[shared >= index.need[pairs[:, 1]]]
 
 
-def _aligned(part: pa.RecordBatch, index: Seeds, threshold: float) -> Iterator[tuple]:
-    hashes, first = _words(part["text"])
+def _aligned(part: pa.RecordBatch, index: Seeds) -> Iterator[tuple]:
+    hashes, first = _unpacked(part["words"])
     at, own = w.window_texts(first, index.n)
     if not len(at) or not len(index.every):
         return
     met = _met(w.mix(w.windows(hashes, index.n)[at]), index.every)
     starts = np.concatenate(([0], np.cumsum(own)))
     for d, k in _candidates(np.repeat(np.arange(len(own)), own), met, index).tolist():
-        item_id, item = index.items[k]
+        (item_id, item), threshold = index.items[k], index.least[k]
         text = hashes[first[d] : first[d + 1]]
         grams, known = met[starts[d] : starts[d + 1]], index.gram[index.first[k] : index.first[k + 1]]
         places = np.flatnonzero(np.isin(grams, known))

@@ -49,6 +49,17 @@ def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def flat_binary(blobs: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column; null counts as empty."""
+    if isinstance(blobs, pa.ChunkedArray):
+        blobs = blobs.combine_chunks()
+    blobs = pc.fill_null(blobs, b"").cast(pa.large_binary())
+    _, offsets, data = blobs.buffers()
+    offs = np.frombuffer(offsets, np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    return data[offs[0] : offs[-1]], offs - offs[0]
+
+
 def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch | pa.Table]:
     """Parts of batch with about limit bytes of text each, at least a row."""
     if not batch.num_rows:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -262,12 +263,50 @@ def test_quotes():
 # 2
 
 
-def test_decontamination(spark, sf_dir):
-    items = [(r["item_id"], r["text"]) for r in read(spark, sf_dir, "benchmark").collect()]
-    rows = docs_of(spark, sf_dir)
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.op2_query(spark, sf_dir).collect()}
-    assert {(i, k) for i, t in rows for k, y in items if y in (t or "")} <= got
-    assert all(score_by_hand(dict(rows)[i], dict(items)[k]) >= 0.6 for i, k in got)
+def best_alignment(item, text):
+    """The best local alignment's score of word numbers, divided by a full match's; plain dynamic programming by rows."""
+    row, best = np.zeros(len(text) + 1, np.int64), 0
+    for x in item:
+        new = np.maximum(0, row - 1)
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(text == x, 2, -1))
+        step = np.arange(len(new))
+        row = np.maximum.accumulate(new + step) - step
+        best = max(best, int(row.max()))
+    return best / (2 * len(item))
+
+
+def test_op2_by_hand(spark):
+    d = "/root/testdata/sf0.01"
+    numbers = {}
+
+    def words(text):
+        folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+        return np.array([numbers.setdefault(x, len(numbers)) for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)], np.int64)
+
+    items = {r["item_id"]: words(r["text"]) for r in read(spark, d, "benchmark").collect()}
+    assert min(map(len, items.values())) >= 6
+    want = {}
+    for i, text in docs_of(spark, d):
+        own = words(text)
+        for k, item in items.items():
+            if np.isin(item, own).mean() >= 0.6 and (score := best_alignment(item, own)) >= 0.6:
+                want[i, k] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.op2_query(spark, d).collect()}
+    assert got.keys() == want.keys() and len(want) >= 20 and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_decontamination_of_odd_rows(spark):
+    rng = random.Random(3)
+    passage = lambda n: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(300)) for _ in range(n))
+    items = [(1, passage(20)), (1, passage(20)), (2, passage(4)), (3, "one two"), (4, passage(12)), (4, None), (None, passage(9)), (5, "")]
+    edited = items[2][1].split()
+    docs = [(1, f"x {items[0][1]} y"), (1, f"x {items[0][1]} y"), (1, items[1][1] + " tail"), (None, items[4][1]), (None, items[4][1] + " z"), (2, "a " + items[2][1]), (3, " ".join([edited[0], "other", *edited[2:]])), (4, "one two"), (5, None), (6, ""), (7, "q " * 300_000 + items[4][1]), (8, items[6][1])]
+    df = spark.createDataFrame([(i, t, 3) for i, t in docs], "doc_id long, text string, item_id int")
+    asked = spark.createDataFrame([(i, t, 0.5) for i, t in items], "item_id long, text string, score double")
+    for block in (1 << 24, 200):
+        got = sorted(map(tuple, decontamination.contaminated(df, asked, block_bytes=block).collect()), key=str)
+        want = [(1, 1, 1.0, 1, 20), (None, 4, 1.0, 0, 11), (2, 2, 1.0, 1, 4), (7, 4, 1.0, 300_000, 300_011), (8, None, 1.0, 0, 8)]
+        assert got == sorted(want, key=str)
 
 
 def score_by_hand(text, item):
