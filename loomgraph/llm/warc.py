@@ -5,14 +5,16 @@ latest full response of its canonical URL with a lesser ts (ties: the greatest r
 (etags if both have one, else the last-modified values), and if they agree the headers that a 304 may carry replace
 those of the response.
 
-The join is made of aggregates and two windows. Time is cut into spans. The last response of each URL and span is an
-aggregate (combined before the shuffle); a window over a URL's spans carries the last response into each span; a window
-over one URL and span finds the last response within. A hot URL is thus split by time. Only small records move: neither
-payloads nor pages.
+The join is made of aggregates and two windows. Time is cut into spans. The last response of each URL and second, and of
+each URL and span, are aggregates (combined before the shuffle); a window over a URL's spans carries the last response
+into each span; a window over the seconds of one URL and span finds the last response within. A hot URL is thus split by
+time, and no window holds more than a span's seconds or a URL's spans, however many records there are. Only small records
+move: neither payloads nor pages.
 
 Cases: records with a null URL or time, and revisits without an earlier response, are unresolved; a response or revisit
 without validators in common is 'unchecked'; empty URLs are a URL like others; repeated rows are records of their own;
-null headers are no headers; other columns do not pass. An empty table gives an empty table.
+null headers are no headers, and very long URLs and headers are taken whole; other columns do not pass. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -44,13 +46,15 @@ def resolve_revisits(records: DataFrame, span: int = 86_400) -> DataFrame:
     rows = rows.withColumn("span", F.floor(F.col("ts") / span))
     response = F.struct("ts", "record_id", "etag", "last_modified", "headers")
     usable = rows.where("url_key is not null and ts is not null")
-    place = F.struct("ts", "record_id")
-    spans = usable.groupBy("url_key", "span").agg(F.max_by(F.when(F.col("kind") == "response", response), F.when(F.col("kind") == "response", place)).alias("latest"))
+    answered = F.col("kind") == "response"
+    seconds = usable.groupBy("url_key", "span", "ts").agg(F.max_by(F.when(answered, response), F.when(answered, F.col("record_id"))).alias("own"), F.max(~answered).alias("asked"))
+    spans = usable.groupBy("url_key", "span").agg(F.max_by(F.when(answered, response), F.when(answered, F.struct("ts", "record_id"))).alias("latest"))
     over = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("url_key", "span", F.last("latest", ignorenulls=True).over(over).alias("carried"))
-    within = Window.partitionBy("url_key", "span").orderBy("ts", F.col("kind") == "response", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = usable.withColumn("near", F.last(F.when(F.col("kind") == "response", response), ignorenulls=True).over(within)).where("kind = 'revisit'")
-    found = near.join(spans.where("carried is not null"), ["url_key", "span"], "left").withColumn("r", F.coalesce("near", "carried")).drop("near", "carried")
+    within = Window.partitionBy("url_key", "span").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    near = seconds.withColumn("near", F.last("own", ignorenulls=True).over(within)).where("asked")
+    near = near.join(spans.where("carried is not null"), ["url_key", "span"], "left").select("url_key", "ts", F.coalesce("near", "carried").alias("r"))
+    found = usable.where("kind = 'revisit'").join(near, ["url_key", "ts"])
     lost = rows.where("kind = 'revisit' and (url_key is null or ts is null)").withColumn("r", F.lit(None).cast(found.schema["r"].dataType))
     both = found.select("url_key", "ts", "record_id", "etag", "last_modified", "headers", "r").unionByName(lost.select("url_key", "ts", "record_id", "etag", "last_modified", "headers", "r"))
     tagged = F.col("etag").isNotNull() & F.col("r.etag").isNotNull()

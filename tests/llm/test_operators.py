@@ -538,6 +538,19 @@ def test_revisits(spark):
     assert got[8][:2] == (2, "resolved") and got[9][:2] == (2, "unchecked") and len(got) == 7
 
 
+def test_revisits_of_hot_urls(spark):
+    schema = "record_id long, kind string, url string, ts long, etag string, last_modified string, headers map<string,string>, url_key string"
+    rows = [(i, "response", "http://a.org/x", 10 + i // 500, f"e{i}", None, {"H": "v" * 50}, "") for i in range(2000)]
+    rows += [(i, "revisit", "http://www.a.org/x/", 12, "e999", None, {"Date": str(i)}, "") for i in range(5000, 7000)]
+    rows += [(9000, "revisit", "http://a.org/x", 11, "e499", None, {}, "")] * 3 + [(9001, "revisit", "http://a.org/" + "long/" * 20_000, 11, "e499", None, {}, "")]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 2004 and {(r["response_id"], r["status"]) for r in got if r["ts"] == 12} == {(999, "resolved")}
+    assert [(r["response_id"], r["status"], r["headers"]) for r in got if r["record_id"] == 9000] == [(499, "resolved", {"H": "v" * 50})] * 3
+    assert [r["status"] for r in got if r["record_id"] == 9001] == ["unresolved"]
+    assert warc.resolve_revisits(spark.createDataFrame([], schema)).collect() == []
+    assert warc.resolve_revisits(spark.createDataFrame(rows[:5], schema)).collect() == []
+
+
 # 8
 
 
