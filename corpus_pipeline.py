@@ -2,10 +2,16 @@
 
 toxicity drops documents that the learned score rejects; minhash_near_dedup keeps one document of each group;
 substring_dedup takes passages of 50 words and more that stand in several places out of the texts; decontamination
-drops documents that hold benchmark items; bpe adds token counts and ids.
+drops documents that hold benchmark items; bpe adds token counts and ids. All but the last return the columns of documents.
 
-Rows get a key of their own, row_id, in the first stage, for doc_id may be repeated or null. Dedup and decontamination
-decide by it: of each group of near or exact copies one row is kept, that of the least doc_id (null ids last).
+Rows are decided by themselves, for doc_id may be repeated or null: near-dedup and decontamination number the rows of
+their input in a stored table and drop the numbers again. Of each group of near or exact copies one row is kept, that of
+the least doc_id (null ids last), then of the least hash of the text.
+
+Cases, in every stage: null texts, ids, langs, sources and counts stay as they are; rows without words are kept (they are
+not toxic, near to nothing, repeat nothing and hold no item) and have no tokens. Very long texts are handled whole. Repeated
+rows are copies: near-dedup keeps one; the other stages treat each alike. Ties go to the least id. Columns that documents
+does not have are left out, whatever their names. An empty table gives an empty table with the stage's columns.
 """
 
 from __future__ import annotations
@@ -17,43 +23,42 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontamination, minhash_dedup, substring_dedup, toxicity
 from loomgraph.llm.tables import read, stored
+from loomgraph.sources.storage import drop, new_folder, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-KEYED = ["row_id", *COLUMNS]
 REPEATED_WORDS = 50
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_id. The key is fixed once the rows are written; here they are, if they have none yet."""
-    return docs if "row_id" in docs.columns else stored(docs.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS))
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_id, stored, for numbers hold only once they are written."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
-    clean = toxicity.score(docs.select(COLUMNS), model, passed=tuple(COLUMNS[1:])).where("predicted = 0")
-    return clean.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS)  # each stage's rows are written
+    return toxicity.score(docs.select(COLUMNS), model, passed=tuple(COLUMNS[1:])).where("predicted = 0").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
+    rows = numbered(docs)
     groups = minhash_dedup.near_duplicates(rows, id_col="row_id").select(F.col("doc_id").alias("row_id"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "row_id")
     first = rows.select("row_id", order.alias("r")).join(groups, "row_id").groupBy("component_id").agg(F.min("r").alias("r"))
-    return rows.select(KEYED).join(stored(first.select("r.row_id")), "row_id").select(KEYED)
+    return rows.join(stored(first.select("r.row_id")), "row_id", "left_semi").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring_dedup.remove_repeats(keyed(docs).select(KEYED), window=REPEATED_WORDS, passed=("row_id", *COLUMNS[1:]))
+    out = substring_dedup.remove_repeats(docs.select(COLUMNS), window=REPEATED_WORDS, passed=tuple(COLUMNS[1:]))
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     size = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select("row_id", "doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
+    rows = numbered(docs)
     leaks = decontamination.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col="row_id").select(F.col("doc_id").alias("row_id")).distinct()
-    return rows.select(KEYED).join(stored(leaks), "row_id", "left_anti").select(KEYED)
+    return rows.join(stored(leaks), "row_id", "left_anti").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage stored for itself is deleted when it is written, and so is its input."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = new_folder(spark)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
