@@ -693,3 +693,38 @@ def test_pipeline_of_repeated_rows_and_null_ids(spark, tmp_path):
     left = [(1, twice), (None, unnamed), (2, one), (2, other), (3, copied), (4, shared), rows[11], (6, None), (7, ""), *fill]
     decoded = bpe.encode_decode(spark.createDataFrame(left, "doc_id long, text string")).select("doc_id", F.sha2(F.col("decoded").cast("binary"), 256))
     assert got == Counter(map(tuple, decoded.collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    passage = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(7)) for _ in range(n))
+    leak, long = passage(20), " ".join(f"é{i}" for i in range(100_000))
+    toxic = [(100 + i, f"you idiot number{i} {passage(5)}", "en", "s", 3) for i in range(30)]
+    clean = [(200 + i, passage(30), "en", "s", 3) for i in range(60)]
+    odd = [(1, None, None, None, None), (None, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "", None, "s", 0), (3, " \n ", "en", None, 3), (4, long, "fr", "s", None)]
+    twice = [(5, passage(70), "en", "s", 9)] * 2 + [(None, passage(70), "en", "s", 9)] * 2
+    held = [(6, f"a {leak} b {passage(30)}", "en", "s", 1), (None, leak, "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [*odd, *twice, *held, *toxic, *clean]
+    docs = spark.createDataFrame(rows, schema).select("*", *[F.lit(1).alias(c) for c in ("row_id", "score", "predicted", "set_key", "_text", "_bucket", "words", "ids", "held_out")])
+    spark.createDataFrame([(r[0], 1, int(r in toxic)) for r in toxic + clean], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/in")
+    docs, d = spark.read.parquet(f"{tmp_path}/in"), str(tmp_path)
+    as_rows = lambda df: Counter(map(tuple, df.collect()))
+    kept = [r for r in rows if r not in toxic]
+    want = {
+        "toxicity": Counter(kept),
+        "minhash_near_dedup": Counter(rows) - Counter([twice[0], twice[2]]),
+        "substring_dedup": Counter([*(r for r in rows if r not in twice), *((i, "", lang, s, 0) for i, _, lang, s, _ in twice)]),
+        "decontamination": Counter(r for r in rows if r not in held),
+    }
+    for name, stage in pipeline.STAGES:
+        out, none = stage(spark, docs, d), stage(spark, docs.limit(0), d)
+        assert none.collect() == [] and none.columns == out.columns
+        if name in want:
+            assert out.columns == pipeline.COLUMNS and as_rows(out) == want[name], name
+        else:
+            got = {(r["doc_id"], r["lang"], r["n_tokens"]) for r in out.collect()}
+            assert out.count() == len(rows) and {(1, None, 0), (None, "en", 0), (2, "en", 0)} <= got
