@@ -81,7 +81,7 @@ def merge_jobs(entity_rows: DataFrame, low: int = 2, high: int = 70) -> DataFram
     """entity_key, n, name (most common, first seen on ties), descriptions of entities met low..high times with one description at least."""
     names = entity_rows.groupBy("entity_key", "name").agg(F.count(F.lit(1)).alias("c"), F.min("ord").alias("o"))
     best = names.groupBy("entity_key").agg(F.min_by("name", F.struct((-F.col("c")).alias("c"), "o", "name")).alias("name"), F.sum("c").alias("n")).where(F.col("n").between(low, high))
-    texts = entity_rows.where("description is not null").groupBy("entity_key").agg(F.array_sort(F.collect_set("description")).alias("descriptions"))
+    texts = entity_rows.where("description is not null").join(best.select("entity_key"), "entity_key", "left_semi").groupBy("entity_key").agg(F.array_sort(F.collect_set("description")).alias("descriptions"))
     return best.join(texts, "entity_key").select("entity_key", "n", "name", "descriptions")
 
 
@@ -123,8 +123,9 @@ def domain_candidates(assertions: DataFrame, doc_domains: DataFrame) -> DataFram
 
 def classify_writeback(rows: DataFrame, assertions: DataFrame, doc_domains: DataFrame) -> DataFrame:
     """(relation_id, domain) rows whose domain an asserting document holds."""
-    held = assertions.select("relation_id", "doc").distinct().join(doc_domains.select("doc", "domain").distinct(), "doc").select("relation_id", "domain").distinct()
-    return rows.select("relation_id", "domain").distinct().join(held, ["relation_id", "domain"], "left_semi")
+    asked = rows.select("relation_id", "domain").distinct()
+    met = asked.join(assertions.select("relation_id", "doc"), "relation_id")
+    return met.join(doc_domains.select("doc", "domain"), ["doc", "domain"], "left_semi").select("relation_id", "domain").distinct()
 
 
 def domain_coverage(relations: DataFrame, relation_domains: DataFrame, assertions: DataFrame, domains: DataFrame, thin: int = 10) -> DataFrame:

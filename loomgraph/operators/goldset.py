@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .retrieval import top_per
+from .retrieval import matrix, top_per, unit_vectors
 
 
 def draw(seed: str, *parts: Column | str) -> Column:
@@ -61,20 +65,35 @@ def sample_local(relations: DataFrame, assertions: DataFrame, degree: DataFrame,
     return top_per(own, cap, "_d", "relation_id", by="entity_key", rank="_n").select("entity_key", "relation_id")
 
 
-def similarity_edges(vectors: DataFrame, least: float, key: str = "vec_id", blocks: int = 8) -> DataFrame:
-    """src, dst, similarity of all pairs (src < dst) with a cosine of `least` or more.
-
-    An exact join of blocks: each vector is sent to the cells of its row and column of a grid, so a cell holds two
-    blocks, and the number of blocks is chosen with the size of the input."""
-    unit = vectors.select(F.col(key).alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = unit.withColumn("n", norm).where("n > 0").select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    grid = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = unit.select(F.col("id").alias("p"), F.col("v").alias("pv"), F.col("b").alias("i"), F.explode(grid).alias("j"))
-    right = unit.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("b").alias("j"), F.explode(grid).alias("i"))
-    dot = F.aggregate(F.zip_with("pv", "qv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = left.join(right, ["i", "j"]).where("p < q").select(F.col("p").alias("src"), F.col("q").alias("dst"), F.round(dot, 6).alias("similarity"))
-    return pairs.where(F.col("similarity") >= least)
+def similarity_edges(vectors: DataFrame, least: float, key: str = "vec_id", block: int = 2048) -> DataFrame:
+    """src, dst, similarity of all pairs (src < dst) with a cosine of `least` or more; vectors of norm 0 have none.
+
+    An exact join of blocks of about `block` vectors: each is sent to the cells of its row and column of the grid's upper
+    half. A cell is one matrix product of two blocks and returns only what passes."""
+    n = vectors.count()
+    blocks = max(4, -(-n // block))
+    unit = unit_vectors(vectors, key).withColumnRenamed(key, "id").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = unit.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("b", "other")).withColumn("j", F.greatest("b", "other"))
+    schema = pa.schema([("src", to_arrow_type(vectors.schema[key].dataType)), ("dst", to_arrow_type(vectors.schema[key].dataType)), ("similarity", pa.float64())])
+
+    def cell(rows: pa.Table) -> pa.Table:
+        b, i, j = rows["b"].to_numpy(), rows["i"][0].as_py(), rows["j"][0].as_py()
+        one, two = np.flatnonzero(b == i), np.flatnonzero(b == j)
+        if not len(one) or not len(two):
+            return schema.empty_table()
+        v = matrix(rows)
+        score = np.round(v[one] @ v[two].T, 6)
+        size = (v * v).sum(1) > 0
+        at, to = np.nonzero((score >= least) & size[one][:, None] & size[two][None])
+        low, high, score = rows["id"].take(pa.array(one[at])), rows["id"].take(pa.array(two[to])), pa.array(score[at, to])
+        if i == j:  # each pair is met twice here
+            keep = pc.less(low, high)
+            low, high, score = low.filter(keep), high.filter(keep), score.filter(keep.combine_chunks())
+        swap = pc.greater(low, high)
+        return pa.table([pc.if_else(swap, high, low), pc.if_else(swap, low, high), score], schema=schema)
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return dealt.groupBy("dim", "i", "j").applyInArrow(cell, f"src {kind}, dst {kind}, similarity double").where("src < dst")
 
 
 def combine_edges(one: DataFrame, two: DataFrame, alpha: float = 0.7) -> DataFrame:

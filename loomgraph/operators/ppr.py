@@ -19,13 +19,14 @@ def rounds(alpha: float, tol: float = 1e-8, most: int = 100) -> int:
 def ppr(seeds: DataFrame, edges: DataFrame, alpha: float = 0.45, tol: float = 1e-8, top: int | None = 80, stored: Callable[[DataFrame], DataFrame] | None = None, every: int = 6) -> DataFrame:
     """qid, rank, node, score: walks of (src, dst) edges that restart at the seeds (qid, node) with probability 1 - alpha.
 
-    Only nodes with a positive rank are rows. A round is one join on the node and one sum, combined before the shuffle.
-    The number of rounds follows from alpha and tol beforehand. stored, if given, cuts the lineage every few rounds."""
+    Only nodes with a positive rank are rows. A round is one join on the node and one sum, combined before the shuffle; a
+    hub's edges may be split by adaptive execution, for the ranks are the join's other side. The number of rounds follows
+    from alpha and tol beforehand. stored, if given, keeps edges and starts, and cuts the lineage every few rounds."""
+    keep = stored or (lambda df: df)
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    steps = edges.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("n")).alias("w"))
-    steps = (stored(steps) if stored else steps).repartition("src").persist()  # the rounds move ranks, not edges
-    starts = seeds.select("qid", "node").distinct().join(steps.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
-    starts = starts.withColumn("r", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("qid")))
+    steps = keep(edges.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("n")).alias("w")))
+    starts = seeds.select("qid", "node").distinct().join(steps.select(F.col("src").alias("node")), "node", "left_semi")
+    starts = keep(starts.withColumn("r", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("qid"))))
     restart = starts.select("qid", "node", ((1 - alpha) * F.col("r")).alias("r"))
     now = starts.select("qid", "node", "r")
     for turn in range(rounds(alpha, tol)):
@@ -33,7 +34,7 @@ def ppr(seeds: DataFrame, edges: DataFrame, alpha: float = 0.45, tol: float = 1e
         now = walked.unionAll(restart).groupBy("qid", "node").agg(F.sum("r").alias("r"))
         if stored and turn % every == every - 1:
             now = stored(now)
-    out = now.withColumn("score", F.col("r") / F.sum("r").over(Window.partitionBy("qid"))).withColumn("score", F.round("score", 9)).where("score > 0")
+    out = now.withColumn("score", F.col("r") / F.sum("r").over(Window.partitionBy("qid"))).where("score > 0").withColumn("score", F.round("score", 9))
     if top is None:
         return out.select("qid", "node", "score")
     return top_per(out, top, F.desc("score"), "node").select("qid", "rank", "node", "score")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions.text import cosine
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def top_per(df: DataFrame, k: int, *order: Column | str, by: str | list[str] = "qid", rank: str = "rank") -> DataFrame:
@@ -68,19 +69,44 @@ def phrase_match(docs: DataFrame, phrase: list[str], slop: int = 3, key: str = "
     return split.where(F.exists(ends, lambda e: e["to"] - e["from"] <= len(phrase) - 1 + slop)).select(key)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", most_queries: int = 4096) -> DataFrame:
-    """qid, rank, key, score (cosine) of the k nearest vectors.
-
-    The query side is broadcast only up to most_queries rows; beyond that it is taken in blocks of that size."""
-    n = queries.count()
-    blocks = max(1, -(-n // most_queries))
-    out = None
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).select("qid", F.col("embedding").alias("q"))
-        pairs = vectors.crossJoin(F.broadcast(part)).select("qid", key, F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
-        best = top_per(pairs, k, F.desc("score"), key).select("qid", "rank", key, "score")
-        out = best if out is None else out.unionAll(best)
-    return out
+def unit_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """key and v: vectors of norm 1 (null vectors left out, those of norm 0 as they are), with their length as dim."""
+    v = df.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    v = v.withColumn("norm", norm)
+    return v.select(key, F.transform("v", lambda x: x / F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))).alias("v"), F.size("v").alias("dim"))
+
+
+def matrix(rows: pa.Table, column: str = "v") -> np.ndarray:
+    lists = rows[column].combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 4096) -> DataFrame:
+    """qid, rank, key, score (cosine) of the k nearest vectors, exactly.
+
+    Blocks of queries meet blocks of vectors in the cells of a grid; a cell is one matrix product and returns its best k
+    of each query. No side is broadcast or collected, whatever its size."""
+    n, m = vectors.count(), queries.count()
+    rows, columns = max(1, -(-m // block)), max(8, -(-n // block))
+    part = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = unit_vectors(queries, "qid").select("*", part("qid", rows).alias("i"), every(columns).alias("j"))
+    held = unit_vectors(vectors, key).select("*", part(key, columns).alias("j"), every(rows).alias("i"))
+    schema = pa.schema([("qid", to_arrow_type(queries.schema["qid"].dataType)), (key, to_arrow_type(vectors.schema[key].dataType)), ("score", pa.float64())])
+
+    def cell(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return schema.empty_table()
+        score = np.round(matrix(one) @ matrix(two).T, 9) + 0.0
+        size = min(k, two.num_rows)
+        least = np.partition(score, -size, axis=1)[:, -size]
+        at, to = np.nonzero(score >= least[:, None])  # with ties; the window below decides
+        return pa.table([one["qid"].take(pa.array(at)), two[key].take(pa.array(to)), pa.array(score[at, to])], schema=schema)
+
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
+    best = asked.groupBy("dim", "i", "j").cogroup(held.groupBy("dim", "i", "j")).applyInArrow(cell, kinds)
+    return top_per(best, k, F.desc("score"), key).select("qid", "rank", key, "score")
 
 
 def to_ranked(df: DataFrame, source: str) -> DataFrame:

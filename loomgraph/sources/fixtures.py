@@ -1,17 +1,35 @@
 """Graph tables built from the star schema: chunks, entities, relations, assertions, mentions and domains.
 
-Every table is a DataFrame expression over the given Parquet files, so it grows with them.
+Every table is derived from the whole of the given Parquet files. It is stored once for each session and directory, so
+that queries scan the columns that they need instead of building the graph again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from collections.abc import Callable
+from functools import cached_property, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_key, relation_id
+from .storage import shared_dir, stored
+
+_TABLES: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def kept(build: Callable[[Graph], DataFrame]) -> cached_property:
+    """A table of the graph, stored when it is first asked for in a session."""
+
+    @wraps(build)
+    def table(self: Graph) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, shared_dir(self.spark), self.sf_dir, build.__name__)
+        if key not in _TABLES:
+            _TABLES[key] = stored(build(self))
+        return _TABLES[key]
+
+    return cached_property(table)
 
 
 def _name(kind: str, key: str):
@@ -26,7 +44,7 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @cached_property
+    @kept
     def chunks(self) -> DataFrame:
         rest = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
         split = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))
@@ -52,13 +70,13 @@ class Graph:
             F.col("o_orderpriority").alias("o_orderpriority"),
         )
 
-    @cached_property
+    @kept
     def entities(self) -> DataFrame:
         kinds = [("supplier", "Supplier", "s_suppkey", "organization"), ("customer", "Customer", "c_custkey", "organization"), ("part", "Part", "p_partkey", "equipment"), ("nation", "Nation", "n_nationkey", "location"), ("region", "Region", "r_regionkey", "location")]
         tables = [self.table(t).select(_name(kind, key).alias("name"), F.lit(category).alias("category")) for t, kind, key, category in kinds]
         return reduce(DataFrame.unionAll, tables).select(entity_key(F.col("name")).alias("entity_key"), "name", "category")
 
-    @cached_property
+    @kept
     def relations(self) -> DataFrame:
         c = self.chunks
         supplies = c.select(F.col("s").alias("subject"), F.lit("supplies").alias("label"), F.col("p").alias("object"), F.col("p_type").alias("domain")).distinct()
@@ -71,24 +89,24 @@ class Graph:
         key = relation_id(F.col("subject_key"), F.col("label"), F.col("object_key"), F.col("description"))
         return rows.select(key.alias("relation_id"), "subject", "label", "object", "subject_key", "object_key", "description", "domain")
 
-    @cached_property
+    @kept
     def assertions(self) -> DataFrame:
         pairs = F.explode(F.array(F.struct(F.col("s").alias("subject"), F.lit("supplies").alias("label")), F.struct(F.col("c").alias("subject"), F.lit("ordered").alias("label"))))
         rows = self.chunks.select("chunk_id", "doc", "file_name", "page_number", "sequence_number", "text", "confidence", "strength", "p", pairs.alias("r"))
         key = relation_id(entity_key(F.col("r.subject")), F.col("r.label"), entity_key(F.col("p")), F.concat_ws(" ", "r.subject", "r.label", "p"))
         return rows.select("chunk_id", key.alias("relation_id"), "doc", "file_name", "page_number", "sequence_number", F.col("text").alias("evidence_text"), "confidence", "strength", F.col("r.label").alias("label"))
 
-    @cached_property
+    @kept
     def mentions(self) -> DataFrame:
         return self.chunks.select("chunk_id", "doc", F.explode(F.array("s", "p", "c")).alias("name")).select("chunk_id", "doc", entity_key(F.col("name")).alias("entity_key"), "name")
 
-    @cached_property
+    @kept
     def doc_domains(self) -> DataFrame:
         low = self.chunks.where("doc % 10 <> 0").select("doc", F.lit("low").alias("tier"), F.col("p_type").alias("domain"))
         mid = self.chunks.where("doc % 50 <> 0").select("doc", F.lit("mid").alias("tier"), F.col("o_orderpriority").alias("domain"))
         return low.unionAll(mid).distinct()
 
-    @cached_property
+    @kept
     def relation_domains(self) -> DataFrame:
         return self.relations.where("domain is not null").select("relation_id", "domain")
 
