@@ -37,7 +37,7 @@ def norm_category(df: DataFrame, ontology: list[str]) -> DataFrame:
 
 def explode_entities(parsed: DataFrame) -> DataFrame:
     """chunk_id, pos, name, categories, description, aliases of the entities with a name."""
-    rows = parsed.select("chunk_id", F.posexplode("entities").alias("pos", "e")).select("chunk_id", "pos", F.trim("e.name").alias("name"), "e.canonical_category", "e.llm_category", F.nullif(F.trim("e.description"), F.lit("")).alias("description"), F.filter(F.transform(F.coalesce("e.aliases", F.array().cast("array<string>")), F.trim), lambda x: x != "").alias("aliases"))
+    rows = parsed.select("chunk_id", F.posexplode("entities").alias("pos", "e")).select("chunk_id", "pos", F.trim("e.name").alias("name"), "e.canonical_category", "e.llm_category", F.nullif(F.trim("e.description"), F.lit("")).alias("description"), F.filter(F.transform(F.coalesce("e.aliases", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "").alias("aliases"))
     return rows.where("name <> ''")
 
 

@@ -227,3 +227,111 @@ def match_personas(terms: DataFrame, personas: DataFrame) -> DataFrame:
     none = terms.select("gid").distinct().join(met.select("gid").distinct(), "gid", "left_anti")
     every = personas.agg(F.array_sort(F.collect_set("persona")).alias("p"))  # a short list of personas, by design
     return met.unionAll(none.join(F.broadcast(every)).select("gid", F.explode("p").alias("persona")))
+
+
+def sample_trees(relations: DataFrame, degree: DataFrame, hub_keys: DataFrame, n: int, size: int, seed: str, low: int = 2, high: int = 40) -> DataFrame:
+    """start, relations: trees of `size` relations grown from entities that are no hubs, of degree low..high.
+
+    Each round a tree takes, of all relations at its entities that it does not have, the one of the least hash. Trees that
+    cannot grow are left out."""
+    step = relations.where("subject_key <> object_key").select("relation_id", F.col("subject_key").alias("src"), F.col("object_key").alias("dst"))
+    step = step.unionAll(step.select("relation_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    fit = degree.where(F.col("degree").between(low, high)).join(hub_keys.select("entity_key"), "entity_key", "left_anti")
+    trees = fit.select(F.col("entity_key").alias("start")).orderBy(draw(seed, "start"), "start").limit(n)
+    trees = trees.withColumn("nodes", F.array("start")).withColumn("rels", F.array().cast("array<string>"))
+    for _ in range(size):
+        near = trees.select("start", "nodes", "rels", F.explode("nodes").alias("src")).join(step, "src").where(~F.array_contains("rels", F.col("relation_id")))
+        near = near.withColumn("_d", draw(seed, "start", "relation_id"))
+        one = top_per(near, 1, "_d", "relation_id", "src", by="start", rank="_n")
+        trees = one.select("start", F.array_union("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("relation_id")).alias("rels"))
+    return trees.select("start", F.array_join("rels", ",").alias("relations"))
+
+
+def multihop_gates(qa: DataFrame, required: DataFrame, chunks: DataFrame, relations: DataFrame, entities: DataFrame, min_chunks: int = 2, min_entities: int = 3) -> DataFrame:
+    """qid, reason of questions (qid, question): null where the required chunks (qid, chunk_id) are of two pages at least,
+    the required relations (qid, relation_id) have three entities, and one that joins two of them is not named in the
+    question. entities: entity_key, names (those under three letters do not count)."""
+    pages = chunks.groupBy("qid").agg(F.count_distinct(chunk_group(F.col("chunk_id"))).alias("n_chunks"))
+    rows = required.select("qid", "relation_id").distinct().join(relations.select("relation_id", "subject_key", "object_key"), "relation_id")
+    ends = rows.select("qid", "relation_id", F.explode(F.array("subject_key", "object_key")).alias("entity_key")).distinct()
+    met = ends.groupBy("qid", "entity_key").agg(F.count(F.lit(1)).alias("n"))
+    count = met.groupBy("qid").agg(F.count(F.lit(1)).alias("n_entities"))
+    joins = met.where("n >= 2").join(entities.select("entity_key", "names"), "entity_key", "left").join(qa.select("qid", F.lower("question").alias("q")), "qid")
+    named = F.coalesce(F.exists("names", lambda x: (F.length(x) >= 3) & F.contains(F.col("q"), F.lower(x))), F.lit(False))
+    hidden = joins.groupBy("qid").agg(F.max(~named).alias("hidden"))
+    every = qa.select("qid").join(pages, "qid", "left").join(count, "qid", "left").join(hidden, "qid", "left").na.fill(0, ["n_chunks", "n_entities"]).na.fill({"hidden": False})
+    reason = F.when(F.col("n_chunks") < min_chunks, "few chunks").when(F.col("n_entities") < min_entities, "few entities").when(~F.col("hidden"), "named connectors")
+    return every.select("qid", reason.alias("reason"))
+
+
+def cluster_labels(vectors: DataFrame, counts: DataFrame, least: float = 0.55, key: str = "label", stored=lambda df: df) -> DataFrame:
+    """label, cluster: labels whose vectors are alike (cosine of `least` and more), also by way of others, take the name of
+    the most counted one (label, n) among them; ties go to the least label.
+
+    Connected components by least labels, until a round changes nothing; a chain of m labels takes m rounds at most."""
+    edges = similarity_edges(vectors, least, key).select("src", "dst")
+    both = stored(edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    now = stored(vectors.select(F.col(key).alias("node"), F.col(key).alias("low")).distinct())
+    while True:
+        near = both.join(now, both["dst"] == now["node"]).groupBy("src").agg(F.min("low").alias("near"))
+        moved = stored(now.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("low", "near").alias("low"), (F.col("near") < F.col("low")).alias("changed")))
+        now = moved.drop("changed")
+        if moved.where("changed").isEmpty():
+            break
+    sized = now.join(counts.select(F.col(key).alias("node"), "n"), "node", "left").na.fill(0, ["n"])
+    names = sized.groupBy("low").agg(F.min_by("node", F.struct((-F.col("n")).alias("n"), "node")).alias("cluster"))
+    return now.join(names, "low").select(F.col("node").alias(key), "cluster")
+
+
+def community_context(members: DataFrame, nodes: DataFrame, most: int = 10, terms: int = 20) -> DataFrame:
+    """community, nodes, themes, entities: the nodes (node, text, entities, themes) of a community (community, node) with the
+    most entities, themes and text, and their distinct terms without case, in order."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    rows = members.join(nodes, "node").withColumn("e", -size("entities")).withColumn("t", -size("themes")).withColumn("l", -F.length("text"))
+    few = top_per(rows, most, "e", "t", "l", "node", by="community", rank="_n")
+    held = few.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("_n", "node", "themes", "entities"))).alias("r"))
+
+    def distinct(name: str) -> Column:
+        every = F.filter(F.flatten(F.transform("r", lambda x: F.transform(F.coalesce(x[name], F.array().cast("array<string>")), lambda x: F.trim(x)))), lambda x: x != "")
+        low = F.transform(every, F.lower)
+        return F.slice(F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, terms)
+
+    return held.select("community", F.transform("r", lambda x: x["node"]).alias("nodes"), distinct("themes").alias("themes"), distinct("entities").alias("entities"))
+
+
+def abstract_scenarios(clusters: DataFrame, themes: DataFrame, hops: int = 3) -> DataFrame:
+    """gid, nodes: the first `hops` nodes of clusters (gid, pos, node) of two nodes at least, where two of these have themes
+    (node, themes)."""
+    size = clusters.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("gid")
+    few = top_per(clusters.join(size, "gid"), hops, "pos", "node", by="gid", rank="_n").join(themes, "node", "left")
+    held = few.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("_n", "node"))).alias("r"), F.count_if(F.size("themes") > 0).alias("k"))
+    return held.where("k >= 2").select("gid", F.transform("r", lambda x: x["node"]).alias("nodes"))
+
+
+def parse_themes(raw: Column, most: int = 10) -> Column:
+    """Themes of a model's answer: its JSON object's list, with or without a fence or text around; else its lines."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    listed = lambda x: F.from_json(x, "themes array<string>")["themes"]
+    inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
+    lines = F.filter(F.split(body, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^[{}]") & ~F.contains(F.lower(x), F.lit("themes")))
+    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\-•, ]+|[\-•, ]+$", ""), "^[\"']+|[\"']+$", ""))
+    some = lambda x: F.when(F.size(x) > 0, x)
+    themes = F.coalesce(some(listed(body)), some(listed(inner)), lines)
+    clean = F.transform(themes, lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.trim(x), "^,+|,+$", "")), "^[\"']+|[\"']+$", ""))
+    clean = F.filter(clean, lambda x: (x != "") & ~x.isin("{", "}", "[", "]", "```json", "```") & ~F.lower(x).startswith("themes"))
+    low = F.transform(clean, F.lower)
+    return F.slice(F.filter(clean, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)
+
+
+def structural_report(qa: DataFrame) -> DataFrame:
+    """metric, value, n of question sets (question, answer, contexts, synthesizer, style, length): missing fields, hops named
+    in the contexts, distributions, and rows all of whose contexts carry a chunk id."""
+    hops = F.size(F.regexp_extract_all(F.array_join(F.coalesce("contexts", F.array().cast("array<string>")), "\n"), F.lit(r"<\d+-hop>"), F.lit(0)))
+    bare = F.coalesce(F.size("contexts"), F.lit(0)) <= 0
+    rows = qa.withColumn("hops", hops).withColumn("bare", bare).withColumn("ided", ~F.col("bare") & F.coalesce(F.forall("contexts", lambda x: F.contains(x, F.lit("chunk_id:"))), F.lit(False)))
+    empty = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    flags = {"total": F.lit(True), "missing_question": empty("question"), "missing_answer": empty("answer"), "missing_contexts": F.col("bare"), "contexts_with_chunk_id": F.col("ided")}
+    sums = rows.agg(*[F.count_if(c).alias(k) for k, c in flags.items()]).unpivot([], list(flags), "metric", "n").select("metric", F.lit("").alias("value"), "n")
+    for name in ("synthesizer", "style", "length", "hops"):
+        sums = sums.unionAll(rows.groupBy(F.coalesce(F.col(name).cast("string"), F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "value", "n"))
+    return sums

@@ -20,7 +20,7 @@ def tokens(text: Column) -> Column:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """qid, terms: hints and keywords, distinct in order, those of several words as phrases, joined by OR."""
-    words = F.array_distinct(F.filter(F.transform(F.concat("entity_hints", "high_level_keywords"), F.trim), lambda x: x != ""))
+    words = F.array_distinct(F.filter(F.transform(F.concat("entity_hints", "high_level_keywords"), lambda x: F.trim(x)), lambda x: x != ""))
     return queries.select("qid", F.array_join(F.transform(words, lambda x: F.when(F.contains(x, F.lit(" ")), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)), " OR ").alias("terms"))
 
 
@@ -69,12 +69,12 @@ def phrase_match(docs: DataFrame, phrase: list[str], slop: int = 3, key: str = "
     return split.where(F.exists(ends, lambda e: e["to"] - e["from"] <= len(phrase) - 1 + slop)).select(key)
 
 
-def unit_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+def unit_vectors(df: DataFrame, key: str, vector: str = "embedding", more: tuple[str, ...] = ()) -> DataFrame:
     """key and v: vectors of norm 1 (null vectors left out, those of norm 0 as they are), with their length as dim."""
-    v = df.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    v = df.where(F.col(vector).isNotNull()).select(key, *more, F.transform(vector, lambda x: x.cast("double")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     v = v.withColumn("norm", norm)
-    return v.select(key, F.transform("v", lambda x: x / F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))).alias("v"), F.size("v").alias("dim"))
+    return v.select(key, *more, F.transform("v", lambda x: x / F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))).alias("v"), F.size("v").alias("dim"))
 
 
 def matrix(rows: pa.Table, column: str = "v") -> np.ndarray:
@@ -82,8 +82,8 @@ def matrix(rows: pa.Table, column: str = "v") -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 4096) -> DataFrame:
-    """qid, rank, key, score (cosine) of the k nearest vectors, exactly.
+def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 4096, scope: str | None = None) -> DataFrame:
+    """qid, rank, key, score (cosine) of the k nearest vectors, exactly; with scope, of those of the question's own scope.
 
     Blocks of queries meet blocks of vectors in the cells of a grid; a cell is one matrix product and returns its best k
     of each query. No side is broadcast or collected, whatever its size."""
@@ -91,8 +91,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", blo
     rows, columns = max(1, -(-m // block)), max(8, -(-n // block))
     part = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    asked = unit_vectors(queries, "qid").select("*", part("qid", rows).alias("i"), every(columns).alias("j"))
-    held = unit_vectors(vectors, key).select("*", part(key, columns).alias("j"), every(rows).alias("i"))
+    own = [scope] if scope else []
+    asked = unit_vectors(queries, "qid", more=tuple(own)).select("*", part("qid", rows).alias("i"), every(columns).alias("j"))
+    held = unit_vectors(vectors, key, more=tuple(own)).select("*", part(key, columns).alias("j"), every(rows).alias("i"))
     schema = pa.schema([("qid", to_arrow_type(queries.schema["qid"].dataType)), (key, to_arrow_type(vectors.schema[key].dataType)), ("score", pa.float64())])
 
     def cell(one: pa.Table, two: pa.Table) -> pa.Table:
@@ -105,7 +106,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", blo
         return pa.table([one["qid"].take(pa.array(at)), two[key].take(pa.array(to)), pa.array(score[at, to])], schema=schema)
 
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
-    best = asked.groupBy("dim", "i", "j").cogroup(held.groupBy("dim", "i", "j")).applyInArrow(cell, kinds)
+    cells = ["dim", "i", "j", *own]
+    best = asked.groupBy(*cells).cogroup(held.groupBy(*cells)).applyInArrow(cell, kinds)
     return top_per(best, k, F.desc("score"), key).select("qid", "rank", key, "score")
 
 

@@ -9,16 +9,28 @@ from .retrieval import top_per
 
 
 def keyword_scores(queries: DataFrame, domains: DataFrame) -> DataFrame:
-    """qid, domain, hits: single words must be tokens of the question, phrases stand in it; a hyphen is a space.
+    """qid, domain, hits: single words must be tokens of the question, as white space parts them; phrases and hyphenated
+    keywords stand in it, where a hyphen is a space.
 
-    domains is a taxonomy of tens of rows; its size is checked before it is broadcast."""
-    words = domains.select("domain", F.explode("keywords").alias("w")).withColumn("w", F.trim(F.regexp_replace(F.lower("w"), "-", " "))).where("w <> ''").distinct()
-    asked = queries.select("qid", F.regexp_replace(F.lower("text"), "-", " ").alias("t")).withColumn("tokens", F.split("t", "[^a-z0-9]+"))
-    single = asked.select("qid", F.explode(F.array_distinct("tokens")).alias("w")).join(words.where("w not like '% %'"), "w").select("qid", "domain", "w")
-    phrases = words.where("w like '% %'")
-    few = phrases.count() <= 100_000
-    met = asked.join(F.broadcast(phrases) if few else phrases, F.contains("t", "w")).select("qid", "domain", "w")
-    return single.unionAll(met).groupBy("qid", "domain").agg(F.count_distinct("w").alias("hits"))
+    Questions and phrases meet by the phrases' inner words (whole words of any question that holds the phrase), else, for
+    phrases of two words, by all their pieces; so the join is an equi-join and only what shares a word is compared."""
+    words = domains.select("domain", F.explode("keywords").alias("k")).withColumn("k", F.trim(F.lower("k"))).where("k <> ''").distinct()
+    asked = queries.select("qid", F.lower("text").alias("t"))
+    tokens = asked.select("qid", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("k"))
+    words = words.withColumn("k", F.trim(F.when(F.col("k").rlike(r"[\s-]"), F.regexp_replace("k", "-", " ")).otherwise(F.col("k")))).where("k <> ''").distinct()
+    plain = ~F.col("k").rlike(r"\s")
+    single = tokens.join(words.where(plain), "k").select("qid", "domain", "k")
+    phrases = words.where(~plain)
+    spaced = asked.withColumn("t", F.regexp_replace("t", "-", " "))
+    parts = F.filter(F.split("k", r"\s+"), lambda x: x != "")
+    # a word within the phrase is whole in the question; the first may only end, and the last only begin, one there
+    keyed = phrases.withColumn("p", parts).withColumn("key", F.when(F.size("p") > 2, F.concat(F.lit("w"), F.get("p", F.lit(1)))).otherwise(F.concat(F.lit("e"), F.substring(F.get("p", F.lit(0)), -3, 3))))
+    one = F.filter(F.split("t", r"\s+"), lambda x: x != "")
+    ends = F.transform(one, lambda x: F.concat(F.lit("e"), F.substring(x, -3, 3)))
+    short = F.flatten(F.transform(one, lambda x: F.array(F.concat(F.lit("e"), F.substring(x, -1, 1)), F.concat(F.lit("e"), F.substring(x, -2, 2)))))
+    keys = spaced.withColumn("key", F.explode(F.array_distinct(F.concat(F.transform(one, lambda x: F.concat(F.lit("w"), x)), ends, short))))
+    met = keys.join(keyed, "key").where(F.contains("t", "k")).select("qid", "domain", "k")
+    return single.unionAll(met).groupBy("qid", "domain").agg(F.count_distinct("k").alias("hits"))
 
 
 def domain_rrf(lists: list[DataFrame], k: int = 10, top: int = 5) -> DataFrame:
@@ -50,3 +62,17 @@ def norm_hints(queries: DataFrame, known: list[str], most: int = 10) -> DataFram
 
     hints = F.array_distinct(F.filter(F.transform("hints", snake), lambda x: x.isin(known)))
     return queries.select("qid", F.array_join(F.slice(hints, 1, most), ",").alias("hints"))
+
+
+def single_domain_gate(pred: DataFrame, least: float = 0.5) -> DataFrame:
+    """qid, passes: questions that are not complex and whose one domain is predicted with enough confidence."""
+    none = lambda c, v: F.coalesce(F.col(c), F.lit(v))
+    return pred.select("qid", (~none("is_complex", False) & none("single_domain", False) & (none("confidence", 0.0) >= least)).alias("passes"))
+
+
+def vote_domains(candidates: DataFrame, texts: DataFrame, domains: DataFrame, default: str = "GENERAL") -> DataFrame:
+    """relation_id, domain: of each relation's candidates (relation_id, domain) the one whose keywords its text (relation_id,
+    text) hits most, ties by name; the default where none is hit."""
+    hits = keyword_scores(texts.select(F.col("relation_id").alias("qid"), "text"), domains).select(F.col("qid").alias("relation_id"), "domain", "hits")
+    best = top_per(candidates.join(hits, ["relation_id", "domain"]), 1, F.desc("hits"), "domain", by="relation_id", rank="_n").select("relation_id", F.col("domain").alias("voted"))
+    return candidates.select("relation_id").distinct().join(best, "relation_id", "left").select("relation_id", F.coalesce("voted", F.lit(default)).alias("domain"))

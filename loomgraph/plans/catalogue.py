@@ -303,11 +303,16 @@ def _(g):
     return one.join(build.relation_text(g.relations, "plain").select("relation_id", F.md5("text").alias("plain_text")), "relation_id")
 
 
-@query("b21_attach_embeddings", "SELECT relation_id, CAST(conv AS BIGINT) AS vec_id FROM (SELECT relation_id, CAST('0x' || substr(relation_id, 1, 4) AS INTEGER) % 500 AS conv FROM relations) JOIN embeddings ON vec_id = conv WHERE len(embedding) = 64")
+@query("b21_attach_embeddings", "SELECT relation_id, vec_id FROM (SELECT relation_id, CAST('0x' || substr(relation_id, 1, 4) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM relations) JOIN embeddings USING (vec_id) WHERE len(embedding) = 64")
 def _(g):
-    number = F.conv(F.substring("relation_id", 1, 4), 16, 10).cast("long") % 500
-    vectors = g.relations.select("relation_id", number.alias("vec_id")).join(g.table("embeddings"), "vec_id")
-    return build.attach_embeddings(g.relations, vectors, 64).select("relation_id", (F.conv(F.substring("relation_id", 1, 4), 16, 10).cast("long") % 500).alias("vec_id"))
+    vectors = vector_of(g).join(g.table("embeddings"), "vec_id")
+    return build.attach_embeddings(vector_of(g), vectors.select("relation_id", "embedding"), 64).select("relation_id", "vec_id")
+
+
+def vector_of(g: Graph) -> DataFrame:
+    """relation_id, vec_id: each relation takes one of the given vectors, by its id's first digits."""
+    n = g.table("embeddings").count()
+    return g.relations.select("relation_id", (F.conv(F.substring("relation_id", 1, 4), 16, 10).cast("long") % F.lit(max(n, 1))).alias("vec_id"))
 
 
 @query("b22_evidenced", "SELECT label, count(*) AS n FROM relations r SEMI JOIN assertions a ON a.relation_id = r.relation_id GROUP BY 1")
@@ -347,9 +352,9 @@ def _(g):
 # Retrieval
 
 
-@query("c2_expand_context", "SELECT a.chunk_id, a.text, p.text AS prev_text, n.text AS next_text FROM chunks a LEFT JOIN chunks p ON p.doc = a.doc AND p.sequence_number = a.sequence_number - 1 LEFT JOIN chunks n ON n.doc = a.doc AND n.sequence_number = a.sequence_number + 1 WHERE a.strength = 10")
+@query("c2_expand_context", "SELECT a.chunk_id, a.text, p.text AS prev_text, n.text AS next_text FROM chunks a LEFT JOIN chunks p ON p.doc = a.doc AND p.sequence_number = a.sequence_number - 1 LEFT JOIN chunks n ON n.doc = a.doc AND n.sequence_number = a.sequence_number + 1")
 def _(g):
-    return graph.expand_context(g.chunks.where("strength = 10").select("chunk_id"), g.chunks).select("chunk_id", "text", "prev_text", "next_text")
+    return graph.expand_context(g.chunks.select("chunk_id"), g.chunks).select("chunk_id", "text", "prev_text", "next_text")
 
 
 @query("c4_tender_hierarchy", "SELECT tender_id, domain, count(DISTINCT c.doc) AS n_docs, md5(string_agg(DISTINCT c.file_name, ',' ORDER BY c.file_name)) AS docs FROM chunks c JOIN doc_domains d ON d.doc = c.doc AND tier = 'mid' GROUP BY 1, 2")
@@ -369,8 +374,8 @@ def _(g):
 
 
 def text_queries(g: Graph) -> DataFrame:
-    """qid, text: the first six words of each benchmark item."""
-    return g.table("benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(retrieval.tokens(F.col("text")), 1, 6), " ").alias("text"))
+    """qid, text of each benchmark item."""
+    return g.table("benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def searched(g: Graph, k: int = 15) -> DataFrame:
@@ -380,12 +385,12 @@ def searched(g: Graph, k: int = 15) -> DataFrame:
 
 BM25_SQL = r"""
 tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
-ask AS (SELECT DISTINCT qid, unnest(t[1:6]) AS term FROM (SELECT item_id AS qid, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark)),
+ask AS (SELECT DISTINCT qid, unnest(t) AS term FROM (SELECT item_id AS qid, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark)),
 size AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok),
 post AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM tok) SEMI JOIN ask USING (term) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-part AS (SELECT term, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS part FROM post JOIN df USING (term), size),
-sums AS (SELECT qid, doc_id AS chunk_id, round(sum(part), 9) AS score FROM ask JOIN part USING (term) GROUP BY 1, 2),
+gain AS (SELECT term, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS part FROM post JOIN df USING (term), size),
+sums AS (SELECT qid, doc_id AS chunk_id, round(sum(part), 9) AS score FROM ask JOIN gain USING (term) GROUP BY 1, 2),
 bm25 AS (SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sums) WHERE rank <= 15)"""
 
 
@@ -400,10 +405,11 @@ def _(g):
 
 
 def vector_queries(g: Graph) -> DataFrame:
-    return g.table("embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+    """Every vector whose id is divisible by 100 is a query."""
+    return g.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
-@query("d6_knn", "SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20)) WHERE rank <= 10", tables=False)
+@query("d6_knn", "SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 10", tables=False)
 def _(g):
     return retrieval.knn(g.table("embeddings"), vector_queries(g), 10).withColumn("score", F.round("score", 6))
 
@@ -472,7 +478,7 @@ def _ppr_sql(alpha: float = 0.45) -> str:
     parts = [SEEDS_SQL, "edges AS MATERIALIZED (SELECT DISTINCT unnest([subject_key, object_key]) AS src, unnest([object_key, subject_key]) AS dst FROM relations WHERE subject_key <> object_key)", "outs AS MATERIALIZED (SELECT src, count(*) AS n FROM edges GROUP BY 1)", "start AS MATERIALIZED (SELECT qid, entity_key AS node, 1.0 / count(*) OVER (PARTITION BY qid) AS r FROM seeds SEMI JOIN outs ON src = entity_key)", "r0 AS MATERIALIZED (SELECT * FROM start)"]
     for i in range(ppr.rounds(alpha)):
         parts.append(f"r{i + 1} AS MATERIALIZED (SELECT qid, node, sum(r) AS r FROM (SELECT qid, dst AS node, {alpha} * r / n AS r FROM r{i} JOIN edges ON src = node JOIN outs ON outs.src = node UNION ALL SELECT qid, node, {1 - alpha} * r FROM start) GROUP BY 1, 2)")
-    parts.append(f"ppr AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS INTEGER) AS rank FROM (SELECT qid, node, round(r / sum(r) OVER (PARTITION BY qid), 9) AS score FROM r{ppr.rounds(alpha)}) WHERE score > 0)")
+    parts.append(f"ppr AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS INTEGER) AS rank FROM (SELECT qid, node, round(r / sum(r) OVER (PARTITION BY qid), 9) AS score FROM r{ppr.rounds(alpha)} WHERE r > 0))")
     return ", ".join(parts)
 
 
@@ -512,29 +518,46 @@ def _(g):
 # Fusion
 
 
+def item_seeds(g: Graph) -> DataFrame:
+    """qid, entity_key: the supplier and the part of each benchmark item's number."""
+    names = F.explode(F.array(*[F.concat(F.lit(f"{kind} "), F.col("item_id").cast("string")) for kind in ("Supplier", "Part")])).alias("name")
+    return g.table("benchmark").select(F.col("item_id").alias("qid"), names).select("qid", t.entity_key(F.col("name")).alias("entity_key"))
+
+
 def lists(g: Graph) -> list[DataFrame]:
-    """Two ranked lists of documents for the benchmark's questions: by keywords, and by a hash."""
+    """Two ranked lists for the benchmark's questions: documents by keywords, and chunks of one-hop relations."""
     one = searched(g).withColumn("chunk_id", F.col("chunk_id").cast("string")).withColumn("content", F.lit("x"))
-    docs = g.table("documents").where("doc_id < 400").select("doc_id", "source")
-    hashed = g.table("benchmark").select(F.col("item_id").alias("qid")).join(docs, F.pmod("doc_id", F.lit(40)) == F.pmod("qid", F.lit(40)))
-    two = retrieval.top_per(hashed, 15, F.md5(F.concat_ws("|", "qid", "doc_id")), "doc_id").select("qid", "rank", F.col("doc_id").cast("string").alias("chunk_id"), F.lit("y").alias("content"), F.lit(1.0).alias("score"), F.col("source").alias("file_name"))
+    best = graph.local_relations(item_seeds(g), g.relations, weights(g), graph.degrees(g.relations), 10)
+    met = graph.window_to_ranked(graph.relation_chunks_window(best, g.assertions, g.chunks, 15))
+    two = met.join(g.chunks.select("chunk_id", "file_name", "page_number"), "chunk_id")
     return [retrieval.to_ranked(one, "text"), retrieval.to_ranked(two, "graph")]
 
 
-LISTS_SQL = f"""{BM25_SQL},
-two AS (SELECT * FROM (SELECT item_id AS qid, doc_id, source, CAST(row_number() OVER (PARTITION BY item_id ORDER BY md5(item_id || '|' || doc_id), doc_id) AS INTEGER) AS rank FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40 WHERE doc_id < 400) WHERE rank <= 15),
-fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources, first(content ORDER BY content) AS content
-    FROM (SELECT qid, CAST(chunk_id AS VARCHAR) AS chunk_id, rank, 'text' AS source, 'x' AS content FROM bm25 UNION ALL SELECT qid, CAST(doc_id AS VARCHAR), rank, 'graph', 'y' FROM two) GROUP BY 1, 2))"""
+def local_sql(seeds_sql: str) -> str:
+    """loc (qid, relation_id, weight, rank) of the given seeds."""
+    return LOCAL_SQL.replace(SEEDS_SQL, seeds_sql)
 
 
-@query("h1_rrf", f"WITH {LISTS_SQL} SELECT qid, rank, chunk_id, round(score, 7) AS score, sources, content FROM fused WHERE rank <= 25", tables=False)
+ITEM_SEEDS_SQL = "seeds AS (SELECT item_id AS qid, sha1('entity||' || unnest(['supplier ', 'part ']) || item_id) AS entity_key FROM benchmark)"
+LISTS_SQL = f"""{BM25_SQL}, {local_sql(ITEM_SEEDS_SQL)},
+two AS (SELECT qid, s.chunk_id, c.file_name, c.page_number, rank, CAST(support AS DOUBLE) AS score, concat_ws(chr(10), p.text, c.text, n.text) AS content
+    FROM (SELECT qid, chunk_id, support, CAST(row_number() OVER (PARTITION BY qid ORDER BY support DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, count(DISTINCT l.relation_id) AS support FROM (SELECT * FROM loc WHERE rank <= 10) l JOIN assertions a ON a.relation_id = l.relation_id GROUP BY 1, 2)) s
+    JOIN chunks c ON c.chunk_id = s.chunk_id LEFT JOIN chunks p ON p.doc = c.doc AND p.sequence_number = c.sequence_number - 1 LEFT JOIN chunks n ON n.doc = c.doc AND n.sequence_number = c.sequence_number + 1 WHERE rank <= 15),
+fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources, first(content ORDER BY source DESC) AS content
+    FROM (SELECT qid, CAST(chunk_id AS VARCHAR) AS chunk_id, rank, 'text' AS source, 'x' AS content FROM bm25 UNION ALL SELECT qid, chunk_id, rank, 'graph', content FROM two) GROUP BY 1, 2))"""
+
+
+@query("h1_rrf", f"+{LISTS_SQL} SELECT qid, rank, chunk_id, round(score, 7) AS score, sources, content FROM fused WHERE rank <= 25")
 def _(g):
     return fusion.rrf(lists(g), top=25).withColumn("score", F.round("score", 7))
 
 
-@query("h5_group_by_file", f"""WITH {LISTS_SQL} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY f) AS INTEGER) AS position, file_name, CAST(s AS DOUBLE) AS score FROM (SELECT qid, source AS file_name, min(rank) AS f, 1.0 AS s FROM two GROUP BY 1, 2)""", tables=False)
+GROUPS_SQL = "fgroups AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY f) AS INTEGER) AS position, file_name, pages, score FROM (SELECT qid, file_name, min(rank) AS f, max(score) AS score, string_agg(DISTINCT CAST(page_number AS VARCHAR), ', ' ORDER BY CAST(page_number AS VARCHAR)) AS pages FROM two GROUP BY 1, 2))"
+
+
+@query("h5_group_by_file", f"+{LISTS_SQL}, {GROUPS_SQL} SELECT qid, position, file_name, pages, score FROM fgroups")
 def _(g):
-    return fusion.group_by_file(lists(g)[1]).select("qid", "position", "file_name", "score")
+    return fusion.group_by_file(lists(g)[1])
 
 
 @query("j1_recall_at_k", f"WITH {BM25_SQL}, gold AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT qid, count(*) AS n_gold, round(count(*) FILTER (rank <= 5) / count(*), 9) AS recall_at_5, round(count(*) FILTER (rank <= 10) / count(*), 9) AS recall_at_10 FROM gold LEFT JOIN bm25 USING (qid, chunk_id) GROUP BY 1", tables=False)
@@ -560,10 +583,9 @@ def _(g):
     return evaluate.gold_ranks(searched(g), gold(g))
 
 
-@query("j4_set_pr", f"WITH {LISTS_SQL}, b AS (SELECT CAST(chunk_id AS VARCHAR) AS c, qid, 1 AS p FROM bm25), x AS (SELECT CAST(doc_id AS VARCHAR) AS c, qid, 1 AS g FROM two) SELECT qid, count(*) FILTER (p = 1 AND g = 1) AS n_common, CASE WHEN count(p) > 0 THEN round(count(*) FILTER (p = 1 AND g = 1) / count(p), 9) END AS precision, CASE WHEN count(g) > 0 THEN round(count(*) FILTER (p = 1 AND g = 1) / count(g), 9) END AS recall FROM b FULL JOIN x USING (qid, c) GROUP BY 1", tables=False)
+@query("j4_set_pr", f"+{LISTS_SQL}, b AS (SELECT CAST(chunk_id AS VARCHAR) AS c, qid, 1 AS p FROM bm25), x AS (SELECT CAST(doc_id AS VARCHAR) AS c, item_id AS qid, 1 AS g FROM benchmark i JOIN documents d ON contains(d.text, i.text)) SELECT qid, count(*) FILTER (p = 1 AND g = 1) AS n_common, CASE WHEN count(p) > 0 THEN round(count(*) FILTER (p = 1 AND g = 1) / count(p), 9) END AS precision, CASE WHEN count(g) > 0 THEN round(count(*) FILTER (p = 1 AND g = 1) / count(g), 9) END AS recall FROM b FULL JOIN x USING (qid, c) GROUP BY 1")
 def _(g):
-    one, two = lists(g)
-    return evaluate.set_pr(one, two, "chunk_id")
+    return evaluate.set_pr(searched(g), gold(g), "chunk_id")
 
 
 @query("j5_slice_metrics", "SELECT quality, toxic, count(*) AS n, round(avg(n_chars), 9) AS avg_n_chars FROM labels JOIN documents USING (doc_id) GROUP BY CUBE (quality, toxic)", tables=False)

@@ -12,7 +12,7 @@ from ..operators import evaluate, fusion, goldset, graph, linking, lookups, ppr,
 from ..sources.fixtures import Graph
 from ..sources.storage import shared_dir
 from ..streaming.ingest import stream_ingest
-from .catalogue import BM25_SQL, DEGREE_SQL, HUBS_SQL, KEPT_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, WEIGHT_SQL, flagship, gold, lists, local, payloads, query, scored, searched, seeds, vector_queries, walked, weights
+from .catalogue import BM25_SQL, DEGREE_SQL, GROUPS_SQL, HUBS_SQL, KEPT_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, WEIGHT_SQL, flagship, gold, lists, local, payloads, query, scored, searched, seeds, vector_queries, walked, weights
 
 # Lookups
 
@@ -104,10 +104,10 @@ def _(g):
     return linking.with_fallback(cands.where((F.col("qid") % 2 == 0) & (number % 2 == 0)), cands)
 
 
-@query("m1_jaro_winkler", "SELECT DISTINCT a.p_name AS a, b.p_type AS b, round(jaro_winkler_similarity(lower(a.p_name), lower(b.p_type)), 6) AS score FROM part a JOIN part b ON a.p_partkey % 97 = b.p_partkey % 97", tables=False)
+@query("m1_jaro_winkler", "SELECT *, round(jaro_winkler_similarity(lower(a), lower(b)), 6) AS score FROM (SELECT p_name AS a, p_type AS b FROM part UNION SELECT p_name, p_brand FROM part UNION SELECT p_type, p_name FROM part)", tables=False)
 def _(g):
     part = g.table("part")
-    pairs = part.select(F.col("p_name").alias("a"), (F.col("p_partkey") % 97).alias("k")).distinct().join(part.select(F.col("p_type").alias("b"), (F.col("p_partkey") % 97).alias("k")).distinct(), "k")
+    pairs = part.select(F.col("p_name").alias("a"), F.col("p_type").alias("b")).unionAll(part.select("p_name", "p_brand")).unionAll(part.select("p_type", "p_name"))
     return linking.scored_pairs(pairs, linking.jaro_winkler).withColumn("score", F.round("score", 6))
 
 
@@ -150,19 +150,12 @@ def _(g):
     return ppr.scope_graph(g.relations, g.relation_domains, wanted(g)).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g8_multi_hop", f"""+{RELSCORE_SQL},
-ch AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rk FROM (SELECT qid, chunk_id, round(sum(score), 9) AS score, string_agg(DISTINCT relation_id, ',' ORDER BY relation_id) AS relation_ids FROM (SELECT DISTINCT t.qid, t.relation_id, t.score, a.chunk_id FROM top t JOIN assertions a ON a.relation_id = t.relation_id WHERE rank <= 20) GROUP BY 1, 2))
-SELECT qid, rk AS rank, ch.chunk_id, file_name, page_number, round(score, 6) AS score, md5(relation_ids) AS relation_ids, text FROM ch JOIN chunks c ON c.chunk_id = ch.chunk_id WHERE rk <= 20""")
-def _(g):
-    return flagship(g).withColumn("score", F.round("score", 6)).withColumn("relation_ids", F.md5("relation_ids"))
-
-
-@query("h2_rerank_topk", f"WITH {LISTS_SQL} SELECT qid, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY md5(chunk_id) DESC, chunk_id) AS rank FROM fused WHERE rank <= 25) WHERE rank <= 20", tables=False)
+@query("h2_rerank_topk", f"+{LISTS_SQL} SELECT qid, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY md5(chunk_id) DESC, chunk_id) AS rank FROM fused WHERE rank <= 25) WHERE rank <= 20")
 def _(g):
     return fusion.rerank_topk(fusion.rrf(lists(g), top=25).withColumn("given", F.md5("chunk_id")), "given").select("qid", "chunk_id", "rank")
 
 
-@query("h6_numbered_context", f"WITH {LISTS_SQL}, gr AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS pos FROM two GROUP BY 1, 2) SELECT qid, string_agg('[' || pos || '] ' || source || ' (pages )', chr(10) ORDER BY pos) AS context FROM gr GROUP BY 1", tables=False)
+@query("h6_numbered_context", f"+{LISTS_SQL}, {GROUPS_SQL} SELECT qid, string_agg('[' || position || '] ' || file_name || ' (pages ' || pages || ')', chr(10) ORDER BY position) AS context FROM fgroups GROUP BY 1")
 def _(g):
     return fusion.numbered_context(fusion.group_by_file(lists(g)[1]))
 
@@ -176,13 +169,13 @@ def _(g):
 # Routing
 
 
-@query("i2_semantic_rank", "WITH dm AS (SELECT label, list(embedding ORDER BY vec_id)[1] AS e FROM embeddings GROUP BY 1) SELECT qid, CAST(rank AS INTEGER) AS rank, domain FROM (SELECT q.vec_id AS qid, d.label AS domain, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.e AS DOUBLE[])), 9) DESC, d.label) AS rank FROM embeddings q, dm d WHERE q.vec_id < 20) WHERE rank <= 5", tables=False)
+@query("i2_semantic_rank", "WITH dm AS (SELECT label, list(embedding ORDER BY vec_id)[1] AS e FROM embeddings GROUP BY 1) SELECT qid, CAST(rank AS INTEGER) AS rank, domain FROM (SELECT q.vec_id AS qid, d.label AS domain, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.e AS DOUBLE[])), 9) DESC, d.label) AS rank FROM embeddings q, dm d WHERE q.vec_id % 100 = 0) WHERE rank <= 5", tables=False)
 def _(g):
     domains = g.table("embeddings").groupBy(F.col("label").alias("domain")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     return retrieval.knn(domains, vector_queries(g), 5, "domain").select("qid", "rank", "domain")
 
 
-KNN_SQL = "knn AS (SELECT * FROM (SELECT q.vec_id AS qid, v.vec_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE rank <= 10)"
+KNN_SQL = "knn AS (SELECT * FROM (SELECT q.vec_id AS qid, v.vec_id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 10)"
 
 
 @query("i4_domain_vote", f"WITH {KNN_SQL} SELECT qid, domain, votes FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, best, domain) AS n FROM (SELECT qid, label AS domain, count(*) AS votes, min(rank) AS best FROM knn WHERE rank <= 5 GROUP BY 1, 2)) WHERE n = 1", tables=False)
@@ -191,10 +184,12 @@ def _(g):
     return routing.domain_vote(ranked, g.table("embeddings").select(F.col("vec_id").alias("relation_id"), F.col("label").alias("domain")))
 
 
-@query("i1_keyword_scores", "WITH dm AS (SELECT p_brand AS domain, unnest(list_distinct(string_split(lower(string_agg(p_name, ' ')), ' '))) AS w FROM part GROUP BY 1) SELECT s_suppkey AS qid, domain, count(DISTINCT w) AS hits FROM (SELECT s_suppkey, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM supplier JOIN part ON p_partkey = s_suppkey) JOIN dm USING (w) WHERE w <> '' GROUP BY 1, 2", tables=False)
+@query("i1_keyword_scores", "WITH dm AS (SELECT p_brand AS domain, unnest(list_distinct(string_split(lower(string_agg(p_name, ' ')), ' '))) AS w FROM part GROUP BY 1 UNION ALL SELECT DISTINCT p_brand, lower(replace(p_name, ' ', '-')) FROM part), q AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN lower(replace(p_name, ' ', '-')) ELSE lower(p_name) END AS t FROM supplier JOIN part ON p_partkey = s_suppkey) SELECT s_suppkey AS qid, domain, count(DISTINCT replace(w, '-', ' ')) AS hits FROM q JOIN dm ON CASE WHEN contains(w, '-') OR contains(w, ' ') THEN contains(replace(t, '-', ' '), replace(w, '-', ' ')) ELSE list_contains(string_split(t, ' '), w) END WHERE w <> '' GROUP BY 1, 2", tables=False)
 def _(g):
-    domains = g.table("part").groupBy(F.col("p_brand").alias("domain")).agg(F.array_distinct(F.flatten(F.collect_list(F.split("p_name", " ")))).alias("keywords"))
-    asked = g.table("supplier").join(g.table("part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("qid"), F.col("p_name").alias("text"))
+    """Brands' words and hyphenated names against names, every second one of which is hyphenated too."""
+    joined = F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))
+    domains = g.table("part").select(F.col("p_brand").alias("domain"), F.explode(F.array_append(F.split("p_name", " "), joined)).alias("w")).distinct().groupBy("domain").agg(F.collect_set("w").alias("keywords"))
+    asked = g.table("supplier").join(g.table("part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("qid"), F.when(F.col("s_suppkey") % 2 == 0, joined).otherwise(F.col("p_name")).alias("text"))
     return routing.keyword_scores(asked, domains)
 
 
@@ -237,7 +232,7 @@ def _(g):
     return evaluate.domain_accuracy(rows)
 
 
-@query("j12_score_delta", f"WITH {LISTS_SQL} SELECT qid, round(max(a) - max(b), 6) AS delta FROM (SELECT qid, max(score) AS a, NULL AS b FROM bm25 GROUP BY 1 UNION ALL SELECT qid, NULL, max(score) FROM fused GROUP BY 1) GROUP BY 1 HAVING max(a) IS NOT NULL AND max(b) IS NOT NULL", tables=False)
+@query("j12_score_delta", f"+{LISTS_SQL} SELECT qid, round(max(a) - max(b), 6) AS delta FROM (SELECT qid, max(score) AS a, NULL AS b FROM bm25 GROUP BY 1 UNION ALL SELECT qid, NULL, max(score) FROM fused GROUP BY 1) GROUP BY 1 HAVING max(a) IS NOT NULL AND max(b) IS NOT NULL")
 def _(g):
     one = searched(g).groupBy("qid").agg(F.max("score").alias("score"))
     two = fusion.rrf(lists(g)).groupBy("qid").agg(F.max("score").alias("score"))
@@ -253,11 +248,11 @@ def _(g):
 # Gold sets
 
 
-SUB_SQL = "sub AS (SELECT DISTINCT doc AS gid, relation_id FROM assertions WHERE doc % 5 = 0)"
+SUB_SQL = "sub AS (SELECT DISTINCT doc AS gid, relation_id FROM assertions)"
 
 
 def subgraphs(g: Graph) -> DataFrame:
-    return g.assertions.where("doc % 5 = 0").select(F.col("doc").alias("gid"), "relation_id").distinct()
+    return g.assertions.select(F.col("doc").alias("gid"), "relation_id").distinct()
 
 
 @query("k4_finalize_subgraph", f"""+{HUBS_SQL}, {SUB_SQL}, en AS (SELECT DISTINCT gid, unnest([subject_key, object_key]) AS entity_key FROM sub JOIN relations USING (relation_id))
@@ -283,7 +278,8 @@ def _(g):
     return goldset.sample_local(g.relations, g.assertions, degree, graph.hubs(degree), 25, "s2")
 
 
-@query("k2_sample_paths")
+@query("k2_sample_paths", "+" + HUBS_SQL + """, step AS (SELECT relation_id, subject_key AS src, object_key AS dst FROM relations WHERE subject_key <> object_key UNION ALL SELECT relation_id, object_key, subject_key FROM relations WHERE subject_key <> object_key),
+p0 AS MATERIALIZED (SELECT src AS start, [src] AS nodes, CAST([] AS VARCHAR[]) AS path, src AS here FROM (SELECT DISTINCT src FROM step ANTI JOIN hubs ON src = entity_key) ORDER BY md5('s3|' || src), src LIMIT 160), """ + ", ".join(f"p{i + 1} AS MATERIALIZED (SELECT start, list_append(nodes, dst) AS nodes, list_append(path, relation_id) AS path, dst AS here FROM (SELECT p.*, s.dst, s.relation_id, row_number() OVER (PARTITION BY start, array_to_string(path, ',') ORDER BY md5('s3|' || array_to_string(path, ',') || '|' || s.relation_id), s.relation_id) AS n FROM p{i} p JOIN step s ON s.src = here WHERE NOT list_contains(nodes, s.dst) AND NOT list_contains(path, s.relation_id)) WHERE n <= 3)" for i in range(3)) + " SELECT start, array_to_string(path, ',') AS path FROM p3 ORDER BY md5('s3|' || array_to_string(path, ',')), 2 LIMIT 40")
 def _(g):
     degree = graph.degrees(g.relations)
     return goldset.sample_paths(g.relations, graph.hubs(degree), 40, 3, "s3")

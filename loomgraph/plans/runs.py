@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from ..operators import fusion, goldset, graph, ppr, retrieval, routing, runs
 from ..sources.fixtures import Graph
 from ..sources.storage import stored
-from .catalogue import BM25_SQL, HUBS_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, lists, local, query, seeds, text_queries, vector_queries, walked, weights
+from .catalogue import BM25_SQL, DEGREE_SQL, HUBS_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, SEEDS_SQL, WEIGHT_SQL, item_seeds, lists, local, query, seeds, text_queries, vector_of, vector_queries, walked, weights
 from .more import KNN_SQL, SUB_SQL, subgraphs
 
-VEC_SQL = "rv AS (SELECT relation_id, embedding FROM (SELECT relation_id, CAST('0x' || substr(relation_id, 1, 4) AS INTEGER) % 500 AS vec_id FROM relations WHERE label = 'part_of' OR label = 'located_in') JOIN embeddings USING (vec_id))"
-NEAR_SQL = f"{VEC_SQL}, near AS (SELECT qid, relation_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, relation_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, relation_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(rv.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, rv WHERE q.vec_id < 20))"
+VEC_SQL = "rv AS (SELECT relation_id, embedding FROM (SELECT relation_id, CAST('0x' || substr(relation_id, 1, 4) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM relations) JOIN embeddings USING (vec_id))"
+NEAR_SQL = f"{VEC_SQL}, near AS (SELECT qid, relation_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, relation_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, relation_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(rv.embedding AS DOUBLE[])), 9) AS score FROM embeddings q, rv WHERE q.vec_id % 100 = 0))"
 
 
 def relation_vectors(g: Graph) -> DataFrame:
-    number = F.conv(F.substring("relation_id", 1, 4), 16, 10).cast("long") % 500
-    return g.relations.where("label in ('part_of', 'located_in')").select("relation_id", number.alias("vec_id")).join(g.table("embeddings").select("vec_id", "embedding"), "vec_id").select("relation_id", "embedding")
+    return vector_of(g).join(g.table("embeddings").select("vec_id", "embedding"), "vec_id").select("relation_id", "embedding")
 
 
 @query("f3_global_relations", f"+{NEAR_SQL} SELECT qid, rank, relation_id, round(score, 6) AS score FROM near WHERE rank <= 10")
@@ -34,11 +33,14 @@ def _(g):
     return runs.hybrid_search(docs, vectors, asked).select("qid", "rank", "chunk_id")
 
 
-@query("d3_bm25_entities")
+@query("d3_bm25_entities", """+tok AS (SELECT entity_key, string_split(lower(name), ' ') AS t FROM entities), ask AS (SELECT s_suppkey AS qid, unnest(['supplier', CAST(s_suppkey AS VARCHAR)]) AS term FROM supplier),
+size AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok), post AS (SELECT term, entity_key, len, count(*) AS tf FROM (SELECT entity_key, len(t) AS len, unnest(t) AS term FROM tok) SEMI JOIN ask USING (term) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+gain AS (SELECT term, entity_key, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS part FROM post JOIN df USING (term), size), sums AS (SELECT qid, entity_key, round(sum(part), 9) AS score FROM ask JOIN gain USING (term) GROUP BY 1, 2)
+SELECT qid, CAST(rank AS INTEGER) AS rank, entity_key, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity_key) AS rank FROM sums) WHERE rank <= 50""")
 def _(g):
     docs = g.entities.select(F.col("entity_key"), F.col("name").alias("text"))
     asked = g.table("supplier").select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("text"))
-    return retrieval.bm25_search(docs, asked, 50, "entity_key")
+    return retrieval.bm25_search(docs, asked, 50, "entity_key").withColumn("score", F.round("score", 6))
 
 
 @query("f11_single_hop", f"""+{LOCAL_SQL}, sup AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY support DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, count(DISTINCT l.relation_id) AS support FROM (SELECT * FROM loc WHERE rank <= 10) l JOIN assertions a ON a.relation_id = l.relation_id GROUP BY 1, 2))
@@ -47,38 +49,65 @@ def _(g):
     return runs.single_hop(seeds(g), g.relations, g.assertions, g.chunks, weights(g)).select("qid", "rank", "chunk_id", "score")
 
 
-@query("f12_dual_level")
+@query("f12_dual_level", f"""+{LOCAL_SQL}, {NEAR_SQL}, own AS (SELECT qid, relation_id FROM loc WHERE rank <= 30), far AS (SELECT qid, relation_id FROM near WHERE rank <= 80 UNION SELECT qid, relation_id FROM loc WHERE rank BETWEEN 21 AND 60),
+kept AS (SELECT 'local' AS channel, qid, relation_id FROM own UNION ALL SELECT 'global', qid, relation_id FROM far ANTI JOIN own USING (qid, relation_id)),
+sup AS (SELECT *, row_number() OVER (PARTITION BY channel, qid ORDER BY support DESC, chunk_id) AS r FROM (SELECT channel, qid, chunk_id, count(DISTINCT k.relation_id) AS support FROM kept k JOIN assertions a ON a.relation_id = k.relation_id GROUP BY 1, 2, 3)),
+best AS (SELECT * FROM sup WHERE r <= CASE channel WHEN 'local' THEN 30 ELSE 40 END), fin AS (SELECT * FROM best b WHERE channel = 'local' OR NOT EXISTS (SELECT 1 FROM best l WHERE l.channel = 'local' AND l.qid = b.qid AND l.chunk_id = b.chunk_id))
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY channel DESC, r, f.chunk_id) AS INTEGER) AS rank, f.chunk_id, concat_ws(chr(10), p.text, c.text, n.text) AS content, channel
+FROM fin f JOIN chunks c ON c.chunk_id = f.chunk_id LEFT JOIN chunks p ON p.doc = c.doc AND p.sequence_number = c.sequence_number - 1 LEFT JOIN chunks n ON n.doc = c.doc AND n.sequence_number = c.sequence_number + 1""")
 def _(g):
     near = runs.global_relations(relation_vectors(g), vector_queries(g), 80)
     proof = local(g, 60).select("qid", "rank", "relation_id").where("rank > 20")
     return runs.dual_level(seeds(g), near.select("qid", "rank", "relation_id").unionAll(proof), g.relations, g.assertions, g.chunks, weights(g))
 
 
-def walks(g: Graph) -> DataFrame:
-    return retrieval.to_ranked(runs.multi_hop(seeds(g), g.relations, g.assertions, stored=stored), "graph")
+def rated(rows: DataFrame) -> DataFrame:
+    """rows with ce_score: a stand-in for a model's score, from the relation's id."""
+    return rows.withColumn("ce_score", F.conv(F.substring("relation_id", 1, 4), 16, 10).cast("double") / 65535.0)
 
 
-@query("h3_retrieve", f"""WITH {LISTS_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score
-FROM (SELECT qid, CAST(chunk_id AS VARCHAR) AS chunk_id, rank FROM bm25 UNION ALL SELECT qid, CAST(doc_id AS VARCHAR), rank FROM two WHERE qid % 2 = 0) GROUP BY 1, 2)) WHERE rank <= 50""", tables=False)
+def walks(g: Graph, of: DataFrame) -> DataFrame:
+    return runs.multi_hop(of, g.relations, g.assertions, weights(g), rated, stored=stored)
+
+
+def walk_sql(relscore: str) -> str:
+    """walk (qid, chunk_id, score, rank): chunks of the 20 relations that the rerank leaves of the walk's first 50."""
+    scale = lambda c: f"CASE WHEN max({c}) OVER w > min({c}) OVER w THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 1 END"
+    return f"""{relscore}, ce AS (SELECT qid, t.relation_id, CAST('0x' || substr(t.relation_id, 1, 4) AS INTEGER) / 65535.0 AS ce, coalesce(aggregated_weight, 0) AS gw FROM top t LEFT JOIN weights w ON w.relation_id = t.relation_id WHERE rank <= 50),
+bl AS (SELECT qid, relation_id, round(0.6 * {scale("ce")} + 0.4 * {scale("gw")}, 9) AS blend FROM ce WINDOW w AS (PARTITION BY qid)), bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY blend DESC, relation_id) AS n FROM bl) WHERE n <= 20),
+walk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, round(sum(blend), 9) AS score FROM (SELECT DISTINCT qid, k.relation_id, blend, chunk_id FROM bk k JOIN assertions a ON a.relation_id = k.relation_id) GROUP BY 1, 2))"""
+
+
+ITEM_WALK_SQL = walk_sql(RELSCORE_SQL.replace(f"{SEEDS_SQL}, ", "").replace(f"{DEGREE_SQL}, ", ""))
+
+
+@query("g8_multi_hop", f"+{WEIGHT_SQL}, {walk_sql(RELSCORE_SQL)} SELECT qid, w.rank, w.chunk_id, file_name, page_number, round(score, 6) AS score, text FROM walk w JOIN chunks c ON c.chunk_id = w.chunk_id WHERE w.rank <= 20")
+def _(g):
+    return walks(g, seeds(g)).join(g.chunks.select("chunk_id", "file_name", "page_number", "text"), "chunk_id").select("qid", "rank", "chunk_id", "file_name", "page_number", F.round("score", 6).alias("score"), "text")
+
+
+@query("h3_retrieve", f"""+{LISTS_SQL}, {ITEM_WALK_SQL} SELECT qid, CAST(rank AS INTEGER) AS rank, chunk_id FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score
+FROM (SELECT qid, CAST(chunk_id AS VARCHAR) AS chunk_id, rank FROM bm25 UNION ALL SELECT qid, chunk_id, rank FROM two WHERE qid % 3 = 1 UNION ALL SELECT qid, chunk_id, rank FROM walk WHERE qid % 3 = 2 AND rank <= 20) GROUP BY 1, 2)) WHERE rank <= 50""")
 def _(g):
-    text, other = lists(g)
-    asked = g.table("benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 2 == 0, "single_hop").otherwise("textual_factoid").alias("route"))
-    return runs.retrieve(asked, text, {"single_hop": other}).select("qid", "rank", "chunk_id")
+    text, one_hop = lists(g)
+    route = F.when(F.col("item_id") % 3 == 1, "single_hop").when(F.col("item_id") % 3 == 2, "multi_hop").otherwise("textual_factoid")
+    asked = g.table("benchmark").select(F.col("item_id").alias("qid"), route.alias("route"))
+    return runs.retrieve(asked, text, {"single_hop": one_hop, "multi_hop": retrieval.to_ranked(walks(g, item_seeds(g)), "graph")}).select("qid", "rank", "chunk_id")
 
 
-@query("j15_run_variants", f"""WITH {LISTS_SQL}, a AS (SELECT qid, CAST(chunk_id AS VARCHAR) AS chunk_id, rank FROM bm25), b AS (SELECT qid, CAST(doc_id AS VARCHAR) AS chunk_id, rank FROM two),
-v AS (SELECT 'text' AS variant, 20 AS k, * FROM a UNION ALL SELECT 'dual', 50, * FROM b UNION ALL SELECT 'dual_text', 50, * FROM a UNION ALL SELECT 'dual_text', 50, * FROM b UNION ALL SELECT 'ppr_text', 20, * FROM a UNION ALL SELECT 'ppr_text', 20, * FROM b)
-SELECT variant, qid, CAST(rank AS INTEGER) AS rank, chunk_id FROM (SELECT variant, k, qid, chunk_id, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT variant, k, qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM v GROUP BY 1, 2, 3, 4)) WHERE rank <= k""", tables=False)
+@query("j15_run_variants", f"""+{LISTS_SQL}, {ITEM_WALK_SQL}, a AS (SELECT qid, CAST(chunk_id AS VARCHAR) AS chunk_id, rank FROM bm25), b AS (SELECT qid, chunk_id, rank FROM two), e AS (SELECT qid, chunk_id, rank FROM walk WHERE rank <= 20),
+v AS (SELECT 'text' AS variant, 20 AS k, * FROM a UNION ALL SELECT 'dual', 50, * FROM b UNION ALL SELECT 'dual_text', 50, * FROM a UNION ALL SELECT 'dual_text', 50, * FROM b UNION ALL SELECT 'ppr_text', 20, * FROM a UNION ALL SELECT 'ppr_text', 20, * FROM e)
+SELECT variant, qid, CAST(rank AS INTEGER) AS rank, chunk_id FROM (SELECT variant, k, qid, chunk_id, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT variant, k, qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM v GROUP BY 1, 2, 3, 4)) WHERE rank <= k""")
 def _(g):
-    text, other = lists(g)
-    return runs.run_variants(text, other, other).select("variant", "qid", "rank", "chunk_id")
+    text, one_hop = lists(g)
+    return runs.run_variants(text, one_hop, retrieval.to_ranked(walks(g, item_seeds(g)), "graph")).select("variant", "qid", "rank", "chunk_id")
 
 
-@query("i3_domain_shortlist", f"WITH {KNN_SQL}, one AS (SELECT qid, label AS domain, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM knn GROUP BY 1, 2), al AS (SELECT * FROM one UNION ALL SELECT vec_id, label, 1 FROM embeddings WHERE vec_id < 20) SELECT qid, CAST(rank AS INTEGER) AS rank, domain FROM (SELECT qid, domain, row_number() OVER (PARTITION BY qid ORDER BY round(sum(1.0 / (10 + rank)), 9) DESC, domain) AS rank FROM al GROUP BY 1, 2) WHERE rank <= 5", tables=False)
+@query("i3_domain_shortlist", f"WITH {KNN_SQL}, one AS (SELECT qid, label AS domain, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS rank FROM knn GROUP BY 1, 2), al AS (SELECT * FROM one UNION ALL SELECT vec_id, label, 1 FROM embeddings WHERE vec_id % 100 = 0) SELECT qid, CAST(rank AS INTEGER) AS rank, domain FROM (SELECT qid, domain, row_number() OVER (PARTITION BY qid ORDER BY round(sum(1.0 / (10 + rank)), 9) DESC, domain) AS rank FROM al GROUP BY 1, 2) WHERE rank <= 5", tables=False)
 def _(g):
     near = retrieval.knn(g.table("embeddings"), vector_queries(g), 10).join(g.table("embeddings").select("vec_id", F.col("label").alias("domain")), "vec_id")
     one = retrieval.top_per(near.groupBy("qid", "domain").agg(F.min("rank").alias("first")), 2**31 - 1, "first").select("qid", "domain", "rank")
-    own = g.table("embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("label").alias("domain"), F.lit(1).alias("rank"))
+    own = g.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("domain"), F.lit(1).alias("rank"))
     return routing.domain_rrf([one, own]).select("qid", "rank", "domain")
 
 
@@ -157,9 +186,9 @@ def _(g):
     return goldset.map_required(qa, rows).select("qid", "relation_id")
 
 
-@query("h8_attach_relations", f"+{RELSCORE_SQL}, ev AS (SELECT qid, chunk_id, string_agg(DISTINCT t.relation_id, ',' ORDER BY t.relation_id) AS relation_ids FROM top t JOIN assertions a ON a.relation_id = t.relation_id WHERE rank <= 15 GROUP BY 1, 2) SELECT x.qid, x.chunk_id, md5(relation_ids) AS relation_ids FROM (SELECT 1::BIGINT AS qid, chunk_id FROM chunks WHERE s = 'Supplier 1') x LEFT JOIN ev ON ev.qid = x.qid AND ev.chunk_id = x.chunk_id")
+@query("h8_attach_relations", f"+{RELSCORE_SQL}, ev AS (SELECT qid, chunk_id, string_agg(DISTINCT t.relation_id, ',' ORDER BY t.relation_id) AS relation_ids FROM top t JOIN assertions a ON a.relation_id = t.relation_id WHERE rank <= 15 GROUP BY 1, 2) SELECT x.qid, x.chunk_id, md5(relation_ids) AS relation_ids FROM (SELECT 1::BIGINT AS qid, chunk_id FROM chunks) x LEFT JOIN ev ON ev.qid = x.qid AND ev.chunk_id = x.chunk_id")
 def _(g):
     degree = graph.degrees(g.relations)
     best = ppr.score_relations(walked(g), g.relations, degree, graph.hubs(degree)).where("rank <= 15")
-    rows = g.chunks.where("s = 'Supplier 1'").select(F.lit(1).cast("long").alias("qid"), "chunk_id")
+    rows = g.chunks.select(F.lit(1).cast("long").alias("qid"), "chunk_id")
     return fusion.attach_relations(rows, ppr.chunks_for_relations(best, g.assertions)).select("qid", "chunk_id", F.md5("relation_ids").alias("relation_ids"))
