@@ -26,7 +26,7 @@ def kept(build: Callable[[Graph], DataFrame]) -> cached_property:
     def table(self: Graph) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, shared_dir(self.spark), self.sf_dir, build.__name__)
         if key not in _TABLES:
-            _TABLES[key] = stored(build(self))
+            _TABLES[key] = stored(build(self), lasting=True)
         return _TABLES[key]
 
     return cached_property(table)

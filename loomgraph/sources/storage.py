@@ -25,17 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A path of its own in the shared folder; it is deleted at the end of the scratch() around, if there is one."""
+def new_folder(spark: SparkSession, lasting: bool = False) -> str:
+    """A path of its own in the shared folder; unless lasting, it is deleted at the end of the scratch() around, if any."""
     path = f"{shared_dir(spark)}/loomgraph/{uuid.uuid4().hex}"
-    if _SCOPES:
+    if _SCOPES and not lasting:
         _SCOPES[-1].append(path)
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: it survives lost executors and ends the lineage."""
-    path = new_folder(df.sparkSession)
+    path = new_folder(df.sparkSession, lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
