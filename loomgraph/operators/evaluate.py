@@ -46,6 +46,16 @@ def gold_ranks(ranked: DataFrame, gold: DataFrame, key: str = "chunk_id") -> Dat
     return met.groupBy("qid").agg(F.min("rank").cast("long").alias("first_rank"), F.count("rank").alias("n_found"), F.count_if(F.col("rank").isNull()).alias("n_missing"), ranks.alias("ranks"))
 
 
+def bridge_rank(ranked: DataFrame, proof: DataFrame, relations: DataFrame, bridges: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """qid, bridge_rank, relation_id of every question (qid, bridge): the first ranked chunk that asserts (proof: chunk_id,
+    relation_id) a relation whose subject or object holds the bridge's name, without case; else null."""
+    ends = F.lower(F.concat(F.coalesce("subject", F.lit("")), F.coalesce("object", F.lit(""))))
+    rows = ranked.join(bridges.select("qid", F.lower("bridge").alias("bridge")), "qid").join(proof.select(key, "relation_id").distinct(), key)
+    met = rows.join(relations.select("relation_id", ends.alias("ends")), "relation_id").where(F.contains("ends", "bridge"))
+    first = met.groupBy("qid").agg(F.min(F.struct("rank", "relation_id")).alias("r"))
+    return bridges.select("qid").join(first, "qid", "left").select("qid", F.col("r.rank").alias("bridge_rank"), "r.relation_id")
+
+
 def noise_report(ranked: DataFrame, gold: DataFrame, boilerplate: Column, on_topic: Column, key: str = "chunk_id") -> DataFrame:
     """qid and counts of gold, boilerplate, on-topic and off-topic rows."""
     marked = ranked.join(gold.select("qid", key).distinct().withColumn("gold", F.lit(1)), ["qid", key], "left")

@@ -117,6 +117,21 @@ def judge_filter(qa: DataFrame, dims: list[str], least: int = 4) -> DataFrame:
     return qa.select("qid", F.when(~F.coalesce("accept", F.lit(False)), "rejected").when(missing, "missing score").when(low < least, "low score").alias("reason"))
 
 
+def admit(judged: DataFrame, quota: int, by: str = "mode") -> DataFrame:
+    """qid, reason of judged questions (qid, question, reason, mode): of those without a reason, one of each wording (without
+    case, punctuation and spacing; the least qid) and the first `quota` of each mode by qid are kept."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("question", F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
+    first = judged.where("reason is null").select("qid", by, plain.alias("plain")).groupBy("plain").agg(F.min(F.struct("qid", by)).alias("r")).select("r.*")
+    kept = top_per(first, quota, "qid", by=by, rank="_n").select("qid", F.lit(True).alias("kept"))
+    rows = judged.select("qid", "reason").join(first.select("qid", F.lit(True).alias("first")), "qid", "left").join(kept, "qid", "left")
+    late = F.when(F.col("first").isNull(), "duplicate").when(F.col("kept").isNull(), "over quota")
+    return rows.select("qid", F.coalesce("reason", late).alias("reason"))
+
+
+def reject_counts(reasons: DataFrame) -> DataFrame:
+    return reasons.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def candidate_chunks(chunks: DataFrame, n_entities: DataFrame, least: int = 40) -> DataFrame:
     """reason ('ok', 'short' or 'no entities'), n_chunks and the distribution of entity counts."""
     joined = chunks.join(n_entities, "chunk_id", "left").na.fill(0, ["n_entities"])
@@ -124,11 +139,20 @@ def candidate_chunks(chunks: DataFrame, n_entities: DataFrame, least: int = 40)
     return joined.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_chunks"), F.min("n_entities").alias("low"), F.max("n_entities").alias("high"), F.round(F.avg("n_entities"), 9).alias("mean"))
 
 
-def prefilter(size: DataFrame, confidence: DataFrame, min_chunks: int = 2, max_hubs: int = 1, least: float = 0.5) -> DataFrame:
-    """gid, reason of subgraphs (gid, n_chunks, n_hubs) and their relations' best confidences (gid, best): null is kept."""
-    low = confidence.groupBy("gid").agg(F.min("best").alias("low"))
-    reason = F.when(F.col("n_chunks") < min_chunks, "few chunks").when(F.col("n_hubs") > max_hubs, "hubs").when(F.coalesce("low", F.lit(0.0)) < least, "low confidence")
-    return size.join(low, "gid", "left").select("gid", reason.alias("reason"))
+#: Names that are too general to connect relations.
+STOP_CONNECTORS = ("project", "the project", "contract", "the contract", "works", "the works", "company group", "tender", "contractor", "company", "tenderer")
+
+
+def prefilter(size: DataFrame, confidence: DataFrame, min_chunks: int = 2, max_hubs: int = 1, least: float = 0.5, connectors: DataFrame | None = None, stop: tuple[str, ...] = STOP_CONNECTORS) -> DataFrame:
+    """gid, reason of subgraphs (gid, n_chunks, n_hubs) and their relations' best confidences (gid, best): null is kept.
+
+    connectors: gid, name, hub of the entities that join relations of a subgraph; none may be a hub or have a stop name."""
+    rows = size.join(confidence.groupBy("gid").agg(F.min("best").alias("low")), "gid", "left").withColumn("stopped", F.lit(False))
+    if connectors is not None:
+        general = F.coalesce("hub", F.lit(False)) | F.coalesce(F.lower(F.trim("name")).isin(*stop), F.lit(False))
+        rows = rows.drop("stopped").join(connectors.groupBy("gid").agg(F.max(general).alias("stopped")), "gid", "left")
+    reason = F.when(F.col("n_chunks") < min_chunks, "few chunks").when(F.col("n_hubs") > max_hubs, "hubs").when(F.col("stopped"), "stop connectors").when(F.col("low") < least, "low confidence")
+    return rows.select("gid", reason.alias("reason"))
 
 
 def sample_themes(relations: DataFrame, assertions: DataFrame, n: int, seed: str, cap: int = 8, by: str = "label") -> DataFrame:
@@ -213,6 +237,10 @@ def coverage(df: DataFrame) -> DataFrame:
     return row.unpivot([], df.columns, "property", "n_set")
 
 
+def edge_types(edges: DataFrame, by: str = "type") -> DataFrame:
+    return edges.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def map_required(qa: DataFrame, relations: DataFrame) -> DataFrame:
     """qid, relation_id: the relations (qid, pos from 1, relation_id) that tags like R1,R2 name; all where none does."""
     tags = qa.select("qid", F.explode(F.split(F.coalesce("required", F.lit("")), r"\s*,\s*")).alias("tag")).where(F.col("tag").rlike(r"^R\d+$"))
@@ -221,9 +249,36 @@ def map_required(qa: DataFrame, relations: DataFrame) -> DataFrame:
     return named.unionAll(rest)
 
 
-def match_personas(terms: DataFrame, personas: DataFrame) -> DataFrame:
-    """gid, persona: personas one of whose concepts is one of the group's terms; all personas where none is."""
-    met = terms.select("gid", F.lower("term").alias("t")).join(personas.select("persona", F.lower("concept").alias("t")), "t").select("gid", "persona").distinct()
+def _grams(word: Column, sizes: list[int]) -> Column:
+    """Distinct stretches of the word of these lengths."""
+
+    def cut(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(cut, sizes)))
+
+
+def _holding(long: DataFrame, short: DataFrame) -> DataFrame:
+    """l, s where l holds s: they meet on the first three characters of s (all, if fewer), then the whole is compared."""
+    within = long.select("l", F.explode(_grams(F.col("l"), [1, 2, 3])).alias("gram"))
+    begins = short.select("s", F.substring("s", 1, 3).alias("gram"))
+    return within.join(begins, "gram").where(F.contains("l", "s")).select("l", "s").distinct()
+
+
+def match_personas(terms: DataFrame, personas: DataFrame, part: bool = False) -> DataFrame:
+    """gid, persona: personas one of whose concepts is one of the group's terms; all personas where none is.
+
+    With part, it is enough that one holds the other (for communities); empty terms and concepts meet nothing then."""
+    asked = terms.select("gid", F.lower("term").alias("t"))
+    known = personas.select("persona", F.lower("concept").alias("c"))
+    if part:
+        one, two = asked.where("t != ''").select("t").distinct(), known.where("c != ''").select("c").distinct()
+        forth = _holding(one.select(F.col("t").alias("l")), two.select(F.col("c").alias("s"))).select(F.col("l").alias("t"), F.col("s").alias("c"))
+        back = _holding(two.select(F.col("c").alias("l")), one.select(F.col("t").alias("s"))).select(F.col("s").alias("t"), F.col("l").alias("c"))
+        pairs = forth.unionAll(back).distinct()
+    else:
+        pairs = asked.select("t", F.col("t").alias("c")).distinct()
+    met = asked.join(pairs, "t").join(known, "c").select("gid", "persona").distinct()
     none = terms.select("gid").distinct().join(met.select("gid").distinct(), "gid", "left_anti")
     every = personas.agg(F.array_sort(F.collect_set("persona")).alias("p"))  # a short list of personas, by design
     return met.unionAll(none.join(F.broadcast(every)).select("gid", F.explode("p").alias("persona")))

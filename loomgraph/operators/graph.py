@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_whitespace
 from .retrieval import top_per
 
 
@@ -81,11 +82,28 @@ def dedup_channels(local: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return one.withColumn("channel", F.lit("local")).unionByName(two.withColumn("channel", F.lit("global")))
 
 
-def relation_context(ranked: DataFrame, relations: DataFrame) -> DataFrame:
-    """qid, context: a line for each relation in rank order."""
-    line = F.concat(F.lit("- "), F.col("subject"), F.lit(" —["), F.col("label"), F.lit("]→ "), F.col("object"), F.lit(": "), F.col("description"))
-    rows = ranked.join(relations, "relation_id").select("qid", F.struct("rank", line.alias("line")).alias("r"))
-    return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("context"))
+def relation_context(ranked: DataFrame, relations: DataFrame, style: str = "list", sources: DataFrame | None = None) -> DataFrame:
+    """qid, context: the relations in rank order, as a list, as plain lines, as blocks with source clauses or numbered with
+    their evidence. sources: relation_id, chunk_id, file_name, page_number, text, shown by file, page and chunk."""
+    name = lambda c, other: F.coalesce(c, F.lit(other))
+    s, o, label, about = name("subject", "Unknown"), name("object", "Unknown"), name("label", "related_to"), name("description", "")
+    rows = ranked.select("qid", "rank", "relation_id").join(relations.select("relation_id", "subject", "label", "object", "description"), "relation_id")
+    if style in ("blocks", "numbered"):
+        clause = F.concat(F.lit("Source clause ["), name("file_name", "Unknown"), F.lit("]:\n"), clean_whitespace(F.col("text")))
+        if style == "numbered":
+            clause = F.concat(F.lit("  evidence (chunk="), "chunk_id", F.lit(" | "), name("file_name", "Unknown"), F.lit(" p."), name(F.col("page_number").cast("string"), ""), F.lit("): "), F.substring(name("text", ""), 1, 600))
+        shown = sources.join(rows.select("relation_id").distinct(), "relation_id", "left_semi").select("relation_id", F.struct("file_name", "page_number", "chunk_id", clause.alias("clause")).alias("r"))
+        held = shown.groupBy("relation_id").agg(F.concat(F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["clause"]), "\n")).alias("proof"))
+        rows = rows.join(held, "relation_id", "left")
+    number = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "relation_id")).cast("string")
+    line, gap = {
+        "list": (lambda: F.concat(F.lit("- "), s, F.lit(" —["), label, F.lit("]→ "), o, F.lit(": "), about), "\n"),
+        "plain": (lambda: F.concat(s, F.lit(" --"), label, F.lit("--> "), o, F.lit(": "), about), "\n"),
+        "blocks": (lambda: F.concat(F.lit("<context>\nRelation: "), s, F.lit(" --"), label, F.lit("--> "), o, F.lit("\nDescription: "), about, name("proof", ""), F.lit("\n</context>")), "\n\n"),
+        "numbered": (lambda: F.concat(F.lit("RELATION R"), number, F.lit(": "), s, F.lit(" --["), label, F.lit("]--> "), o, F.when(about != "", F.concat(F.lit("\n  meaning: "), about)).otherwise(""), name("proof", "")), "\n"),
+    }[style]
+    lined = rows.withColumn("line", line()).select("qid", F.struct("rank", "relation_id", "line").alias("r"))
+    return lined.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), gap).alias("context"))
 
 
 def degrees(relations: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fusion, goldset, graph, ppr, retrieval, routing, runs
+from ..operators import evaluate, fusion, goldset, graph, ppr, retrieval, routing, runs
 from ..sources.fixtures import Graph
 from ..sources.storage import stored
 from .catalogue import BM25_SQL, DEGREE_SQL, HUBS_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, SEEDS_SQL, WEIGHT_SQL, item_seeds, lists, local, query, seeds, text_queries, vector_of, vector_queries, walked, weights
@@ -112,15 +112,18 @@ def _(g):
 
 
 @query("k6_prefilter", f"""+{HUBS_SQL}, {SUB_SQL}, en AS (SELECT DISTINCT gid, unnest([subject_key, object_key]) AS entity_key FROM sub JOIN relations USING (relation_id)),
-c AS (SELECT gid, count(DISTINCT chunk_id) AS n_chunks FROM sub JOIN assertions USING (relation_id) GROUP BY 1), h AS (SELECT gid, count(hubs.entity_key) AS n_hubs FROM en LEFT JOIN hubs USING (entity_key) GROUP BY 1), m AS (SELECT gid, min(best) AS low FROM (SELECT gid, relation_id, max(confidence) AS best FROM sub JOIN assertions USING (relation_id) GROUP BY 1, 2) GROUP BY 1)
-SELECT gid, CASE WHEN n_chunks < 2 THEN 'few chunks' WHEN n_hubs > 1 THEN 'hubs' WHEN low < 0.95 THEN 'low confidence' END AS reason FROM c JOIN h USING (gid) JOIN m USING (gid)""")
+c AS (SELECT gid, count(DISTINCT chunk_id) AS n_chunks FROM sub JOIN assertions USING (relation_id) GROUP BY 1), h AS (SELECT gid, count(hubs.entity_key) AS n_hubs FROM en LEFT JOIN hubs USING (entity_key) GROUP BY 1), m AS (SELECT gid, min(best) AS low FROM (SELECT gid, relation_id, max(confidence) AS best FROM sub JOIN assertions USING (relation_id) GROUP BY 1, 2) GROUP BY 1),
+jn AS (SELECT gid, entity_key FROM (SELECT DISTINCT gid, relation_id, unnest([subject_key, object_key]) AS entity_key FROM sub JOIN relations USING (relation_id)) GROUP BY 1, 2 HAVING count(*) >= 2), st AS (SELECT DISTINCT gid, true AS stopped FROM jn JOIN entities USING (entity_key) WHERE lower(name) = 'part 1' OR entity_key IN (SELECT entity_key FROM hubs))
+SELECT gid, CASE WHEN n_chunks < 2 THEN 'few chunks' WHEN n_hubs > 1 THEN 'hubs' WHEN stopped THEN 'stop connectors' WHEN low < 0.95 THEN 'low confidence' END AS reason FROM c JOIN h USING (gid) JOIN m USING (gid) LEFT JOIN st USING (gid)""")
 def _(g):
     sub = subgraphs(g)
     proof = sub.join(g.assertions.select("relation_id", "chunk_id", "confidence"), "relation_id")
     ends = sub.join(g.relations, "relation_id").select("gid", F.explode(F.array("subject_key", "object_key")).alias("entity_key")).distinct()
-    hub = ends.join(graph.hubs(graph.degrees(g.relations)).select("entity_key", F.lit(1).alias("hub")), "entity_key", "left").groupBy("gid").agg(F.count("hub").alias("n_hubs"))
+    hubs = graph.hubs(graph.degrees(g.relations)).select("entity_key", F.lit(True).alias("hub"))
+    hub = ends.join(hubs, "entity_key", "left").groupBy("gid").agg(F.count("hub").alias("n_hubs"))
+    connectors = goldset.join_nodes(sub, g.relations).join(g.entities.select("entity_key", "name"), "entity_key").join(hubs, "entity_key", "left")
     size = proof.groupBy("gid").agg(F.count_distinct("chunk_id").alias("n_chunks")).join(hub, "gid")
-    return goldset.prefilter(size, proof.groupBy("gid", "relation_id").agg(F.max("confidence").alias("best")), least=0.95)
+    return goldset.prefilter(size, proof.groupBy("gid", "relation_id").agg(F.max("confidence").alias("best")), least=0.95, connectors=connectors, stop=(*goldset.STOP_CONNECTORS, "part 1"))
 
 
 @query("k10_sample_themes", """+ok AS (SELECT label FROM relations JOIN (SELECT relation_id, chunk_id FROM assertions) a USING (relation_id) GROUP BY 1 HAVING count(DISTINCT relation_id) >= 3 AND count(DISTINCT chunk_id) >= 2)
@@ -172,6 +175,62 @@ def _(g):
     return goldset.coverage(g.relations.select("relation_id", "domain", "label"))
 
 
+@query("k24b_edge_types", "SELECT label, count(*) AS n FROM relations GROUP BY 1")
+def _(g):
+    return goldset.edge_types(g.relations, "label")
+
+
+@query("k25b_match_communities", """WITH p AS (SELECT DISTINCT p_brand AS persona, lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END) AS concept FROM part), t AS (SELECT p_partkey AS gid, CASE WHEN p_partkey % 5 = 0 THEN 'nothing' WHEN p_partkey % 3 = 0 THEN p_name ELSE lower(split_part(p_name, ' ', 2)) END AS term FROM part),
+m AS (SELECT DISTINCT gid, persona FROM t JOIN (SELECT DISTINCT term, persona FROM (SELECT DISTINCT term FROM t) JOIN p ON contains(concept, lower(term)) OR contains(lower(term), concept)) USING (term)) SELECT * FROM m UNION ALL SELECT gid, persona FROM (SELECT DISTINCT gid FROM t ANTI JOIN m USING (gid)), (SELECT DISTINCT persona FROM p)""", tables=False)
+def _(g):
+    part, word = g.table("part"), lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    terms = part.select(F.col("p_partkey").alias("gid"), F.when(F.col("p_partkey") % 5 == 0, "nothing").when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(word(2)).alias("term"))
+    concepts = part.select(F.col("p_brand").alias("persona"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(word(1)).alias("concept")).distinct()
+    return goldset.match_personas(terms, concepts, part=True)
+
+
+JUDGED_SQL = """j AS (SELECT d.doc_id AS qid, text, source, CASE WHEN quality = 0 THEN 'rejected' WHEN toxic = 1 THEN 'low score' END AS reason FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+f AS (SELECT trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS plain, min(qid) AS qid FROM j WHERE reason IS NULL GROUP BY 1), o AS (SELECT qid, row_number() OVER (PARTITION BY source ORDER BY qid) AS n FROM f JOIN j USING (qid)),
+ad AS (SELECT qid, coalesce(reason, CASE WHEN n IS NULL THEN 'duplicate' WHEN n > 40 THEN 'over quota' END) AS reason FROM j LEFT JOIN o USING (qid))"""
+
+
+def admitted(g: Graph) -> DataFrame:
+    labels = g.table("labels").select(F.col("doc_id").alias("qid"), (F.col("quality") == 1).alias("accept"), F.lit(5).alias("a"), F.when(F.col("toxic") == 1, 2).otherwise(4).alias("b"))
+    docs = g.table("documents").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"), F.col("source").alias("mode"))
+    return goldset.admit(docs.join(goldset.judge_filter(labels, ["a", "b"]), "qid"), 40)
+
+
+@query("k12b_admit", f"WITH {JUDGED_SQL} SELECT * FROM ad", tables=False)
+def _(g):
+    return admitted(g)
+
+
+@query("k12c_reject_counts", f"WITH {JUDGED_SQL} SELECT reason, count(*) AS n FROM ad WHERE reason IS NOT NULL GROUP BY 1", tables=False)
+def _(g):
+    return goldset.reject_counts(admitted(g))
+
+
+@query("j6b_bridge_rank", f"""+{LOCAL_SQL}, sup AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY support DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, count(DISTINCT l.relation_id) AS support FROM (SELECT * FROM loc WHERE rank <= 10) l JOIN assertions a ON a.relation_id = l.relation_id GROUP BY 1, 2)),
+b AS (SELECT qid, s.rank AS bridge_rank, r.relation_id FROM sup s JOIN assertions a ON a.chunk_id = s.chunk_id JOIN relations r ON r.relation_id = a.relation_id WHERE s.rank <= 5 AND contains(lower(subject || object), 'customer ' || qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s.rank, r.relation_id) = 1)
+SELECT qid, bridge_rank, relation_id FROM (SELECT DISTINCT qid FROM seeds) LEFT JOIN b USING (qid)""")
+def _(g):
+    ranked = runs.single_hop(seeds(g), g.relations, g.assertions, g.chunks, weights(g)).select("qid", "rank", "chunk_id")
+    bridges = seeds(g).select("qid").distinct().withColumn("bridge", F.concat(F.lit("Customer "), F.col("qid").cast("string")))
+    return evaluate.bridge_rank(ranked, g.assertions, g.relations, bridges)
+
+
+@query("f10b_context_layouts", f"""+{LOCAL_SQL}, b AS (SELECT qid, rank, r.* FROM loc l JOIN relations r ON r.relation_id = l.relation_id WHERE rank <= 10),
+pr AS (SELECT relation_id, string_agg('Source clause [' || file_name || ']:' || chr(10) || evidence_text, chr(10) ORDER BY file_name, page_number, chunk_id, evidence_text) AS clauses,
+    string_agg('  evidence (chunk=' || chunk_id || ' | ' || file_name || ' p.' || page_number || '): ' || substr(evidence_text, 1, 600), chr(10) ORDER BY file_name, page_number, chunk_id, evidence_text) AS evidence FROM assertions SEMI JOIN b USING (relation_id) GROUP BY 1)
+SELECT 'plain' AS style, qid, md5(string_agg(subject || ' --' || label || '--> ' || object || ': ' || description, chr(10) ORDER BY rank)) AS context FROM b GROUP BY qid
+UNION ALL SELECT 'blocks', qid, md5(string_agg('<context>' || chr(10) || 'Relation: ' || subject || ' --' || label || '--> ' || object || chr(10) || 'Description: ' || description || coalesce(chr(10) || clauses, '') || chr(10) || '</context>', chr(10) || chr(10) ORDER BY rank)) FROM b LEFT JOIN pr USING (relation_id) GROUP BY qid
+UNION ALL SELECT 'numbered', qid, md5(string_agg('RELATION R' || rank || ': ' || subject || ' --[' || label || ']--> ' || object || chr(10) || '  meaning: ' || description || coalesce(chr(10) || evidence, ''), chr(10) ORDER BY rank)) FROM b LEFT JOIN pr USING (relation_id) GROUP BY qid""")
+def _(g):
+    best, sources = local(g, 10), g.assertions.withColumnRenamed("evidence_text", "text")
+    one = lambda style: graph.relation_context(best, g.relations, style, sources).select(F.lit(style).alias("style"), "qid", F.md5("context").alias("context"))
+    return one("plain").unionAll(one("blocks")).unionAll(one("numbered"))
+
+
 @query("k25_match_personas", "WITH p AS (SELECT p_brand AS persona, lower(p_type) AS concept FROM part), t AS (SELECT n_nationkey AS gid, CASE WHEN n_nationkey % 5 = 0 THEN 'nothing' ELSE (SELECT min(lower(p_type)) FROM part) END AS term FROM nation), m AS (SELECT DISTINCT gid, persona FROM t JOIN p ON term = concept) SELECT * FROM m UNION ALL SELECT gid, persona FROM (SELECT DISTINCT gid FROM t ANTI JOIN m USING (gid)), (SELECT DISTINCT persona FROM p)", tables=False)
 def _(g):
     first = g.table("part").agg(F.min("p_type").alias("m"))

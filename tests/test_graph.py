@@ -91,3 +91,41 @@ def test_jsonl_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a"]), (2, [])], "qid long, keys array<string>")
     write_jsonl(df, str(tmp_path / "x"))
     assert sorted(map(tuple, read_jsonl(spark, str(tmp_path / "x"), df.schema).collect())) == [(1, ["a"]), (2, [])]
+
+
+def test_bridge_rank(spark):
+    from loomgraph.operators import evaluate
+
+    ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "qid long, rank int, chunk_id string")
+    proof = spark.createDataFrame([("a", "r1"), ("b", "r2"), ("b", "r3")], "chunk_id string, relation_id string")
+    relations = spark.createDataFrame([("r1", "Pump", None), ("r2", "Gas Valve", "Pump"), ("r3", "x", "VALVES")], "relation_id string, subject string, object string")
+    bridges = spark.createDataFrame([(1, "valve"), (2, "Valve"), (3, "Pump")], "qid long, bridge string")
+    got = {r["qid"]: (r["bridge_rank"], r["relation_id"]) for r in evaluate.bridge_rank(ranked, proof, relations, bridges).collect()}
+    assert got == {1: (2, "r2"), 2: (None, None), 3: (None, None)}
+
+
+def test_personas_of_communities(spark):
+    from loomgraph.operators import goldset
+
+    names = ["a", "ab", "pump", "steel pump", "umbrella", "", "tank farm"]
+    terms = [(i, t) for i, t in enumerate(names + ["Pum", "nothing here", "farms"])]
+    personas = [(f"p{i}", c) for i, c in enumerate(["pump", "Tank", "b", "farm gate"])]
+    got = {(r["gid"], r["persona"]) for r in goldset.match_personas(spark.createDataFrame(terms, "gid long, term string"), spark.createDataFrame(personas, "persona string, concept string"), part=True).collect()}
+    want = set()
+    for gid, t in terms:
+        met = [p for p, c in personas if t and (t.lower() in c.lower() or c.lower() in t.lower())]
+        want |= {(gid, p) for p in met or [p for p, _ in personas]}
+    assert got == want
+
+
+def test_admit_and_prefilter(spark):
+    from loomgraph.operators import goldset
+
+    rows = [(1, "What is X?", None, "local"), (2, "what  is x", None, "local"), (3, "Y", None, "local"), (4, "Z", None, "local"), (5, "Y", "rejected", "global"), (6, None, None, "global")]
+    reasons = goldset.admit(spark.createDataFrame(rows, "qid long, question string, reason string, mode string"), 2)
+    assert {r["qid"]: r["reason"] for r in reasons.collect()} == {1: None, 2: "duplicate", 3: None, 4: "over quota", 5: "rejected", 6: None}
+    assert {r["reason"]: r["n"] for r in goldset.reject_counts(reasons).collect()} == {"duplicate": 1, "over quota": 1, "rejected": 1}
+    size = spark.createDataFrame([(1, 2, 0), (2, 2, 0), (3, 2, 0), (4, 1, 0)], "gid long, n_chunks long, n_hubs long")
+    best = spark.createDataFrame([(1, 0.9), (2, 0.4)], "gid long, best double")
+    joins = spark.createDataFrame([(1, " Contractor ", None), (3, "Pump", None)], "gid long, name string, hub boolean")
+    assert {r["gid"]: r["reason"] for r in goldset.prefilter(size, best, connectors=joins).collect()} == {1: "stop connectors", 2: "low confidence", 3: None, 4: "few chunks"}
