@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontamination, exact_topk, licenses, minhash_dedup, substring_dedup, token_counts, toxicity, warc
+from . import bpe, chat_format, decontamination, exact_topk, licenses, minhash_dedup, orchard, ranked_search, substring_dedup, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_counts.op8_query,
         "op9_minhash_near_dedup": minhash_dedup.op9_query,
         "op6_substring_dedup": substring_dedup.op6_query,
+        "op11_url_filter": url_filter.op11_query,
+        "op12_ranked_search": ranked_search.op12_query,
+        "op13_orchard_clusters": orchard.op13_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": exact_topk.OP3_SQL, "op7_warc_revisits": warc.OP7_SQL}
+    return {"op3_exact_topk": exact_topk.OP3_SQL, "op7_warc_revisits": warc.OP7_SQL, "op11_url_filter": url_filter.OP11_SQL, "op12_ranked_search": ranked_search.OP12_SQL, "op13_orchard_clusters": orchard.OP13_SQL}
