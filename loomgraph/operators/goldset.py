@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -170,20 +172,36 @@ def chunk_entities(mentions: DataFrame, cap: int = 30) -> DataFrame:
     return few.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]).alias("entities"))
 
 
-def overlap_edges(lists: DataFrame, name_pairs: DataFrame, least: float = 0.05, drop_share: float = 0.05) -> DataFrame:
-    """src, dst, overlap of chunks (chunk_id, name): matching name pairs (a, b, both directions) over the product of sizes.
-
-    The most frequent names (drop_share of them, one at least) are left out."""
-    names = lists.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    drop = max(1, int(names.count() * drop_share))
-    common = names.orderBy(F.desc("n"), "name").limit(drop).select("name")
-    kept = lists.select("chunk_id", "name").distinct().join(common, "name", "left_anti")
-    sizes = kept.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("size"))
-    left, right = kept.select(F.col("chunk_id").alias("src"), F.col("name").alias("a")), kept.select(F.col("chunk_id").alias("dst"), F.col("name").alias("b"))
-    met = left.join(name_pairs.select("a", "b").distinct(), "a").join(right, "b").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    one, two = sizes.select(F.col("chunk_id").alias("src"), F.col("size").alias("n1")), sizes.select(F.col("chunk_id").alias("dst"), F.col("size").alias("n2"))
-    score = F.round(F.col("m") / (F.col("n1") * F.col("n2")), 9)
-    return met.join(one, "src").join(two, "dst").select("src", "dst", score.alias("overlap")).where(F.col("overlap") >= least)
+def overlap_edges(lists: DataFrame, name_pairs: DataFrame, least: float = 0.05, drop_share: float = 0.05, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """src, dst, overlap, matches of chunks (chunk_id, name): their matching name pairs (a, b, both directions and each name
+    with itself; see names.near_names) over the product of their sizes, and these pairs as "x~y", in order.
+
+    The most frequent names (drop_share of them, one at least) are left out. Names are ordered by how many rows they would
+    meet. Of a chunk's names only those are looked up with which the ones after it, the hottest, could still reach the
+    score: a name matches at most its near names, and at most the other chunk's size. So a hot name lists no chunk pairs
+    unless it may decide about them. Pairs that meet are then counted in full, on the lists of both chunks."""
+    rows = keep(lists.select("chunk_id", F.trim("name").alias("name")).where("name <> ''").distinct())
+    counts = keep(rows.groupBy("name").agg(F.count(F.lit(1)).alias("f")))
+    drop = max(1, int(counts.count() * drop_share))
+    kept = keep(rows.join(counts.orderBy(F.desc("f"), "name").limit(drop), "name", "left_anti"))
+    near = name_pairs.select("a", "b").distinct().join(kept.select(F.col("name").alias("a")).distinct(), "a", "left_semi")
+    heat = near.join(counts.select(F.col("name").alias("b"), "f"), "b").groupBy(F.col("a").alias("name")).agg(F.sum("f").alias("heat"), F.count(F.lit(1)).alias("degree"), F.array_sort(F.collect_list("b")).alias("near"))
+    held = kept.join(heat, "name").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("heat", "name", "degree", "near"))).alias("items"))
+    held = keep(held.withColumn("n", F.size("items")).withColumn("class", F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int")))
+    sizes = held.groupBy("class").agg(F.min("n").alias("low"), F.max("n").alias("high")).collect()  # classes are powers of two
+    if not sizes:
+        return lists.sparkSession.createDataFrame([], f"src {lists.schema['chunk_id'].dataType.simpleString()}, dst {lists.schema['chunk_id'].dataType.simpleString()}, overlap double, matches array<string>")
+    other = F.explode(F.array(*[F.struct(F.lit(r["class"]).alias("class"), F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high")) for r in sizes]))
+    probe = held.select("chunk_id", "n", "items", other.alias("o"))
+    reach = lambda i: F.aggregate(F.slice("items", i + 1, F.col("n") - i), F.lit(0), lambda s, x: s + F.least(x["degree"].cast("int"), F.col("o.high")))
+    asked = F.filter("items", lambda x, i: reach(i) >= least * F.col("n") * F.col("o.low") - 1e-9)
+    left = probe.select(F.col("chunk_id").alias("src"), F.col("o.class").alias("class"), F.explode(F.transform(asked, lambda x: x["near"])).alias("near")).select("src", "class", F.explode("near").alias("b")).distinct()
+    right = held.select(F.col("chunk_id").alias("dst"), "class", F.explode(F.transform("items", lambda x: x["name"])).alias("b"))
+    pairs = left.join(right, ["b", "class"]).where("src < dst").select("src", "dst").distinct()
+    one, two = held.select(F.col("chunk_id").alias("src"), F.col("items").alias("x"), F.col("n").alias("n1")), held.select(F.col("chunk_id").alias("dst"), F.transform("items", lambda x: x["name"]).alias("y"), F.col("n").alias("n2"))
+    found = F.array_sort(F.flatten(F.transform("x", lambda x: F.transform(F.array_intersect(x["near"], "y"), lambda y: F.concat(x["name"], F.lit("~"), y)))))
+    scored = pairs.join(one, "src").join(two, "dst").withColumn("matches", found)
+    return scored.select("src", "dst", F.round(F.size("matches") / (F.col("n1") * F.col("n2")), 9).alias("overlap"), "matches").where(F.col("overlap") >= least)
 
 
 def communities(edges: DataFrame, least: float, rounds: int = 8, stored=lambda df: df) -> DataFrame:

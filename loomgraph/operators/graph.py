@@ -106,19 +106,25 @@ def relation_context(ranked: DataFrame, relations: DataFrame, style: str = "list
     return lined.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), gap).alias("context"))
 
 
-def degrees(relations: DataFrame) -> DataFrame:
-    """entity_key, degree: relations at an entity, loops left out, parallel ones counted."""
-    ends = relations.where("subject_key <> object_key").select("relation_id", F.explode(F.array("subject_key", "object_key")).alias("entity_key"))
-    return ends.groupBy("entity_key").agg(F.count_distinct("relation_id").alias("degree"))
-
-
-def hubs(degree: DataFrame, p: float = 0.99, floor: int = 50) -> DataFrame:
-    """Entities whose degree reaches max(floor, whole part of the percentile)."""
-    found = degree.agg(F.percentile("degree", F.lit(p)).alias("q")).first()["q"]  # one number
+def degrees(relations: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """entity_key, degree: relations at an entity, loops left out, parallel ones counted; by: within each scope's relations."""
+    by = by or []
+    ends = relations.where("subject_key <> object_key").select(*by, "relation_id", F.explode(F.array("subject_key", "object_key")).alias("entity_key"))
+    return ends.groupBy(*by, "entity_key").agg(F.count_distinct("relation_id").alias("degree"))
+
+
+def hubs(degree: DataFrame, p: float = 0.99, floor: int = 50, by: list[str] | None = None) -> DataFrame:
+    """Entities whose degree reaches max(floor, whole part of the percentile), of their own scope."""
+    q = F.percentile("degree", F.lit(p)).alias("q")
+    if by:
+        least = F.greatest(F.lit(floor), F.floor(F.coalesce("q", F.lit(0.0))))
+        return degree.join(degree.groupBy(*by).agg(q), by).where(F.col("degree") >= least).select(*by, "entity_key", "degree")
+    found = degree.agg(q).first()["q"]  # one number
     return degree.where(F.col("degree") >= max(floor, int(found or 0))).select("entity_key", "degree")
 
 
-def projection(relations: DataFrame) -> DataFrame:
-    """src, dst in both directions; loops left out, parallel edges once."""
-    one = relations.where("subject_key <> object_key").select(F.col("subject_key").alias("src"), F.col("object_key").alias("dst"))
-    return one.unionAll(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+def projection(relations: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """src, dst in both directions; loops left out, parallel edges once; by: within each scope's relations."""
+    by = by or []
+    one = relations.where("subject_key <> object_key").select(*by, F.col("subject_key").alias("src"), F.col("object_key").alias("dst"))
+    return one.unionAll(one.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

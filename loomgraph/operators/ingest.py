@@ -58,11 +58,22 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, columns: list[str])
     return both.select(key, *[(F.when(F.col("_there"), F.coalesce(f"_new_{c}", c)).otherwise(F.col(c)) if c in columns else F.col(c)).alias(c) for c in target.columns if c != key])
 
 
-def upsert_edges(target: DataFrame, updates: DataFrame, key: str, columns: list[str], ends: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """upsert of the updates whose ends exist. ends: edge column -> (node table, key)."""
+def valid_edges(updates: DataFrame, ends: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """The updates both of whose ends exist. ends: edge column -> (node table, key)."""
     for column, (nodes, node_key) in ends.items():
         updates = updates.join(nodes.select(F.col(node_key).alias(column)), column, "left_semi")
-    return upsert(target, updates, key, columns)
+    return updates
+
+
+def last_of(updates: DataFrame, key: str, order: str) -> DataFrame:
+    """Of repeated updates of a key the one that comes last."""
+    rest = [c for c in updates.columns if c not in (key, order)]
+    return updates.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
+def upsert_edges(target: DataFrame, updates: DataFrame, key: str, columns: list[str], ends: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """upsert of the updates whose ends exist."""
+    return upsert(target, valid_edges(updates, ends), key, columns)
 
 
 def update_column(target: DataFrame, rows: DataFrame, key: str, column: str) -> DataFrame:

@@ -1,65 +1,156 @@
-"""Hub-aware personalized PageRank over batches of questions."""
+"""Hub-aware personalized PageRank over batches of questions, on the whole graph or on scopes of it."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources import storage
+from .graph import degrees, hubs, projection
 from .retrieval import top_per
 
+Keep = Callable[[DataFrame], DataFrame]
+#: The scope that stands for the whole graph.
+WHOLE = ""
+#: Questions in a row of the walk.
+SLOTS = 8
+
 
 def rounds(alpha: float, tol: float = 1e-8, most: int = 100) -> int:
-    """Rounds after which the ranks move by less than tol in all: the change of a round is at most 2 * alpha^t."""
+    """Rounds of plain iteration after which the ranks move by less than tol in all: a round's change is at most 2 * alpha^t."""
     return min(most, math.ceil(math.log(2 / tol) / math.log(1 / alpha)))
 
 
-def ppr(seeds: DataFrame, edges: DataFrame, alpha: float = 0.45, tol: float = 1e-8, top: int | None = 80, stored: Callable[[DataFrame], DataFrame] | None = None, every: int = 6) -> DataFrame:
-    """qid, rank, node, score: walks of (src, dst) edges that restart at the seeds (qid, node) with probability 1 - alpha.
-
-    Only nodes with a positive rank are rows. A round is one join on the node and one sum, combined before the shuffle; a
-    hub's edges may be split by adaptive execution, for the ranks are the join's other side. The number of rounds follows
-    from alpha and tol beforehand. stored, if given, keeps edges and starts, and cuts the lineage every few rounds."""
-    keep = stored or (lambda df: df)
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    steps = keep(edges.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("n")).alias("w")))
-    starts = seeds.select("qid", "node").distinct().join(steps.select(F.col("src").alias("node")), "node", "left_semi")
-    starts = keep(starts.withColumn("r", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("qid"))))
-    restart = starts.select("qid", "node", ((1 - alpha) * F.col("r")).alias("r"))
-    now = starts.select("qid", "node", "r")
-    for turn in range(rounds(alpha, tol)):
-        walked = now.join(steps, now["node"] == steps["src"]).select("qid", F.col("dst").alias("node"), (F.col("r") * F.col("w")).alias("r"))
-        now = walked.unionAll(restart).groupBy("qid", "node").agg(F.sum("r").alias("r"))
-        if stored and turn % every == every - 1:
-            now = stored(now)
-    out = now.withColumn("score", F.col("r") / F.sum("r").over(Window.partitionBy("qid"))).where("score > 0").withColumn("score", F.round("score", 9))
+@dataclass
+class Walk:
+    """A graph to walk on: nodes (by, node, id) and steps (s, d, w) between their numbers, w being the share of a step of all
+    steps from s. by: columns (a scope) within which nodes are told apart."""
+
+    nodes: DataFrame
+    steps: DataFrame
+    by: list[str] = field(default_factory=list)
+
+
+def walk_on(edges: DataFrame, by: list[str] | None = None, stored: Keep | None = None) -> Walk:
+    """The walk on edges (by, src, dst), stored: numbers are cheaper to move than keys, and the same graph serves all batches."""
+    keep, by = stored or storage.stored, by or []
+    ends = edges.select(*by, F.col("src").alias("node")).unionAll(edges.select(*by, "dst")).distinct()
+    nodes = keep(ends.select(F.monotonically_increasing_id().alias("id"), *by, "node"))
+    end = lambda column, name: nodes.select(*by, F.col("node").alias(column), F.col("id").alias(name))
+    rows = edges.select(*by, "src", "dst").join(end("src", "s"), [*by, "src"]).join(end("dst", "d"), [*by, "dst"]).select("s", "d")
+    degree = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    return Walk(nodes, keep(rows.join(degree, "s").select("s", "d", (1.0 / F.col("n")).alias("w"))), by)
+
+
+def _starts(seeds: DataFrame, walk: Walk, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """qid, block, slot of the questions with a seed in the graph, SLOTS to a block, and the blocks' start vectors."""
+    met = keep(seeds.select("qid", *walk.by, "node").distinct().join(walk.nodes, [*walk.by, "node"]).select("qid", "id"))
+    size = met.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    buckets = max(1, -(-size.count() // SLOTS))
+    place = top_per(size.withColumn("bucket", F.pmod(F.xxhash64("qid"), F.lit(buckets))), 2**31 - 1, "qid", by="bucket", rank="place")  # a bucket has a few
+    block = (F.floor((F.col("place") - 1) / SLOTS) * buckets + F.col("bucket")).alias("block")
+    slots = keep(place.select("qid", "n", block, ((F.col("place") - 1) % SLOTS).alias("slot")))
+    vector = [F.sum(F.when(F.col("slot") == i, 1.0 / F.col("n")).otherwise(0.0)).alias(f"x{i}") for i in range(SLOTS)]
+    return slots, keep(met.join(slots, "qid").groupBy("block", "id").agg(*vector))
+
+
+def ppr(seeds: DataFrame, walk: Walk | DataFrame, alpha: float = 0.45, tol: float = 1e-9, top: int | None = 80, stored: Keep | None = None, most: int = 100) -> DataFrame:
+    """qid, by, rank, node, score: walks that restart at the seeds (qid, by, node) with probability 1 - alpha. walk: a Walk, or
+    edges (src, dst), each in both directions.
+
+    SLOTS questions share a row of a node, and only reached nodes are rows. A round is one join on the node and one sum,
+    combined before the shuffle, for which a hub's edges may be split: y = alpha W x + restart. Since edges go both ways, W
+    has real eigenvalues in [-1, 1], and over-relaxed steps that look back one round shrink the error by about
+    alpha / (1 + sqrt(1 - alpha^2)) a round, 0.24 instead of 0.45. What is left of it, at most alpha / (1 - alpha) * |y - x|, is measured while a round is
+    stored; the walk ends when its sum over all questions is under tol. If it ever grows (edges of one direction), plain
+    rounds follow. stored must write a table, for lineage and measure; the driver gets a number a round."""
+    keep = stored or storage.stored
+    if isinstance(walk, DataFrame):
+        walk = walk_on(walk, stored=keep)
+    slots, start = _starts(seeds, walk, keep)
+    xs, ps, ys = [f"x{i}" for i in range(SLOTS)], [f"p{i}" for i in range(SLOTS)], [f"y{i}" for i in range(SLOTS)]
+    step = [(alpha * F.col("w") * F.col(x)).alias(y) for x, y in zip(xs, ys, strict=True)]
+    restart = start.select("block", "id", *[((1 - alpha) * F.col(x)).alias(y) for x, y in zip(xs, ys, strict=True)])
+    now = start.select("block", "id", *xs, *[F.col(x).alias(p) for x, p in zip(xs, ps, strict=True)])
+    omega = 2 / (1 + math.sqrt(1 - alpha * alpha))  # one weight for all rounds, so that they share their compiled code
+    before = math.inf
+    moved = F.coalesce(F.sum(reduce(add, [F.abs(F.col(y) - F.col(x)) for x, y in zip(xs, ys, strict=True)])), F.lit(0.0)).alias("moved")
+    for turn in range(most):
+        met = now.select("block", F.col("id").alias("s"), *xs).join(walk.steps, "s").select("block", F.col("d").alias("id"), *step)
+        sums = met.unionAll(restart).groupBy("block", "id").agg(*[F.sum(y).alias(y) for y in ys])
+        rows = sums.join(now, ["block", "id"], "full_outer").na.fill(0.0)
+        onward = [(omega * (F.col(y) - F.col(p)) + F.col(p)).alias(x) for x, p, y in zip(xs, ps, ys, strict=True)]
+        seen = Observation()
+        state = keep(rows.observe(seen, moved).select("block", "id", *onward, *[F.col(x).alias(p) for x, p in zip(xs, ps, strict=True)], *ys))
+        left = seen.get["moved"]
+        now = state.select("block", "id", *xs, *ps)
+        if left * alpha / (1 - alpha) <= tol:
+            break
+        omega = 1.0 if turn > 1 and left > before else omega
+        before = left
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col(y).alias("y")) for i, y in enumerate(ys)])).alias("v")
+    ranks = state.select("block", "id", each).select("block", "id", "v.slot", "v.y").where("y > 0").join(slots.select("qid", "block", "slot"), ["block", "slot"])
+    total = ranks.groupBy("qid").agg(F.sum("y").alias("total"))
+    out = ranks.join(total, "qid").select("qid", "id", F.round(F.col("y") / F.col("total"), 9).alias("score")).where("score > 0").join(walk.nodes, "id")
     if top is None:
-        return out.select("qid", "node", "score")
-    return top_per(out, top, F.desc("score"), "node").select("qid", "rank", "node", "score")
+        return out.select("qid", *walk.by, "node", "score")
+    return top_per(out, top, F.desc("score"), "node").select("qid", *walk.by, "rank", "node", "score")
 
 
-def score_relations(ranks: DataFrame, relations: DataFrame, degree: DataFrame, hub_keys: DataFrame, k: int | None = 50) -> DataFrame:
+def score_relations(ranks: DataFrame, relations: DataFrame, degree: DataFrame, hub_keys: DataFrame, k: int | None = 50, by: list[str] | None = None) -> DataFrame:
     """qid, rank, relation_id, score of relations at ranked entities: each end's rank over its degree (hubs) or the
-    degree's root, and half the root of the ends' product."""
-    marked = degree.join(hub_keys.select("entity_key", F.lit(True).alias("hub")), "entity_key", "left")
-    ease = marked.select("entity_key", F.when(F.col("hub"), F.col("degree").cast("double")).otherwise(F.sqrt("degree")).alias("ease"))
-    own = ranks.select("qid", F.col("node").alias("entity_key"), "score").join(ease, "entity_key").select("qid", "entity_key", (F.col("score") / F.col("ease")).alias("v"))
-    ends = relations.where("subject_key <> object_key").select("relation_id", F.explode(F.array("subject_key", "object_key")).alias("entity_key"))
-    parts = own.join(ends, "entity_key").groupBy("qid", "relation_id").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("ends"), F.min("v").alias("a"), F.max("v").alias("b"))
+    degree's root, and half the root of the ends' product. by: the scope's columns, which all tables have."""
+    by = by or []
+    marked = degree.join(hub_keys.select(*by, "entity_key", F.lit(True).alias("hub")), [*by, "entity_key"], "left")
+    ease = marked.select(*by, "entity_key", F.when(F.col("hub"), F.col("degree").cast("double")).otherwise(F.sqrt("degree")).alias("ease"))
+    own = ranks.select("qid", *by, F.col("node").alias("entity_key"), "score").join(ease, [*by, "entity_key"]).select("qid", *by, "entity_key", (F.col("score") / F.col("ease")).alias("v"))
+    ends = relations.where("subject_key <> object_key").select(*by, "relation_id", F.explode(F.array("subject_key", "object_key")).alias("entity_key"))
+    parts = own.join(ends, [*by, "entity_key"]).groupBy("qid", "relation_id").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("ends"), F.min("v").alias("a"), F.max("v").alias("b"))
     both = F.when(F.col("ends") > 1, F.sqrt(F.col("a") * F.col("b"))).otherwise(F.lit(0.0))
     scored = parts.select("qid", "relation_id", F.round(F.col("total") + 0.5 * both, 9).alias("score"))
     return scored if k is None else top_per(scored, k, F.desc("score"), "relation_id").select("qid", "rank", "relation_id", "score")
 
 
-def scope_graph(relations: DataFrame, relation_domains: DataFrame, wanted: DataFrame, least: int = 5) -> DataFrame:
-    """qid, relation_id: each question's relations of its wanted domains; all relations where fewer than `least` are left."""
-    asked = wanted.select("qid").distinct()
-    kept = wanted.where("domain is not null").join(relation_domains, "domain").select("qid", "relation_id").distinct()
-    few = asked.join(kept.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < least).select("qid")
-    every = relations.select("relation_id").crossJoin(few).select("qid", "relation_id")
-    return kept.join(few, "qid", "left_anti").unionAll(every)
+def scopes(questions: DataFrame, wanted: DataFrame, relation_domains: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """qid, scope of all questions (qid), and scope, relation_id of what each scope keeps.
+
+    A scope is a set of wanted domains (qid, domain); questions that want the same share it. Without a domain, or with fewer
+    than `least` relations left, it is WHOLE, of which no relations are listed: it stands for all of them."""
+    sets = wanted.where("domain is not null").groupBy("qid").agg(F.array_sort(F.collect_set("domain")).alias("domains"))
+    asked = questions.select("qid").distinct().join(sets, "qid", "left").withColumn("scope", F.coalesce(F.sha1(F.to_json("domains")), F.lit(WHOLE)))
+    each = asked.where(F.col("scope") != WHOLE).select("scope", F.explode("domains").alias("domain")).distinct()
+    kept = each.join(relation_domains.select("relation_id", "domain"), "domain").select("scope", "relation_id").distinct()
+    large = kept.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("scope", F.col("scope").alias("own"))
+    of = asked.select("qid", "scope").join(large, "scope", "left").select("qid", F.coalesce("own", F.lit(WHOLE)).alias("scope"))
+    return of, kept.join(large.select("scope"), "scope", "left_semi")
+
+
+def scope_graph(questions: DataFrame, wanted: DataFrame, relations: DataFrame, relation_domains: DataFrame, least: int = 5, stored: Keep | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions' scopes (qid, scope), and of each scope that occurs the relations (with their ends), the degrees and the hubs,
+    all with the column scope. The whole graph is listed once, and only if a question falls back to it."""
+    keep = stored or storage.stored
+    of, kept = scopes(questions, wanted, relation_domains, least)
+    of = keep(of)
+    ends = relations.select("relation_id", "subject_key", "object_key")
+    whole = of.where(F.col("scope") == WHOLE).select("scope").limit(1)
+    every = ends.withColumn("scope", F.lit(WHOLE)).join(whole, "scope", "left_semi").select("scope", "relation_id", "subject_key", "object_key")
+    rows = keep(kept.join(ends, "relation_id").select("scope", "relation_id", "subject_key", "object_key").unionAll(every))
+    degree = keep(degrees(rows, ["scope"]))
+    return of, rows, degree, hubs(degree, by=["scope"])
+
+
+def scoped_relations(seeds: DataFrame, of: DataFrame, rows: DataFrame, degree: DataFrame, hub_keys: DataFrame, k: int = 50, stored: Keep | None = None, **more) -> DataFrame:
+    """qid, rank, relation_id, score: the walk from the seeds (qid, entity_key) within each question's scope, and its relations
+    by the scope's own degrees and hubs (see scope_graph)."""
+    starts = seeds.join(of, "qid").select("qid", "scope", F.col("entity_key").alias("node"))
+    ranks = ppr(starts, walk_on(projection(rows, ["scope"]), ["scope"], stored), stored=stored, **more)
+    return score_relations(ranks, rows, degree, hub_keys, k, ["scope"])
 
 
 def chunks_for_relations(ranked: DataFrame, assertions: DataFrame) -> DataFrame:

@@ -486,7 +486,7 @@ PPR_SQL = _ppr_sql()
 
 
 def walked(g: Graph) -> DataFrame:
-    return ppr.ppr(seeds(g).withColumnRenamed("entity_key", "node"), graph.projection(g.relations), stored=stored)
+    return ppr.ppr(seeds(g).withColumnRenamed("entity_key", "node"), g.walk, stored=stored)
 
 
 @query("g4_ppr", f"+{PPR_SQL} SELECT qid, rank, node, round(score, 7) AS score FROM ppr WHERE rank <= 20")

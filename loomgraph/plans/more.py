@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import evaluate, fusion, goldset, graph, linking, lookups, ppr, retrieval, routing
+from ..operators import evaluate, fusion, goldset, graph, ingest, linking, lookups, names, ppr, retrieval, routing
 from ..sources.fixtures import Graph
-from ..sources.storage import shared_dir
-from ..streaming.ingest import stream_ingest
+from ..sources.storage import new_folder, stored
+from ..sources.versions import VersionedTable
+from ..streaming.ingest import TABLES, graph_table, ingest_batch, stream_ingest
 from .catalogue import BM25_SQL, DEGREE_SQL, GROUPS_SQL, HUBS_SQL, KEPT_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, WEIGHT_SQL, flagship, gold, lists, local, payloads, query, scored, searched, seeds, vector_queries, walked, weights
 
 # Lookups
@@ -108,7 +109,7 @@ def _(g):
 def _(g):
     part = g.table("part")
     pairs = part.select(F.col("p_name").alias("a"), F.col("p_type").alias("b")).unionAll(part.select("p_name", "p_brand")).unionAll(part.select("p_type", "p_name"))
-    return linking.scored_pairs(pairs, linking.jaro_winkler).withColumn("score", F.round("score", 6))
+    return names.jaro_winkler_pairs(pairs).withColumn("score", F.round("score", 6))
 
 
 # Graph retrieval
@@ -140,14 +141,65 @@ def _(g):
     return graph.window_to_ranked(graph.relation_chunks_window(local(g, 10), g.assertions, g.chunks, 5))
 
 
-def wanted(g: Graph) -> DataFrame:
-    first = g.table("part").agg(F.min("p_type").alias("domain"))
-    return first.select(F.lit(1).cast("long").alias("qid"), "domain").unionAll(first.select(F.lit(2).cast("long"), F.lit("no such domain")))
-
-
-@query("g3_scope_graph", "SELECT 1::BIGINT AS qid, count(*) AS n FROM relation_domains WHERE domain = (SELECT min(p_type) FROM part) UNION ALL SELECT 2, count(*) FROM relations")
-def _(g):
-    return ppr.scope_graph(g.relations, g.relation_domains, wanted(g)).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+def wanted(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Questions, and the domains that they want: every set of the parts' types, one set for each question from 0 on (which
+    wants none); the last question wants a domain that no relation has."""
+    kinds = g.table("part").select("p_type").distinct()
+    order = kinds.select("p_type", (F.row_number().over(Window.orderBy("p_type")) - 1).alias("i"))  # a handful of types
+    many = 2 ** kinds.count()
+    rows = g.spark.range(many + 1).select(F.col("id").alias("qid"))
+    sets = rows.where(F.col("qid") < many).join(order, F.expr("shiftright(qid, i) % 2 = 1")).select("qid", F.col("p_type").alias("domain"))
+    return rows, sets.unionAll(rows.where(F.col("qid") == many).select("qid", F.lit("no such domain")))
+
+
+WANTED_SQL = """ty AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)), qs AS (SELECT unnest(range((1 << (SELECT count(*) FROM ty)) + 1)) AS qid),
+kp AS (SELECT DISTINCT qid, relation_id FROM qs JOIN ty ON (qid >> i) % 2 = 1 AND qid < (1 << (SELECT count(*) FROM ty)) JOIN relation_domains ON domain = p_type),
+sr AS (SELECT qid, relation_id FROM kp WHERE qid IN (SELECT qid FROM kp GROUP BY 1 HAVING count(*) >= 5) UNION ALL SELECT qid, relation_id FROM qs, relations WHERE qid NOT IN (SELECT qid FROM kp GROUP BY 1 HAVING count(*) >= 5)),
+sg AS (SELECT qid, r.relation_id, subject_key, object_key FROM sr JOIN relations r ON r.relation_id = sr.relation_id),
+dg AS (SELECT qid, entity_key, count(DISTINCT relation_id) AS degree FROM (SELECT qid, relation_id, unnest([subject_key, object_key]) AS entity_key FROM sg WHERE subject_key <> object_key) GROUP BY 1, 2),
+th AS (SELECT qid, greatest(50, CAST(floor(quantile_cont(degree, 0.99)) AS BIGINT)) AS least FROM dg GROUP BY 1), hb AS (SELECT qid, entity_key, degree FROM dg JOIN th USING (qid) WHERE degree >= least)"""
+
+
+@query("g3_scope_graph", f"""+{WANTED_SQL} SELECT a.qid, n_relations, n_entities, coalesce(n_hubs, 0) AS n_hubs, hubs FROM (SELECT qid, count(*) AS n_relations FROM sg GROUP BY 1) a JOIN (SELECT qid, count(*) AS n_entities FROM dg GROUP BY 1) b USING (qid)
+LEFT JOIN (SELECT qid, count(*) AS n_hubs, md5(string_agg(entity_key || ':' || degree, ',' ORDER BY entity_key)) AS hubs FROM hb GROUP BY 1) c USING (qid)""")
+def _(g):
+    """Size and hubs of each question's scope."""
+    of, rows, degree, hub_keys = ppr.scope_graph(*wanted(g), g.relations, g.relation_domains, stored=stored)
+    size = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n_relations")).join(degree.groupBy("scope").agg(F.count(F.lit(1)).alias("n_entities")), "scope")
+    own = F.concat_ws(":", "entity_key", F.col("degree").cast("string"))
+    named = hub_keys.groupBy("scope").agg(F.count(F.lit(1)).alias("n_hubs"), F.md5(F.array_join(F.array_sort(F.collect_list(own)), ",")).alias("hubs"))
+    return of.join(size, "scope").join(named, "scope", "left").na.fill(0, ["n_hubs"]).select("qid", "n_relations", "n_entities", "n_hubs", "hubs")
+
+
+def _scoped_sql(alpha: float = 0.45) -> str:
+    """The walk of each region's supplier, part and customer, within the scope of the question of its number times 15."""
+    parts = [
+        "rq AS (SELECT r_regionkey * 15 AS qid FROM region)",
+        "sgq AS MATERIALIZED (SELECT sg.* FROM sg SEMI JOIN rq USING (qid))",
+        "sd AS (SELECT qid, sha1('entity||' || unnest(['supplier ', 'part ', 'customer ']) || (qid // 15 + 1)) AS entity_key FROM rq)",
+        "ed AS MATERIALIZED (SELECT DISTINCT qid, unnest([subject_key, object_key]) AS src, unnest([object_key, subject_key]) AS dst FROM sgq WHERE subject_key <> object_key)",
+        "ou AS MATERIALIZED (SELECT qid, src, count(*) AS n FROM ed GROUP BY 1, 2)",
+        "w0 AS MATERIALIZED (SELECT qid, entity_key AS node, 1.0 / count(*) OVER (PARTITION BY qid) AS r FROM sd SEMI JOIN ou ON ou.src = entity_key AND ou.qid = sd.qid)",
+    ]
+    for i in range(ppr.rounds(alpha)):
+        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT qid, node, sum(r) AS r FROM (SELECT w.qid, dst AS node, {alpha} * r / n AS r FROM w{i} w JOIN ed ON ed.qid = w.qid AND ed.src = node JOIN ou ON ou.qid = w.qid AND ou.src = node UNION ALL SELECT qid, node, {1 - alpha} * r FROM w0) GROUP BY 1, 2)")
+    last = f"w{ppr.rounds(alpha)}"
+    parts += [
+        f"pr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS rank FROM (SELECT qid, node, round(r / sum(r) OVER (PARTITION BY qid), 9) AS score FROM {last})) WHERE rank <= 80)",
+        "ov AS (SELECT p.qid, p.node AS entity_key, score / CASE WHEN hb.entity_key IS NOT NULL THEN dg.degree ELSE sqrt(dg.degree) END AS v FROM pr p JOIN dg ON dg.qid = p.qid AND dg.entity_key = p.node LEFT JOIN hb ON hb.qid = p.qid AND hb.entity_key = p.node)",
+        "sc AS (SELECT qid, relation_id, round(sum(v) + CASE WHEN count(*) > 1 THEN 0.5 * sqrt(min(v) * max(v)) ELSE 0 END, 9) AS score FROM ov JOIN (SELECT qid, relation_id, unnest([subject_key, object_key]) AS entity_key FROM sgq WHERE subject_key <> object_key) USING (qid, entity_key) GROUP BY 1, 2)",
+    ]
+    return ", ".join(parts)
+
+
+@query("g3b_scoped_relations", f"+{WANTED_SQL}, {_scoped_sql()} SELECT qid, CAST(rank AS INTEGER) AS rank, relation_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, relation_id) AS rank FROM sc) WHERE rank <= 15")
+def _(g):
+    questions, sets = wanted(g)
+    own = g.table("region").select((F.col("r_regionkey") * 15).cast("long").alias("qid"))
+    graph_of = ppr.scope_graph(own.join(questions, "qid", "left_semi"), sets.join(own, "qid", "left_semi"), g.relations, g.relation_domains, stored=stored)
+    names_ = F.explode(F.array(*[F.concat(F.lit(f"{k} "), (F.floor(F.col("qid") / 15) + 1).cast("string")) for k in ("Supplier", "Part", "Customer")]))
+    starts = own.select("qid", names_.alias("name")).select("qid", t.entity_key(F.col("name")).alias("entity_key"))
+    return ppr.scoped_relations(starts, *graph_of, k=15, stored=stored).withColumn("score", F.round("score", 6))
 
 
 @query("h2_rerank_topk", f"+{LISTS_SQL} SELECT qid, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY md5(chunk_id) DESC, chunk_id) AS rank FROM fused WHERE rank <= 25) WHERE rank <= 20")
@@ -299,16 +351,59 @@ def _(g):
 # Streaming
 
 
-@query("l1_stream_ingest", f"SELECT 'entities' AS table_name, count(DISTINCT name) AS n FROM (SELECT unnest([s, c]) AS name FROM chunks WHERE {KEPT_SQL}) UNION ALL SELECT 'mentions', 2 * count(*) FROM chunks WHERE {KEPT_SQL} UNION ALL SELECT 'relations', count(*) FROM chunks WHERE {KEPT_SQL} AND doc % 7 <> 0 UNION ALL SELECT 'ledger', count(*) FROM chunks")
+INGESTED_SQL = f"""kept AS (SELECT *, doc % 7 <> 0 AS related FROM chunks WHERE {KEPT_SQL}), ing AS (
+    SELECT 'entities' AS table_name, count(DISTINCT name) AS n FROM (SELECT unnest([s, c]) AS name FROM kept UNION ALL SELECT p FROM kept WHERE related)
+    UNION ALL SELECT 'mentions', count(*) FROM (SELECT DISTINCT chunk_id, unnest(CASE WHEN related THEN [s, c, p] ELSE [s, c] END) AS name FROM kept)
+    UNION ALL SELECT 'relations', count(*) FROM (SELECT DISTINCT s, p FROM kept WHERE related)
+    UNION ALL SELECT 'assertions', count(*) FROM kept WHERE related UNION ALL SELECT 'ledger', count(*) FROM chunks
+    UNION ALL SELECT 'failed_chunks', count(*) FROM chunks WHERE doc % 17 = 0)"""
+
+
+def ingested(g: Graph, base: str) -> DataFrame:
+    """table_name, n (rows), n_keys (distinct ones), n_audited: what the batches' audit says was added in all."""
+    tables = {name: graph_table(g.spark, base, name) for name in TABLES}
+    audited = tables["audit"].read().groupBy(F.col("metric").alias("table_name")).agg(F.sum("delta").alias("n_audited"))
+    rows = {name: (table.read(), table.key) for name, table in tables.items() if name != "audit"}
+    rows["failed_chunks"] = (tables["ledger"].read().where("status = 'failed'"), ["chunk_id"])
+    sizes = [df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*key).alias("n_keys")).select(F.lit(name).alias("table_name"), "n", "n_keys") for name, (df, key) in rows.items()]
+    return reduce(DataFrame.unionAll, sizes).join(audited, "table_name", "left")
+
+
+@query("l1_stream_ingest", f"+{INGESTED_SQL} SELECT table_name, n, n AS n_keys, n AS n_audited FROM ing")
 def _(g):
     """The payloads of all chunks in files, every fourth file twice, taken in by micro-batches."""
-    base = f"{shared_dir(g.spark)}/loomgraph/stream-{uuid.uuid4().hex}"
+    base = new_folder(g.spark)
     rows = payloads(g).select("chunk_id", "payload")
     rows.repartition(16, "chunk_id").write.parquet(f"{base}/in")
     rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(4)) == 0).repartition(4, "chunk_id").write.mode("append").parquet(f"{base}/in")
     stream_ingest(g.spark, f"{base}/in", f"{base}/graph", f"{base}/state").awaitTermination()
-    out = None
-    for name in ("entities", "mentions", "relations", "ledger"):
-        n = g.spark.read.parquet(f"{base}/graph/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = n if out is None else out.unionAll(n)
-    return out
+    return ingested(g, f"{base}/graph")
+
+
+@query("l2_exactly_once", f"+{INGESTED_SQL} SELECT table_name, n, n AS n_keys, n AS n_audited FROM ing")
+def _(g):
+    """Three batches, each with the chunks of the one before besides its own; the second is run twice."""
+    base = new_folder(g.spark)
+    rows = stored(payloads(g).select("chunk_id", "payload", F.pmod(F.xxhash64("chunk_id"), F.lit(3)).alias("part")))
+    for batch in (0, 1, 1, 2):
+        ingest_batch(rows.where(F.col("part").isin(batch, batch - 1)).select("chunk_id", "payload"), batch, base)
+    return ingested(g, base)
+
+
+@query("a10b_upsert_edges", """SELECT relation_id, subject_key, object_key, CASE WHEN label = 'part_of' THEN 'second of ' || subject ELSE description END AS description FROM relations
+UNION ALL SELECT 'near-' || a.r_regionkey || '-' || b.r_regionkey, sha1('entity||region ' || a.r_regionkey), sha1('entity||region ' || b.r_regionkey), 'near' FROM region a JOIN region b ON b.r_regionkey = a.r_regionkey + 1""")
+def _(g):
+    """A stored table of edges takes updates in order: repeated ones, new ones, and ones with an end that is no node."""
+    columns = ["relation_id", "subject_key", "object_key", "description"]
+    old = g.relations.where("label = 'part_of'")
+    one, two = (old.select(*columns[:3], F.concat(F.lit(f"{word} of "), "subject").alias("description"), F.lit(i).alias("ord")) for i, word in enumerate(("first", "second")))
+    lost = old.select("relation_id", F.lit("nobody").alias("subject_key"), "object_key", F.lit("lost").alias("description"), F.lit(3).alias("ord"))
+    key = lambda i: t.entity_key(F.concat(F.lit("Region "), (F.col("r_regionkey") + i).cast("string")))
+    name = F.concat_ws("-", F.lit("near"), F.col("r_regionkey").cast("string"), (F.col("r_regionkey") + 1).cast("string"))
+    new = g.table("region").select(name.alias("relation_id"), key(0).alias("subject_key"), key(1).alias("object_key"), F.lit("near").alias("description"), F.lit(4).alias("ord"))
+    updates = ingest.valid_edges(reduce(DataFrame.unionAll, (one, two, lost, new)), {c: (g.entities, "entity_key") for c in columns[1:3]})
+    edges = g.relations.select(columns)
+    table = VersionedTable(g.spark, new_folder(g.spark), edges.schema, ["relation_id"], 16)
+    table.upsert(edges, 0)
+    table.upsert(ingest.last_of(updates, "relation_id", "ord"), 1, ["description"])
+    return table.read()

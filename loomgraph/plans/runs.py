@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, fusion, goldset, graph, ppr, retrieval, routing, runs
+from ..operators import evaluate, fusion, goldset, graph, names, ppr, retrieval, routing, runs
 from ..sources.fixtures import Graph
 from ..sources.storage import stored
 from .catalogue import BM25_SQL, DEGREE_SQL, HUBS_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, SEEDS_SQL, WEIGHT_SQL, item_seeds, lists, local, query, seeds, text_queries, vector_of, vector_queries, walked, weights
@@ -138,13 +138,18 @@ def _(g):
     return goldset.chunk_entities(names).select("chunk_id", F.array_join("entities", ",").alias("entities"))
 
 
-@query("k14_overlap_edges", """WITH l AS (SELECT DISTINCT p_brand AS chunk_id, unnest(string_split(lower(p_name), ' ')) AS name FROM part), f AS (SELECT name, count(*) AS n FROM l GROUP BY 1),
-dr AS (SELECT name FROM f ORDER BY n DESC, name LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.05) AS BIGINT)) FROM f)), k AS (SELECT * FROM l ANTI JOIN dr USING (name)), sz AS (SELECT chunk_id, count(*) AS n FROM k GROUP BY 1)
-SELECT src, dst, round(m / (a.n * b.n), 6) AS overlap FROM (SELECT x.chunk_id AS src, y.chunk_id AS dst, count(*) AS m FROM k x JOIN k y ON x.name = y.name AND x.chunk_id < y.chunk_id GROUP BY 1, 2) JOIN sz a ON a.chunk_id = src JOIN sz b ON b.chunk_id = dst WHERE m / (a.n * b.n) >= 0.05""", tables=False)
+@query("k14_overlap_edges", """WITH l AS (SELECT DISTINCT p_brand || ' ' || p_size AS chunk_id, unnest([p_name, p_type, p_name || ' ' || p_partkey % 5]) AS name FROM part), f AS (SELECT name, count(*) AS n FROM l GROUP BY 1),
+dr AS (SELECT name FROM f ORDER BY n DESC, name LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.05) AS BIGINT)) FROM f)), k AS (SELECT * FROM l ANTI JOIN dr USING (name)), sz AS (SELECT chunk_id, count(*) AS n FROM k GROUP BY 1),
+v AS (SELECT DISTINCT name FROM k), nr AS (SELECT x.name AS a, y.name AS b FROM v x, v y WHERE jaro_winkler_similarity(lower(x.name), lower(y.name)) >= 0.75)
+SELECT src, dst, round(m / (a.n * b.n), 6) AS overlap, matches FROM (SELECT x.chunk_id AS src, y.chunk_id AS dst, count(*) AS m, md5(string_agg(a || '~' || b, ',' ORDER BY a || '~' || b)) AS matches FROM k x JOIN nr ON a = x.name JOIN k y ON b = y.name AND x.chunk_id < y.chunk_id GROUP BY 1, 2)
+JOIN sz a ON a.chunk_id = src JOIN sz b ON b.chunk_id = dst WHERE round(m / (a.n * b.n), 9) >= 0.05""", tables=False)
 def _(g):
-    names = g.table("part").select(F.col("p_brand").alias("chunk_id"), F.explode(F.split(F.lower("p_name"), " ")).alias("name")).distinct()
-    same = names.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct()
-    return goldset.overlap_edges(names, same).withColumn("overlap", F.round("overlap", 6))
+    """Chunks of a brand and a size, by the names and types of their parts, some of them numbered."""
+    part = g.table("part")
+    numbered = F.concat_ws(" ", "p_name", (F.col("p_partkey") % 5).cast("string"))
+    rows = part.select(F.concat_ws(" ", "p_brand", "p_size").alias("chunk_id"), F.explode(F.array("p_name", "p_type", numbered)).alias("name")).distinct()
+    near = names.near_names(rows.select("name"), 0.75, stored)
+    return goldset.overlap_edges(rows, near, keep=stored).select("src", "dst", F.round("overlap", 6).alias("overlap"), F.md5(F.array_join("matches", ",")).alias("matches"))
 
 
 @query("k17_communities")

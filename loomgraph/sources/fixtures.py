@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_key, relation_id
+from ..operators import graph, ppr
 from .storage import shared_dir, stored
 
-_TABLES: dict[tuple[str, str, str, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str, str, str], DataFrame | ppr.Walk] = {}
 
 
 def kept(build: Callable[[Graph], DataFrame]) -> cached_property:
@@ -106,6 +107,14 @@ class Graph:
         mid = self.chunks.where("doc % 50 <> 0").select("doc", F.lit("mid").alias("tier"), F.col("o_orderpriority").alias("domain"))
         return low.unionAll(mid).distinct()
 
+    @property
+    def walk(self) -> ppr.Walk:
+        """The graph that PageRank walks on; its numbers are stored with the other tables, both of one numbering."""
+        key = (self.spark.sparkContext.applicationId, shared_dir(self.spark), self.sf_dir, "walk")
+        if key not in _TABLES:
+            _TABLES[key] = ppr.walk_on(graph.projection(self.relations), stored=lambda df: stored(df, lasting=True))
+        return _TABLES[key]
+
     @kept
     def relation_domains(self) -> DataFrame:
         return self.relations.where("domain is not null").select("relation_id", "domain")
