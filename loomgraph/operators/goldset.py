@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -225,6 +226,32 @@ def expand_gold(gold: DataFrame, near: DataFrame, evidenced: DataFrame, least: f
     return top_per(fresh.select("qid", "relation_id", "score"), most, F.desc("score"), "relation_id").select("qid", "rank", "relation_id", "score")
 
 
+def merge_gold(gold: DataFrame, candidates: DataFrame, verdicts: DataFrame, relations: DataFrame, assertions: DataFrame) -> DataFrame:
+    """Gold rows (qid, relation_ids, entity_keys, chunk_ids) with the candidates (expand_gold) that a judge accepts (verdicts:
+    qid, relation_id, accepted) merged in: their relations, ends and chunks.
+
+    qid, the three lists distinct and in order, n_distinct_chunks (the splits of a page as one), n_considered, candidate_ids
+    and added_ids in rank order, and provenance: of each element (kind, id) the source, "gold" or else the least added
+    relation that brings it."""
+    yes = verdicts.where("accepted").select("qid", "relation_id").distinct()
+    added = candidates.join(yes, ["qid", "relation_id"], "left_semi").select("qid", "relation_id")
+    old = [gold.select("qid", F.lit(kind).alias("kind"), F.explode(column).alias("id"), F.lit("gold").alias("source")) for kind, column in (("relation", "relation_ids"), ("entity", "entity_keys"), ("chunk", "chunk_ids"))]
+    ends = added.join(relations.select("relation_id", F.array("subject_key", "object_key").alias("ends")), "relation_id")
+    proof = added.join(assertions.select("relation_id", "chunk_id").distinct(), "relation_id")
+    new = [added.select("qid", F.lit("relation"), "relation_id", "relation_id"), ends.select("qid", F.lit("entity"), F.explode("ends"), "relation_id"), proof.select("qid", F.lit("chunk"), "chunk_id", "relation_id")]
+    every = reduce(DataFrame.unionAll, [*old, *new]).join(gold.select("qid").distinct(), "qid", "left_semi")
+    each = every.groupBy("qid", "kind", "id").agg(F.min(F.struct((F.col("source") != "gold").alias("late"), "source"))["source"].alias("source"))
+    lists = {"relation_ids": "relation", "entity_keys": "entity", "chunk_ids": "chunk"}
+    merged = each.groupBy("qid").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("id")))).alias(name) for name, kind in lists.items()], F.array_sort(F.collect_list(F.struct("kind", "id", "source"))).alias("provenance"))
+    seen = candidates.join(yes.withColumn("yes", F.lit(True)), ["qid", "relation_id"], "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "relation_id", "yes"))).alias("c"))
+    ids = lambda c: F.transform(c, lambda x: x["relation_id"])
+    seen = seen.select("qid", ids(F.col("c")).alias("candidate_ids"), ids(F.filter("c", lambda x: x["yes"].isNotNull())).alias("added_ids"))
+    none = F.array().cast("array<string>")
+    out = gold.select("qid").distinct().join(merged, "qid", "left").join(seen, "qid", "left").withColumns({c: F.coalesce(c, none) for c in (*lists, "candidate_ids", "added_ids")})
+    pages = F.size(F.array_distinct(F.transform("chunk_ids", chunk_group)))
+    return out.select("qid", *lists, pages.alias("n_distinct_chunks"), F.size("candidate_ids").alias("n_considered"), "candidate_ids", "added_ids", "provenance")
+
+
 def scenario_grid(groups: DataFrame, dims: dict[str, list[str]], per: int, n: int, seed: str) -> DataFrame:
     """gid and a value of each dimension: `per` combinations for each group, n in all, by hash."""
     grid = groups.select("gid")

@@ -73,15 +73,21 @@ def scorer(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Serie
     return rows.mapInPandas(run, rows.withColumn(column, F.lit(0.0)).schema)
 
 
-def fuse_seeds(channels: list[tuple[str, DataFrame]], k: int = 60, top: int = 50) -> DataFrame:
-    """qid, rank, entity_key, rrf, norm, sources: reciprocal ranks added up, and the greatest scaled score."""
+def fuse_seeds(channels: list[tuple[str, DataFrame]], k: int = 60, top: int = 50, lists: tuple[str, ...] = ("aliases", "hints", "chunks")) -> DataFrame:
+    """qid, rank, entity_key, rrf, norm, sources and lists: reciprocal ranks added up, the greatest scaled score, and the
+    channels' lists merged: distinct, in the order of the channels, of the ranks in each and of the lists themselves. A
+    channel that lacks a list has an empty one. Lists are gathered for the `top` entities only."""
     every = None
-    for name, df in channels:
-        ranked = top_per(df.select("qid", "entity_key", "score"), 2**31 - 1, F.desc("score"), "entity_key")
-        part = min_max(ranked, "score", "norm").withColumn("source", F.lit(name))
+    for place, (name, df) in enumerate(channels):
+        own = [(F.col(c) if c in df.columns else F.array().cast("array<string>")).alias(c) for c in lists]
+        ranked = top_per(df.select("qid", "entity_key", "score", *own), 2**31 - 1, F.desc("score"), "entity_key")
+        part = min_max(ranked, "score", "norm").withColumn("source", F.lit(name)).withColumn("place", F.lit(place))
         every = part if every is None else every.unionByName(part)
     fused = every.groupBy("qid", "entity_key").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"), F.round(F.max("norm"), 9).alias("norm"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
-    return top_per(fused, top, F.desc("rrf"), "entity_key").select("qid", "rank", "entity_key", "rrf", "norm", "sources")
+    best = top_per(fused, top, F.desc("rrf"), "entity_key")
+    held = every.join(best.select("qid", "entity_key"), ["qid", "entity_key"], "left_semi").groupBy("qid", "entity_key").agg(F.array_sort(F.collect_list(F.struct("place", "rank", *lists))).alias("r"))
+    merged = lambda c: F.array_distinct(F.flatten(F.transform("r", lambda x: F.coalesce(x[c], F.array().cast("array<string>"))))).alias(c)
+    return best.join(held, ["qid", "entity_key"]).select("qid", "rank", "entity_key", "rrf", "norm", "sources", *[merged(c) for c in lists])
 
 
 def apply_matches(cands: DataFrame, verdicts: DataFrame, least: float = 0.8) -> DataFrame:

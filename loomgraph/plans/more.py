@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -64,15 +64,24 @@ def _(g):
 
 
 def channels(g: Graph) -> list[tuple[str, DataFrame]]:
-    """Two channels of scored entities for the nations as questions: by customers' and by suppliers' accounts."""
-    one = g.table("customer").select(F.col("c_nationkey").cast("long").alias("qid"), F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("entity_key"), F.col("c_acctbal").alias("score"))
-    two = g.table("supplier").select(F.col("s_nationkey").cast("long").alias("qid"), F.concat(F.lit("Customer "), F.col("s_suppkey").cast("string")).alias("entity_key"), F.col("s_acctbal").alias("score"))
-    return [("text", one), ("graph", two)]
+    """Two channels of scored entities for the nations as questions: by customers' and by suppliers' accounts; each with other
+    names, hints and chunks."""
 
+    def rows(table: str, p: str, kind: str, hint: Column, a: int, b: int) -> DataFrame:
+        key = F.col(f"{p}_{'cust' if p == 'c' else 'supp'}key")
+        name = F.concat(F.lit("Customer "), key.cast("string"))
+        chunk = lambda m: F.concat(F.lit("chunk "), (key % m).cast("string"))
+        lists = {"aliases": F.array(F.concat(F.lit(f"{kind} "), key.cast("string")), F.upper(name), name), "hints": F.array(hint, F.lit("account")), "chunks": F.array(chunk(a), chunk(b))}
+        return g.table(table).select(F.col(f"{p}_nationkey").cast("long").alias("qid"), name.alias("entity_key"), F.col(f"{p}_acctbal").alias("score"), *[v.alias(c) for c, v in lists.items()])
 
-CHANNELS_SQL = """ch AS (SELECT CAST(c_nationkey AS BIGINT) AS qid, 'Customer ' || c_custkey AS entity_key, c_acctbal AS score, 'text' AS source FROM customer UNION ALL SELECT CAST(s_nationkey AS BIGINT), 'Customer ' || s_suppkey, s_acctbal, 'graph' FROM supplier),
+    return [("text", rows("customer", "c", "Client", F.col("c_mktsegment"), 7, 5)), ("graph", rows("supplier", "s", "Supplier", F.lit("account"), 5, 3))]
+
+
+CHANNELS_SQL = """ch AS (SELECT CAST(c_nationkey AS BIGINT) AS qid, 'Customer ' || c_custkey AS entity_key, c_acctbal AS score, 'text' AS source, 0 AS place, ['Client ' || c_custkey, 'CUSTOMER ' || c_custkey, 'Customer ' || c_custkey] AS aliases, [c_mktsegment, 'account'] AS hints, ['chunk ' || c_custkey % 7, 'chunk ' || c_custkey % 5] AS chunks FROM customer
+    UNION ALL SELECT CAST(s_nationkey AS BIGINT), 'Customer ' || s_suppkey, s_acctbal, 'graph', 1, ['Supplier ' || s_suppkey, 'CUSTOMER ' || s_suppkey, 'Customer ' || s_suppkey], ['account', 'account'], ['chunk ' || s_suppkey % 5, 'chunk ' || s_suppkey % 3] FROM supplier),
 rk AS (SELECT *, row_number() OVER (PARTITION BY source, qid ORDER BY score DESC, entity_key) AS r, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS norm FROM ch WINDOW w AS (PARTITION BY source, qid)),
-fu AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, entity_key) AS INTEGER) AS rank FROM (SELECT qid, entity_key, round(sum(1.0 / (60 + r)), 9) AS rrf, round(max(norm), 9) AS norm, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM rk GROUP BY 1, 2))"""
+fu AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, entity_key) AS INTEGER) AS rank FROM (SELECT qid, entity_key, round(sum(1.0 / (60 + r)), 9) AS rrf, round(max(norm), 9) AS norm, string_agg(DISTINCT source, '+' ORDER BY source) AS sources,
+    flatten(list(aliases ORDER BY place, r)) AS a, flatten(list(hints ORDER BY place, r)) AS h, flatten(list(chunks ORDER BY place, r)) AS c FROM rk GROUP BY 1, 2))"""
 
 
 @query("e1_hint_variants", "SELECT p_partkey AS qid, p_brand AS hint, unnest(CASE WHEN contains(p_brand, '-') OR contains(p_brand, '#') THEN list_distinct([p_brand, regexp_replace(p_brand, '[-_/.]+', '', 'g')]) ELSE [p_brand] END) AS variant FROM part", tables=False)
@@ -80,9 +89,10 @@ def _(g):
     return linking.hint_variants(g.table("part").select(F.col("p_partkey").alias("qid"), F.col("p_brand").alias("hint")))
 
 
-@query("e6_fuse_seeds", f"WITH {CHANNELS_SQL} SELECT qid, rank, entity_key, round(rrf, 7) AS rrf, round(norm, 6) AS norm, sources FROM fu WHERE rank <= 50", tables=False)
+@query("e6_fuse_seeds", f"WITH {CHANNELS_SQL} SELECT qid, rank, entity_key, round(rrf, 7) AS rrf, round(norm, 6) AS norm, sources, " + ", ".join(f"array_to_string(list_filter({c}, lambda x, i: list_position({c}, x) = i), ',') AS {name}" for c, name in (("a", "aliases"), ("h", "hints"), ("c", "chunks"))) + " FROM fu WHERE rank <= 50", tables=False)
 def _(g):
-    return linking.fuse_seeds(channels(g)).withColumn("rrf", F.round("rrf", 7)).withColumn("norm", F.round("norm", 6))
+    rows = linking.fuse_seeds(channels(g)).withColumn("rrf", F.round("rrf", 7)).withColumn("norm", F.round("norm", 6))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("aliases", "hints", "chunks")})
 
 
 @query("e7_apply_matches", "SELECT qid, entity_key FROM (SELECT CAST(c_nationkey AS BIGINT) AS qid, 'Customer ' || c_custkey AS entity_key, c_custkey FROM customer) WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0", tables=False)

@@ -164,6 +164,30 @@ def _(g):
     return goldset.expand_gold(near.where("rank <= 3"), near.drop("rank"), g.relations, 0.1).withColumn("score", F.round("score", 6))
 
 
+K11_SQL = f"""{NEAR_SQL}, c AS (SELECT qid, relation_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, relation_id) AS INTEGER) AS rank FROM (SELECT * FROM near WHERE rank <= 40 AND rank > 3 AND score >= 0.1) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, relation_id) <= 20),
+g0 AS (SELECT qid, relation_id FROM near WHERE rank <= 3), ad AS (SELECT * FROM c WHERE substr(relation_id, 1, 1) < '8'),
+ev AS (SELECT qid, 'relation' AS kind, relation_id AS id, 'gold' AS source FROM g0 UNION ALL SELECT qid, 'entity', unnest([subject_key, object_key]), 'gold' FROM g0 JOIN relations USING (relation_id) UNION ALL SELECT qid, 'chunk', chunk_id, 'gold' FROM g0 JOIN assertions USING (relation_id)
+    UNION ALL SELECT qid, 'relation', relation_id, relation_id FROM ad UNION ALL SELECT qid, 'entity', unnest([subject_key, object_key]), relation_id FROM ad JOIN relations USING (relation_id) UNION ALL SELECT qid, 'chunk', chunk_id, relation_id FROM ad JOIN assertions USING (relation_id)),
+el AS (SELECT qid, kind, id, CASE WHEN bool_or(source = 'gold') THEN 'gold' ELSE min(source) END AS source FROM ev GROUP BY 1, 2, 3),
+mg AS (SELECT qid, """ + ", ".join(f"md5(coalesce(string_agg(id, ',' ORDER BY id) FILTER (kind = '{k}'), '')) AS {n}" for k, n in (("relation", "relation_ids"), ("entity", "entity_keys"), ("chunk", "chunk_ids"))) + """, count(DISTINCT CASE WHEN kind = 'chunk' THEN regexp_replace(id, '_chunk_[0-9]+$', '') END) AS n_distinct_chunks, md5(string_agg(kind || ':' || id || ':' || source, ',' ORDER BY kind, id)) AS provenance FROM el GROUP BY 1),
+cs AS (SELECT qid, count(*) AS n_considered, string_agg(relation_id, ',' ORDER BY rank) AS candidate_ids, string_agg(relation_id, ',' ORDER BY rank) FILTER (substr(relation_id, 1, 1) < '8') AS added_ids FROM c GROUP BY 1)"""
+
+
+@query("k11b_merge_gold", f"+{K11_SQL} SELECT qid, relation_ids, entity_keys, chunk_ids, CAST(n_distinct_chunks AS INTEGER) AS n_distinct_chunks, CAST(coalesce(n_considered, 0) AS INTEGER) AS n_considered, coalesce(candidate_ids, '') AS candidate_ids, coalesce(added_ids, '') AS added_ids, provenance FROM mg LEFT JOIN cs USING (qid)")
+def _(g):
+    """The judge accepts relations whose id begins with a digit under 8."""
+    near = stored(runs.global_relations(relation_vectors(g), vector_queries(g), 40))
+    first = near.where("rank <= 3").select("qid", "relation_id")
+    ends = first.join(g.relations, "relation_id").select("qid", F.explode(F.array("subject_key", "object_key")).alias("entity_key"))
+    gold = first.groupBy("qid").agg(F.collect_list("relation_id").alias("relation_ids")).join(ends.groupBy("qid").agg(F.collect_list("entity_key").alias("entity_keys")), "qid")
+    gold = gold.join(first.join(g.assertions, "relation_id").groupBy("qid").agg(F.collect_list("chunk_id").alias("chunk_ids")), "qid", "left")
+    candidates = goldset.expand_gold(first, near.drop("rank"), g.relations, 0.1)
+    verdicts = candidates.select("qid", "relation_id", (F.substring("relation_id", 1, 1) < "8").alias("accepted"))
+    out = goldset.merge_gold(gold, candidates, verdicts, g.relations, g.assertions)
+    joined = {c: F.md5(F.array_join(c, ",")) for c in ("relation_ids", "entity_keys", "chunk_ids")} | {c: F.array_join(c, ",") for c in ("candidate_ids", "added_ids")}
+    return out.withColumns(joined | {"provenance": F.md5(F.array_join(F.transform("provenance", lambda x: F.concat_ws(":", x["kind"], x["id"], x["source"])), ","))})
+
+
 @query("k19_scenario_grid", "SELECT gid, task, style FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY d, task, style) AS n FROM (SELECT n_nationkey AS gid, task, style, md5('s5|' || n_nationkey || '|' || task || '|' || style) AS d FROM nation, (VALUES ('qa'), ('list'), ('compare')) a(task), (VALUES ('plain'), ('formal')) b(style))) WHERE n <= 2 ORDER BY d, gid LIMIT 30", tables=False)
 def _(g):
     return goldset.scenario_grid(g.table("nation").select(F.col("n_nationkey").alias("gid")), {"task": ["qa", "list", "compare"], "style": ["plain", "formal"]}, 2, 30, "s5")
