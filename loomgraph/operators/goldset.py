@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.storage import stored
 from .retrieval import matrix, top_per, unit_vectors
 
 
@@ -173,7 +174,7 @@ def chunk_entities(mentions: DataFrame, cap: int = 30) -> DataFrame:
     return few.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]).alias("entities"))
 
 
-def overlap_edges(lists: DataFrame, name_pairs: DataFrame, least: float = 0.05, drop_share: float = 0.05, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def overlap_edges(lists: DataFrame, name_pairs: DataFrame, least: float = 0.05, drop_share: float = 0.05, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """src, dst, overlap, matches of chunks (chunk_id, name): their matching name pairs (a, b, both directions and each name
     with itself; see names.near_names) over the product of their sizes, and these pairs as "x~y", in order.
 

@@ -148,8 +148,8 @@ def _(g):
     part = g.table("part")
     numbered = F.concat_ws(" ", "p_name", (F.col("p_partkey") % 5).cast("string"))
     rows = part.select(F.concat_ws(" ", "p_brand", "p_size").alias("chunk_id"), F.explode(F.array("p_name", "p_type", numbered)).alias("name")).distinct()
-    near = names.near_names(rows.select("name"), 0.75, stored)
-    return goldset.overlap_edges(rows, near, keep=stored).select("src", "dst", F.round("overlap", 6).alias("overlap"), F.md5(F.array_join("matches", ",")).alias("matches"))
+    near = names.near_names(rows.select("name"), 0.75)
+    return goldset.overlap_edges(rows, near).select("src", "dst", F.round("overlap", 6).alias("overlap"), F.md5(F.array_join("matches", ",")).alias("matches"))
 
 
 @query("k17_communities")
