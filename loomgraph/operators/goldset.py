@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.storage import stored
+from .components import components
 from .retrieval import matrix, top_per, unit_vectors
 
 
@@ -365,22 +366,19 @@ def multihop_gates(qa: DataFrame, required: DataFrame, chunks: DataFrame, relati
     return every.select("qid", reason.alias("reason"))
 
 
-def cluster_labels(vectors: DataFrame, counts: DataFrame, least: float = 0.55, key: str = "label", stored=lambda df: df) -> DataFrame:
+def cluster_labels(vectors: DataFrame, counts: DataFrame, least: float = 0.55, key: str = "label") -> DataFrame:
     """label, cluster: labels whose vectors are alike (cosine of `least` and more), also by way of others, take the name of
-    the most counted one (label, n) among them; ties go to the least label.
-
-    Connected components by least labels, until a round changes nothing; a chain of m labels takes m rounds at most."""
-    edges = similarity_edges(vectors, least, key).select("src", "dst")
-    both = stored(edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    now = stored(vectors.select(F.col(key).alias("node"), F.col(key).alias("low")).distinct())
-    while True:
-        near = both.join(now, both["dst"] == now["node"]).groupBy("src").agg(F.min("low").alias("near"))
-        moved = stored(now.join(near.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("low", "near").alias("low"), (F.col("near") < F.col("low")).alias("changed")))
-        now = moved.drop("changed")
-        if moved.where("changed").isEmpty():
-            break
-    sized = now.join(counts.select(F.col(key).alias("node"), "n"), "node", "left").na.fill(0, ["n"])
-    names = sized.groupBy("low").agg(F.min_by("node", F.struct((-F.col("n")).alias("n"), "node")).alias("cluster"))
+    the most counted one (label, n) among them; ties go to the least label."""
+    return name_clusters(vectors.select(key), similarity_edges(vectors, least, key).select("src", "dst"), counts, key)
+
+
+def name_clusters(labels: DataFrame, edges: DataFrame, counts: DataFrame, key: str = "label") -> DataFrame:
+    """label, cluster of the labels by the components of edges (src, dst) between them, which star contraction finds in rounds
+    that grow with the logarithm of the longest chain."""
+    found = components(edges, "src", "dst")
+    now = labels.select(F.col(key).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("low"))
+    now = stored(now.join(counts.select(F.col(key).alias("node"), "n"), "node", "left").na.fill(0, ["n"]))
+    names = now.groupBy("low").agg(F.min_by("node", F.struct((-F.col("n")).alias("n"), "node")).alias("cluster"))
     return now.join(names, "low").select(F.col("node").alias(key), "cluster")
 
 

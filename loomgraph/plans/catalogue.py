@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import build, evaluate, fusion, goldset, graph, ingest, ppr, retrieval, routing
+from ..operators import build, evaluate, fusion, goldset, graph, ingest, lookups, ppr, retrieval, routing
 from ..sources.fixtures import TABLES_SQL, Graph
 from ..sources.storage import stored
 
@@ -566,11 +566,9 @@ def _(g):
 
 
 def gold(g: Graph) -> DataFrame:
-    """qid, chunk_id: documents that hold a benchmark item, met by the item's longest inner word, then compared."""
-    longest = lambda c: F.element_at(F.array_sort(F.transform(F.slice(F.split(c, r"\s+"), 2, 1_000), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1)["x"]
-    items = g.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item")).withColumn("w", longest("item"))
-    docs = g.table("documents").select(F.col("doc_id").alias("chunk_id"), "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    return docs.join(items, "w").where(F.contains("text", "item")).select("qid", "chunk_id")
+    """qid, chunk_id: documents that hold a benchmark item."""
+    docs = g.table("documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return lookups.containing(docs, g.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item")))
 
 
 @query("j2_mrr", f"WITH {BM25_SQL}, gold AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT qid, round(coalesce(1.0 / min(rank), 0), 9) AS mrr FROM gold LEFT JOIN bm25 USING (qid, chunk_id) GROUP BY 1", tables=False)

@@ -235,7 +235,7 @@ w AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT e.dst, w
 c AS (SELECT node, min(low) AS low FROM w GROUP BY 1) SELECT c.node AS vec_id, n.cluster FROM c JOIN (SELECT low, first(node ORDER BY node % 7 DESC, node) AS cluster FROM c GROUP BY 1) n USING (low)""", tables=False)
 def _(g):
     vectors = g.table("embeddings")
-    return goldset.cluster_labels(vectors, vectors.select("vec_id", (F.col("vec_id") % 7).alias("n")), 0.4, "vec_id", stored)
+    return goldset.cluster_labels(vectors, vectors.select("vec_id", (F.col("vec_id") % 7).alias("n")), 0.4, "vec_id")
 
 
 def doc_nodes(g: Graph) -> DataFrame:
