@@ -42,6 +42,15 @@ and limitations under the License."""),
     ("gpl-notice", "gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("lgpl-header", "lgpl", _GNU.format("Lesser ").replace("program", "library")),
     ("agpl-header", "agpl", _GNU.format("Affero ")),
+    ("gpl-3.0-preamble", "gpl", """The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By
+contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program"""),
+    ("lgpl-3.0-text", "lgpl", """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below."""),
+    ("gfdl-preamble", "gfdl", """The purpose of this License is to make a manual, textbook, or other functional and useful document "free" in the sense of freedom: to
+assure everyone the effective freedom to copy and redistribute it, with or without modifying it, either commercially or noncommercially."""),
+    ("artistic-1.0-preamble", "artistic", """The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder
+maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and
+distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications."""),
     ("bsd-2-clause", "bsd", f"{_BSD_TWO}\n{_WARRANTY_BSD}"),
     ("bsd-3-clause", "bsd", f"""{_BSD_TWO}
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
@@ -79,9 +88,15 @@ successors. We intend this dedication to be an overt act of relinquishment in pe
 under copyright law."""),
     ("mpl-2.0-header", "mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
 this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("mpl-1.1-header", "mpl", """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file
+except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/
+Software distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied. See the
+License for the specific language governing rights and limitations under the License."""),
     ("mpl-2.0-notice", "mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("epl-2.0-header", "epl", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
 https://www.eclipse.org/legal/epl-2.0/"""),
+    ("cc0-1.0-text", "cc0", """The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon
+the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work")."""),
     ("cc-by-4.0-notice", "cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa-4.0-notice", "cc", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
 ]

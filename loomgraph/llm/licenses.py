@@ -12,6 +12,11 @@ also cut into windows of that many words, STRIDE apart. Besides, each stretch of
 template has is a block for it, wherever lines end, so notices wrapped over lines and templates of any length are met.
 The whole text goes through the join first: what it does not contain, none of its blocks does.
 
+Licenses share most of their words, so a block that meets the threshold is then checked. Pairs of adjacent words that a
+template has, but no template of another label, tell it apart; at least OWN of these must stand in the block. And of the
+templates found in a text, one whose words another one of a different label contains by the threshold, being larger, is
+only a part of that one, and is left out.
+
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z. The templates go with
 the code to each task, so their words are at most MOST_WORDS in all (more are refused); documents are read in two passes,
 for the counts and for the join, and nothing is shuffled but token counts.
@@ -38,6 +43,7 @@ from .license_texts import TEMPLATES
 STRIDE = 64
 MOST_WORDS = 5_000_000
 ROOM = 2  # a template may be strewn with as many other words
+OWN = 0.5  # the share of a template's own word pairs that a block needs
 
 # The phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -68,6 +74,15 @@ class Templates:
         self.sets = [np.unique(x) for x in words]
         self.tokens = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]))
         self.need = [ceil(threshold * len(s)) for s in self.sets]
+        pairs = [np.unique(w.windows(x, 2)) for x in words]
+        other = [np.concatenate([np.empty(0, np.uint64), *[p for p, of in zip(pairs, self.labels, strict=True) if of != label]]) for label in self.labels]
+        self.own = [p[~np.isin(p, rest)] for p, rest in zip(pairs, other, strict=True)]
+        larger = lambda a, b: self.labels[a] != self.labels[b] and len(self.sets[b]) > len(self.sets[a]) and len(np.intersect1d(self.sets[a], self.sets[b])) >= self.need[a]
+        self.within = [[b for b in range(len(words)) if larger(a, b)] for a in range(len(words))]
+
+    def is_own(self, t: int, block: np.ndarray) -> bool:
+        """Whether the block (hashes of its words in order) has enough of the word pairs that no other label has."""
+        return len(np.intersect1d(w.windows(block, 2), self.own[t])) >= OWN * len(self.own[t])
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Number of the template token, else -1."""
@@ -101,10 +116,11 @@ class Templates:
                         yield t, common / len(self.sorted[t])
 
 
-def _most(places: list[int], tokens: list[int], stretch: int) -> int:
-    """The most distinct tokens that stand in a stretch of so many words."""
+def _stretches(places: list[int], tokens: list[int], stretch: int, need: int) -> Iterator[tuple[int, int, int]]:
+    """First and last place and the number of distinct tokens of the stretches of so many words that hold `need` of them; of
+    those that end at the same token the one that reaches farthest back."""
     inside: dict[int, int] = {}
-    left = best = 0
+    left = 0
     for at, token in zip(places, tokens, strict=True):
         inside[token] = inside.get(token, 0) + 1
         while places[left] <= at - stretch:
@@ -113,8 +129,8 @@ def _most(places: list[int], tokens: list[int], stretch: int) -> int:
             if not inside[gone]:
                 del inside[gone]
             left += 1
-        best = max(best, len(inside))
-    return best
+        if len(inside) >= need:
+            yield places[left], at, len(inside)
 
 
 def _blocks(line: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -185,13 +201,19 @@ def _scanned(part: pa.RecordBatch, known: Templates, wanted: list[tuple[np.ndarr
             for i, j in _blocks(lines[starts[a:b]]):
                 if marks[i] < marks[j]:
                     block = np.unique(own[i:j])
-                    found.extend(known.join(block[block >= 0].tolist()))
+                    found.extend((t, share) for t, share in known.join(block[block >= 0].tolist()) if known.is_own(t, hashes[a + i : a + j]))
             for t in tried:
                 held = np.flatnonzero(np.isin(own, known.sorted[t]))
-                most = _most(held.tolist(), own[held].tolist(), known.stretch[t])
-                if most >= known.need[t]:
-                    found.append((t, most / len(known.sorted[t])))
+                best = 0
+                for i, j, met in _stretches(held.tolist(), own[held].tolist(), known.stretch[t], known.need[t]):
+                    if met > best and known.is_own(t, hashes[a + i : a + j + 1]):
+                        best = met
+                if best:
+                    found.append((t, best / len(known.sorted[t])))
+            there = {t for t, _ in found}
             for t, share in found:
+                if there.intersection(known.within[t]):
+                    continue
                 label = known.labels[t]
                 named[d].add(known.names[t])
                 more[d][label] = max(share, more[d].get(label, 0.0))

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables that hold nulls, ties, repeats, long texts and clashing names."""
 
 import hashlib
+import pathlib
 import random
 import re
 import unicodedata
@@ -616,20 +617,60 @@ def test_licenses(spark, sf_dir):
 
 
 def contained(text):
-    """Labels of templates of which some stretch of twice their words, or some line's block, holds enough."""
-    found = set()
+    """Labels of templates of which some stretch of twice their words, or some line's block, holds enough words and enough of
+    the word pairs that no other label has; templates that are part of a larger one found are left out."""
     split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+    pairs = lambda x: set(zip(x, x[1:], strict=False))
+    known = [(label, split(t)) for _, label, t in licenses.TEMPLATES]
     v = split(text or "")
     lines = [split(x) for x in (text or "").split("\n")]
-    blocks = [set(x[i : i + 2 * licenses.STRIDE]) for x in lines for i in range(0, max(1, len(x) - licenses.STRIDE), licenses.STRIDE)]
-    for _, label, t in licenses.TEMPLATES:
-        own, size = set(split(t)), 2 * len(split(t))
-        inside = [x if x in own else None for x in v]
-        if len(own.intersection(v)) >= 0.8 * len(own):
-            stretches = (set(inside[i : i + size]) - {None} for i in range(len(v)) if inside[i])
-            if any(len(x & own) >= 0.8 * len(own) for x in blocks) or any(len(x) >= 0.8 * len(own) for x in stretches):
-                found.add(label)
-    return found
+    blocks = [x[i : i + 2 * licenses.STRIDE] for x in lines for i in range(0, max(1, len(x) - licenses.STRIDE), licenses.STRIDE)]
+    found = []
+    for label, words in known:
+        own, size = set(words), 2 * len(words)
+        if len(own.intersection(v)) < 0.8 * len(own):
+            continue
+        signs = pairs(words) - set().union(*(pairs(x) for other, x in known if other != label))
+        stretches = blocks + [v[i : i + size] for i in range(len(v)) if v[i] in own]
+        if any(len(own.intersection(x)) >= 0.8 * len(own) and len(signs & pairs(x)) >= 0.5 * len(signs) for x in stretches):
+            found.append((label, own))
+    return {label for label, own in found if not any(other != label and len(larger) > len(own) and len(own & larger) >= 0.8 * len(own) for other, larger in found)}
+
+
+def test_labels_of_real_licenses_and_of_near_misses(spark):
+    """Openings and notices of public licenses, in contexts that name other licenses too, and texts that only look like them."""
+    text = {name: t for name, _, t in licenses.TEMPLATES}
+    gpl = text["gpl-header"] + "\nThe GNU General Public License does not permit incorporating your program into proprietary programs. If this is what you want to do, use the GNU Lesser General Public License instead of this License." + " other words" * 120 + " Use with the GNU Affero General Public License."
+    cases = [
+        ("Released under the MIT License.", "mit"),
+        ("Released under the BSD License.", ""),
+        ("Distributed under the terms of the Artistic License", ""),
+        ("Released under the Apple License", ""),
+        ("Licensed under the Apache License, Version 2.0", "apache"),
+        ("Licensed under the Academic License, Version 2.0", ""),
+        (gpl, "gpl"),
+        (text["lgpl-header"], "gpl,lgpl"),
+        (text["agpl-header"], "agpl,gpl"),
+        (text["lgpl-3.0-text"], "gpl,lgpl"),
+        (text["mpl-1.1-header"], "mpl"),
+        (text["apache-2.0-header"], "apache"),
+        (text["gfdl-preamble"], "gfdl"),
+        (text["artistic-1.0-preamble"], "artistic"),
+        (text["cc0-1.0-text"], "cc0"),
+        ("Permission is hereby granted to any person who obtains a copy of the key", ""),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(table(spark, [t for t, _ in cases])).collect()}
+    assert [got[i] for i in range(len(cases))] == [label for _, label in cases]
+
+
+def test_labels_of_the_systems_licenses(spark):
+    want = {"Apache-2.0": "apache", "Artistic": "artistic", "BSD": "bsd", "CC0-1.0": "cc0", "GFDL-1.2": "gfdl,gpl", "GFDL-1.3": "gfdl,gpl", "GPL-1": "gpl", "GPL-2": "gpl", "GPL-3": "gpl", "LGPL-2": "gpl,lgpl", "LGPL-2.1": "gpl,lgpl", "LGPL-3": "gpl,lgpl", "MPL-1.1": "mpl", "MPL-2.0": "gpl,mpl"}
+    folder = pathlib.Path("/usr/share/common-licenses")
+    there = sorted(n for n in want if (folder / n).is_file())
+    if not there:
+        pytest.skip("no license files on this system")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(table(spark, [(folder / n).read_text(errors="replace") for n in there])).collect()}
+    assert {n: got[i] for i, n in enumerate(there)} == {n: want[n] for n in there}
 
 
 def test_whole_license_texts(spark):
