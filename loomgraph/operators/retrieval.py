@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import postings
+
 
 def top_per(df: DataFrame, k: int, *order: Column | str, by: str | list[str] = "qid", rank: str = "rank") -> DataFrame:
     keys = [by] if isinstance(by, str) else by
@@ -25,20 +27,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 15, key: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """qid, rank, key, score (BM25, any term) of docs (key, text) for queries (qid, text).
-
-    Only postings of the queries' terms are kept past the scan's stage; lengths are carried in the posting."""
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    split = docs.select(key, tokens(F.col("text")).alias("t"))
-    sizes = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()  # two numbers
-    n, mean = sizes["n"], sizes["mean"] or 1.0
-    posts = split.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("term", key, "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = posts.join(df, "term")
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scores = asked.join(weighed.select("term", key, part.alias("part")), "term").groupBy("qid", key).agg(F.sum("part").alias("score"))
+    """qid, rank, key, score (BM25, any term) of docs (key, text) for queries (qid, text)."""
+    scores = postings.bm25_search(docs, queries, tokens, k, key, k1, b)
     return top_per(scores.withColumn("score", F.round("score", 9)), k, F.desc("score"), key).select("qid", "rank", key, "score")
 
 
