@@ -3,9 +3,11 @@
 Leading '>' marks give each line its quote level. Runs of lines of one level are passages; texts are lower-cased, white
 space is made one space, and they are hashed. A passage asks for the whole of it, its paragraphs, lines and sentences;
 messages offer those of their own words. A piece belongs to the earliest message of its conversation that offers its
-hash, if that came earlier, and a passage to the message of its longest piece found. Passages that find none (quotes
-that begin or end within a sentence) ask for their stretches of SHINGLE words, and belong to the message that the most of
-them belong to. A message replies to the latest message that it quotes at the outermost level linked; deeper levels are
+hash, if that came earlier, and a passage to the message of its longest piece found, if that is COVERED of the passage's
+letters. Passages that find none (quotes that begin or end within a sentence) ask for their stretches of SHINGLE words, and
+belong to the message that the most of them belong to, if these are COVERED of all. So a quote from elsewhere that shares
+a line, a sentence or a turn of phrase with a message stays unlinked, and so does one of under SHINGLE words that is no
+whole line, sentence or text of a message. A message replies to the latest message that it quotes at the outermost level linked; deeper levels are
 counted. Threads are found by pointer doubling over the replies, so every message gets its thread's first turn and its
 depth; (thread_root, turn) is the reply order, for a reply comes later than what it quotes.
 
@@ -31,6 +33,7 @@ MARKS = r"^\s{0,3}((?:>\s?)+)"
 ATTRIBUTION = r"^\s*(On|Am|Le|El)\b.*(wrote|schrieb|écrit|escribió)\b.*:\s*$"
 SENTENCE = r"(?<=[.!?])\s+"
 SHINGLE = 4
+COVERED = 0.5
 PART_TURNS, PART_ROWS = 256, 1024
 
 
@@ -39,9 +42,10 @@ def _normal(text: Column) -> Column:
 
 
 def _pieces(df: DataFrame, column: str) -> DataFrame:
-    """df with piece: distinct normal forms of the whole text of a column, its paragraphs, lines and sentences."""
+    """df with piece: distinct normal forms of the whole text of a column, its paragraphs, lines, sentences and those of each line."""
     text = F.col(column)
-    parts = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, "\n"), F.split(text, SENTENCE))
+    lines = F.split(text, "\n")
+    parts = F.concat(F.array(text), F.split(text, r"\n\s*\n"), lines, F.split(text, SENTENCE), F.flatten(F.transform(lines, lambda x: F.split(x, SENTENCE))))
     return df.withColumn("piece", F.explode(F.array_distinct(F.transform(parts, _normal)))).where("piece <> ''")
 
 
@@ -60,15 +64,17 @@ def _stretches(df: DataFrame) -> DataFrame:
 
 def _by_stretches(left: DataFrame, bodies: DataFrame) -> DataFrame:
     """conv_id, turn, level, source of passages that no whole piece places, by stretches of words."""
-    asked = _words(left, "passage").withColumn("size", F.least(F.size("words"), F.lit(SHINGLE)))
+    asked = _words(left, "passage").where(F.size("words") >= SHINGLE).withColumn("size", F.lit(SHINGLE))
     asked = stored(_stretches(asked.select("conv_id", "turn", "level", "id", "size", "words")).distinct())
+    whole = asked.groupBy("conv_id", "turn", "level", "id").agg(F.count(F.lit(1)).alias("all"))
     offers = _words(bodies.join(asked.select("conv_id").distinct(), "conv_id", "left_semi"), "body").select("conv_id", "turn", "words")
     offers = _stretches(offers.join(asked.select("conv_id", "size").distinct(), "conv_id"))
     offers = offers.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     offers = stored(offers.groupBy("conv_id", "hash").agg(F.min("turn").alias("source")))
     found = asked.join(offers, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "level", "id", "source").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct("n", (-F.col("source")).alias("s")))
-    return found.groupBy("conv_id", "turn", "level", "id").agg(best.alias("b")).select("conv_id", "turn", "level", (-F.col("b.s")).alias("source"))
+    best = found.groupBy("conv_id", "turn", "level", "id").agg(F.max(F.struct("n", (-F.col("source")).alias("s"))).alias("b"))
+    sure = best.join(whole, ["conv_id", "turn", "level", "id"]).where(F.col("b.n") >= COVERED * F.col("all"))
+    return sure.select("conv_id", "turn", "level", (-F.col("b.s")).alias("source"))
 
 
 def _with_body(messages: DataFrame) -> DataFrame:
@@ -92,7 +98,7 @@ def _links(messages: DataFrame) -> DataFrame:
     passage = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
     passages = lines.groupBy("conv_id", "turn", "own", "level", "run").agg(passage.alias("passage")).where(_normal(F.col("passage")) != "")
     passages = stored(passages.select("conv_id", "turn", "level", F.xxhash64("own", "run").alias("id"), "passage"))
-    asked = stored(_pieces(passages, "passage").select("conv_id", "turn", "level", "id", F.length("piece").alias("size"), F.xxhash64("piece").alias("hash")))
+    asked = stored(_pieces(passages, "passage").select("conv_id", "turn", "level", "id", F.length("piece").alias("size"), F.xxhash64("piece").alias("hash"), F.length(_normal(F.col("passage"))).alias("whole")).where(F.col("size") >= COVERED * F.col("whole")).drop("whole"))
     offers = _pieces(named, "body").select("conv_id", "turn", F.xxhash64("piece").alias("hash"))
     offers = offers.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     offers = stored(offers.groupBy("conv_id", "hash").agg(F.min("turn").alias("source")))

@@ -401,7 +401,7 @@ def chats_by_hand(rows):
     says = re.compile(r"\s*(On|Am|Le|El)\b.*(wrote|schrieb|écrit|escribió)\b.*:\s*$")
 
     def pieces(t):
-        parts = [t, *re.split(r"\n[ \t\n\x0b\f\r]*\n", t), *t.split("\n"), *re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", t)]
+        parts = [t, *re.split(r"\n[ \t\n\x0b\f\r]*\n", t), *t.split("\n"), *re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", t), *(y for x in t.split("\n") for y in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", x))]
         return {x for x in map(normal, parts) if x}
 
     def words(t):
@@ -434,14 +434,15 @@ def chats_by_hand(rows):
     for (c, t), passages in quotes.items():
         found = []
         for level, text in passages if c is not None and t is not None else ():
-            near = [(-len(x), offered[c, x]) for x in pieces(text) if offered.get((c, x), t) < t]
+            near = [(-len(x), offered[c, x]) for x in pieces(text) if offered.get((c, x), t) < t and len(x) >= 0.5 * len(normal(text))]
             if near:
                 found.append((level, -min(near)[1]))
                 continue
             v = words(text)
-            size = min(len(v), chat_format.SHINGLE)
-            votes = Counter(stretches[k] for k in {(c, tuple(v[i : i + size])) for i in range(len(v) - size + 1)} if stretches.get(k, t) < t)
-            if votes:
+            size = chat_format.SHINGLE
+            every = {(c, tuple(v[i : i + size])) for i in range(len(v) - size + 1)}
+            votes = Counter(stretches[k] for k in every if stretches.get(k, t) < t)
+            if votes and max(votes.values()) >= 0.5 * len(every):
                 found.append((level, -min(votes, key=lambda s: (-votes[s], s))))
         if found:
             links[c, t] = (-min(found)[1], len(found))
@@ -503,7 +504,24 @@ def test_partial_quotes(spark):
     quotes = {2: "> one two three\n> four five six", 3: "> second part here. It goes on\n>\n> third part, which is long and ends here", 4: "> third part, which is", 5: "> It goes on", 6: "> eight", 7: "> one two three\n> seven eight nine", 8: "> goes on third part", 9: "> unlike all others"}
     rows = [(1, 0, "user", "unrelated talk"), (1, 1, "user", first), *((1, t, "user", q + f"\nanswer {t}") for t, q in quotes.items())]
     got = {r["turn"]: (r["reply_to"], r["text"]) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert {t: got[t] for t in quotes} == {t: (None if t == 9 else 1, f"answer {t}") for t in quotes}
+    assert {t: got[t] for t in quotes} == {t: (None if t in (6, 9) else 1, f"answer {t}") for t in quotes}
+
+
+def test_quotes_from_elsewhere_stay_unlinked(spark):
+    first = "Yes, we can do that on Monday. Kind regards\n\nThe plan has four steps, and the last of them is the hardest"
+    quotes = {
+        2: "> yes",
+        3: "> According to the manual the valve must be closed before any of the work can start here.\n> Kind regards",
+        4: "> A report says that the last of them was sold in spring, long after all others had left the yard",
+        5: "> A poem of many lines, none of which was written here. Kind regards",
+        6: "> the plan has four steps, and the last",
+        7: "> Kind regards",
+        8: "> can do",
+    }
+    rows = [(1, 0, "user", "yes"), (1, 1, "user", first), *((1, t, "user", q + f"\nanswer {t}") for t, q in quotes.items())]
+    rows += [(2, 0, "user", "no"), (2, 1, "user", first), (2, 2, "user", "> yes\nanswer")]
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat_format.format_chats(spark.createDataFrame(rows, CHAT)).collect()}
+    assert {t: got[1, t] for t in quotes} == {2: 0, 3: None, 4: None, 5: None, 6: 1, 7: 1, 8: None} and got[2, 2] is None
 
 
 def test_long_reply_chains(spark):
