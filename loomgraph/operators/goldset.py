@@ -408,16 +408,13 @@ def abstract_scenarios(clusters: DataFrame, themes: DataFrame, hops: int = 3) ->
 
 
 def parse_themes(raw: Column, most: int = 10) -> Column:
-    """Themes of a model's answer: its JSON object's list, with or without a fence or text around; else its lines."""
-    body = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    listed = lambda x: F.from_json(x, "themes array<string>")["themes"]
-    inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    lines = F.filter(F.split(body, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^[{}]") & ~F.contains(F.lower(x), F.lit("themes")))
-    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\-•, ]+|[\-•, ]+$", ""), "^[\"']+|[\"']+$", ""))
-    some = lambda x: F.when(F.size(x) > 0, x)
-    themes = F.coalesce(some(listed(body)), some(listed(inner)), lines)
-    clean = F.transform(themes, lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.trim(x), "^,+|,+$", "")), "^[\"']+|[\"']+$", ""))
-    clean = F.filter(clean, lambda x: (x != "") & ~x.isin("{", "}", "[", "]", "```json", "```") & ~F.lower(x).startswith("themes"))
+    """Themes of a model's answer: the list of the JSON object in it, whatever stands around; without one, the answer's lines
+    but for fences, lone brackets and headings. Signs around a theme go; distinct without case, at most `most`."""
+    answer = F.coalesce(raw, F.lit(""))
+    bare = lambda x: F.regexp_replace(x, r"^[\s,\"'\-•\[\]{}]+|[\s,\"'\-•\[\]{}]+$", "")
+    listed = F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), "themes array<string>")["themes"]
+    lines = F.filter(F.split(answer, "\n"), lambda x: ~F.trim(x).startswith("```") & ~F.contains(F.lower(x), F.lit("themes")))
+    clean = F.filter(F.transform(F.when(F.size(listed) > 0, listed).otherwise(lines), bare), lambda x: x != "")
     low = F.transform(clean, F.lower)
     return F.slice(F.filter(clean, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)
 
