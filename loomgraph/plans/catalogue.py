@@ -526,7 +526,8 @@ def item_seeds(g: Graph) -> DataFrame:
 
 def lists(g: Graph) -> list[DataFrame]:
     """Two ranked lists for the benchmark's questions: documents by keywords, and chunks of one-hop relations."""
-    one = searched(g).withColumn("chunk_id", F.col("chunk_id").cast("string")).withColumn("content", F.lit("x"))
+    texts = g.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    one = searched(g).join(texts, "chunk_id", "left").withColumn("chunk_id", F.col("chunk_id").cast("string"))
     best = graph.local_relations(item_seeds(g), g.relations, weights(g), graph.degrees(g.relations), 10)
     met = graph.window_to_ranked(graph.relation_chunks_window(best, g.assertions, g.chunks, 15))
     two = met.join(g.chunks.select("chunk_id", "file_name", "page_number"), "chunk_id")
@@ -544,7 +545,7 @@ two AS (SELECT qid, s.chunk_id, c.file_name, c.page_number, rank, CAST(support A
     FROM (SELECT qid, chunk_id, support, CAST(row_number() OVER (PARTITION BY qid ORDER BY support DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, count(DISTINCT l.relation_id) AS support FROM (SELECT * FROM loc WHERE rank <= 10) l JOIN assertions a ON a.relation_id = l.relation_id GROUP BY 1, 2)) s
     JOIN chunks c ON c.chunk_id = s.chunk_id LEFT JOIN chunks p ON p.doc = c.doc AND p.sequence_number = c.sequence_number - 1 LEFT JOIN chunks n ON n.doc = c.doc AND n.sequence_number = c.sequence_number + 1 WHERE rank <= 15),
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources, first(content ORDER BY source DESC) AS content
-    FROM (SELECT qid, CAST(chunk_id AS VARCHAR) AS chunk_id, rank, 'text' AS source, 'x' AS content FROM bm25 UNION ALL SELECT qid, chunk_id, rank, 'graph', content FROM two) GROUP BY 1, 2))"""
+    FROM (SELECT qid, CAST(chunk_id AS VARCHAR) AS chunk_id, rank, 'text' AS source, coalesce(text, '') AS content FROM bm25 LEFT JOIN documents ON doc_id = chunk_id UNION ALL SELECT qid, chunk_id, rank, 'graph', content FROM two) GROUP BY 1, 2))"""
 
 
 @query("h1_rrf", f"+{LISTS_SQL} SELECT qid, rank, chunk_id, round(score, 7) AS score, sources, content FROM fused WHERE rank <= 25")

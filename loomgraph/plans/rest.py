@@ -159,11 +159,11 @@ def _(g):
 # Graph
 
 
-@query("f6_cosine_rerank", f"""+{LOCAL_SQL}, v AS (SELECT relation_id, embedding AS v FROM (SELECT relation_id, CAST('0x' || substr(relation_id, 1, 4) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM relations) JOIN embeddings USING (vec_id) WHERE label_is),
+@query("f6_cosine_rerank", f"""+{LOCAL_SQL}, v AS (SELECT relation_id, embedding AS v FROM (SELECT relation_id, CAST('0x' || substr(relation_id, 1, 4) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM relations) JOIN embeddings USING (vec_id)),
 sc AS (SELECT l.qid, l.relation_id, round(coalesce(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 0), 9) AS score FROM (SELECT qid, relation_id FROM loc WHERE rank <= 100) l LEFT JOIN v USING (relation_id) LEFT JOIN embeddings e ON e.vec_id = l.qid)
-SELECT qid, CAST(rank AS INTEGER) AS rank, relation_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, relation_id) AS rank FROM sc) WHERE rank <= 30""".replace(" WHERE label_is", " WHERE relation_id < 'c'"))
+SELECT qid, CAST(rank AS INTEGER) AS rank, relation_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, relation_id) AS rank FROM sc) WHERE rank <= 30""")
 def _(g):
-    vectors = vector_of(g).where("relation_id < 'c'").join(g.table("embeddings").select("vec_id", "embedding"), "vec_id")
+    vectors = vector_of(g).join(g.table("embeddings").select("vec_id", "embedding"), "vec_id")
     return fusion.cosine_rerank(local(g, 100), vectors, g.table("embeddings").select(F.col("vec_id").alias("qid"), "embedding")).withColumn("score", F.round("score", 6))
 
 
