@@ -17,7 +17,8 @@ bounds what the driver and a task hold whatever the items' number and length; ev
 Items of exact_words to least_words - 1 words are too short for edits: they must stand whole. Shorter ones cannot be told
 from chance and take no part.
 
-Cases: null and empty texts and items meet nothing; very long texts are aligned whole, around the seeds. Repeated
+Cases: null and empty texts and items meet nothing; very long texts are aligned whole, around the seeds, in overlapping
+blocks that bound the memory whatever the text and item repeat. Repeated
 documents are reported once for each id and item, with the best score; null ids are reported as null, as one. Repeated
 items count once, and an id with several texts has the best of them. Other columns do not pass. Empty tables give an empty
 table.
@@ -41,6 +42,8 @@ from .licenses import _words as _plain_words
 from .tables import stored
 
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
+BLOCK = 1 << 16  # words of text that are aligned at a time, besides an overlap
+OWNERS = 1 << 20  # seeds met with their items at a time
 SLIP = 1e-9  # what floating point may add to a whole number
 
 
@@ -59,19 +62,19 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, first
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score of the whole of item with any part of text, and the place in text where it ends."""
-    row = np.zeros(len(text) + 1, np.int64)
-    step = np.arange(len(text) + 1)
-    best, end = 0, 0
-    for word in item:
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment score of the whole of item with any part of text, and where it ends first: in text, in item."""
+    row = np.zeros(len(text) + 1, np.int32)
+    step = np.arange(len(text) + 1, dtype=np.int32)
+    best, end, last = 0, 0, 0
+    for k, word in enumerate(item):
         new = np.maximum(row - 1, 0)
-        np.maximum(new[1:], row[:-1] + np.where(text == word, 2, -1), out=new[1:])
+        np.maximum(new[1:], row[:-1] + np.where(text == word, np.int32(2), np.int32(-1)), out=new[1:])
         row = np.maximum.accumulate(new + step) - step
         at = int(row.argmax())
         if row[at] > best:
-            best, end = int(row[at]), at
-    return best, end
+            best, end, last = int(row[at]), at, k
+    return best, end, last
 
 
 def least_shared(size: int, n: int, threshold: float) -> int:
@@ -126,12 +129,16 @@ def _spread(first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(own)) + np.repeat(first[keys] - np.cumsum(size) + size, size), own
 
 
-def _regions(diagonals: np.ndarray, size: int, slack: int, words: int) -> Iterator[tuple[int, int]]:
-    """Ranges of text to align, from the seeds' place in text less that in the item; ranges that meet are one."""
-    diagonals = np.unique(diagonals)
-    cut = np.flatnonzero(np.diff(diagonals) > size + 2 * slack)
-    for low, high in zip(np.append(0, cut + 1), np.append(cut, len(diagonals) - 1), strict=True):
-        yield max(0, int(diagonals[low]) - slack), min(words, int(diagonals[high]) + size + slack)
+def _regions(low: np.ndarray, high: np.ndarray, reach: int, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of text to align, from those of the seeds. Ranges that meet are one, which comes in blocks that overlap by
+    the reach of an alignment, so that each alignment at the threshold lies whole in a block."""
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    cut = np.flatnonzero(low[1:] > high[:-1])
+    for a, b in zip(low[np.append(0, cut + 1)].tolist(), high[np.append(cut, len(low) - 1)].tolist(), strict=True):
+        a, b = max(0, a), min(words, b)
+        for k in range(a, max(a + 1, b - reach), BLOCK):
+            yield k, min(b, k + BLOCK + reach)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.6, least_words: int = 6, exact_words: int = 3, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -195,15 +202,41 @@ def _found(docs: DataFrame, items: list[tuple[int, str]], n: int, threshold: flo
     return docs.mapInArrow(run, SCHEMA)
 
 
-def _candidates(doc: np.ndarray, met: np.ndarray, index: Seeds) -> np.ndarray:
-    """Sorted rows (document, item) that share a seed and as many n-grams as the item needs."""
-    held = np.unique(doc[met >= 0] * len(index.every) + met[met >= 0])
-    at, own = _spread(index.owned, held % len(index.every))
-    pairs = np.unique(np.stack([(held // len(index.every))[own], index.owner[at]], axis=1), axis=0)
-    at, own = _spread(index.first, pairs[:, 1])
-    asked = pairs[own, 0] * len(index.every) + index.gram[at]
-    shared = np.bincount(own[_met(asked, held) >= 0], minlength=len(pairs))
-    return pairs[shared >= index.need[pairs[:, 1]]]
+def _candidates(doc: np.ndarray, met: np.ndarray, index: Seeds) -> Iterator[tuple[int, int]]:
+    """Each (document, item) that share a seed and as many n-grams as the item needs, in order. Documents come in groups of
+    about OWNERS items met; a single document meets at most all items of the block."""
+    size = len(index.every)
+    held = np.unique(doc[met >= 0] * size + met[met >= 0])
+    met_by = np.cumsum((index.owned[1:] - index.owned[:-1])[held % size])
+    ends = np.append(np.flatnonzero(np.diff(held // size)) + 1, len(held))  # of each document's grams
+    a, done = 0, 0
+    for k, b in enumerate(ends.tolist()):
+        if b > a and (k + 1 == len(ends) or met_by[ends[k + 1] - 1] - done > OWNERS):
+            at, own = _spread(index.owned, held[a:b] % size)
+            pairs = np.unique((held[a:b] // size)[own] * len(index.items) + index.owner[at])
+            for part in np.array_split(pairs, 1 + (index.first[pairs % len(index.items) + 1] - index.first[pairs % len(index.items)]).sum() // OWNERS):
+                d, item = part // len(index.items), part % len(index.items)
+                at, own = _spread(index.first, item)
+                shared = np.bincount(own[_met(d[own] * size + index.gram[at], held[a:b]) >= 0], minlength=len(part))
+                fit = shared >= index.need[item]
+                yield from zip(d[fit].tolist(), item[fit].tolist(), strict=True)
+            a, done = b, met_by[b - 1]
+
+
+def _ranges(grams: np.ndarray, known: np.ndarray, need: int, slack: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a text that holds one of an item's n-grams, the range of text that an alignment through it can
+    take. Places with fewer than need such places within reach, to both sides of them, are in none at the threshold."""
+    own, at = np.unique(known, return_index=True)
+    last = len(known) - 1 - np.unique(known[::-1], return_index=True)[1]
+    kind = _met(grams, own)
+    places = np.flatnonzero(kind >= 0)
+    ahead = np.searchsorted(places, places + reach) - np.arange(len(places))  # places from each one on, within reach
+    begins = np.zeros(len(places) + 1, np.int64)
+    full = np.flatnonzero(ahead >= need)
+    np.add.at(begins, full, 1)
+    np.add.at(begins, full + ahead[full], -1)
+    places = places[np.cumsum(begins[:-1]) > 0]
+    return places - last[kind[places]] - slack, places - at[kind[places]] + len(known) + slack
 
 
 def _aligned(part: pa.RecordBatch, index: Seeds) -> Iterator[tuple]:
@@ -213,20 +246,20 @@ def _aligned(part: pa.RecordBatch, index: Seeds) -> Iterator[tuple]:
         return
     met = _met(w.mix(w.windows(hashes, index.n)[at]), index.every)
     starts = np.concatenate(([0], np.cumsum(own)))
-    for d, k in _candidates(np.repeat(np.arange(len(own)), own), met, index).tolist():
+    for d, k in _candidates(np.repeat(np.arange(len(own)), own), met, index):
         (item_id, item), threshold = index.items[k], index.least[k]
         text = hashes[first[d] : first[d + 1]]
-        grams, known = met[starts[d] : starts[d + 1]], index.gram[index.first[k] : index.first[k + 1]]
-        places = np.flatnonzero(np.isin(grams, known))
-        p, q = np.nonzero(grams[places, None] == known)
-        best = (0, 0, 0)
-        for a, b in _regions(places[p] - q, len(item), int(2 * len(item) * (1 - threshold) + SLIP) + 1, len(text)):
+        slack = int(2 * len(item) * (1 - threshold) + SLIP) + 1
+        low, high = _ranges(met[starts[d] : starts[d + 1]], index.gram[index.first[k] : index.first[k + 1]], int(index.need[k]), slack, len(item) + slack)
+        best, key = (0, 0, 0), (0, 0, 0)
+        for a, b in _regions(low, high + index.n - 1, len(item) + slack, len(text)) if len(low) else ():
             if np.isin(item, text[a:b]).sum() < threshold * len(item) - SLIP:
                 continue
-            value, end = align(item, text[a:b])
-            if value > best[0]:
-                back, size = align(item[::-1], text[a : a + end][::-1])
-                best = (value, a + end - size, a + end - 1)
+            value, end, last = align(item, text[a:b])
+            if (value, -last, -a - end) > key:
+                back = max(0, end - len(item) - slack)
+                size = align(item[last::-1], text[a + back : a + end][::-1])[1]
+                best, key = (value, a + end - size, a + end - 1), (value, -last, -a - end)
         if best[0] >= threshold * 2 * len(item) - SLIP:
             yield part["doc_id"][d].as_py(), item_id, best[0] / (2 * len(item)), best[1], best[2]
 

@@ -4,12 +4,14 @@ import hashlib
 import pathlib
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -257,6 +259,8 @@ def test_quotes():
         return toxicity.Quotes(text).around(at, at + len(word))
 
     assert quoted('said "idiot" to') and quoted("„idiot“ x") and quoted("“you idiot”") and quoted("«un idiot»")
+    assert quoted("he said ‘you idiot’ to") and quoted("called 'an idiot' by it's owner") and quoted("> you idiot") and quoted("so:\n >> an idiot\nno") and quoted('"the dogs\' idiot"')
+    assert not quoted("don't be an idiot, it's") and not quoted("the dogs' idiot") and not quoted("> a\nidiot") and not quoted("rock 'n' roll idiot") and not quoted("a > idiot")
     assert not quoted("an idiot here") and not quoted('"a" idiot "b"') and not quoted('"a\nidiot" x') and not quoted('a" ' + "x " * 60 + 'idiot "b')
     assert not quoted('token = "abc" idiot token = "def"') and not quoted('"idiot')
 
@@ -332,6 +336,39 @@ def test_decontamination_of_edited_copies(spark):
     assert decontamination.contaminated(docs.limit(0), items).collect() == [] and decontamination.contaminated(docs, items.limit(0)).collect() == []
 
 
+def test_decontamination_of_long_repetitive_texts():
+    """The memory does not grow with the product of a text's and an item's repeats; blocks change no result."""
+    item = " ".join(["lorem ipsum"] * 20 + ["dolor sit amet"] * 7)
+    index = decontamination.Seeds([(1, item)], 3, 0.6, 6, 3)
+    index.choose(np.zeros(len(index.every), np.int64))
+
+    def hashed(text):
+        return pa.RecordBatch.from_pydict({"doc_id": [5], "words": [decontamination._words(pa.array([text]))[0].astype("<u8").tobytes()]})
+
+    part = hashed("lorem ipsum " * 830_000 + item + " lorem ipsum" * 100)  # 10 MB
+    tracemalloc.start()
+    got = list(decontamination._aligned(part, index))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[:3] + r[4:] for r in got] == [(5, 1, 1.0, 1_660_060)] and peak < 200 << 20, peak
+    assert list(decontamination._aligned(hashed("lorem ipsum " * 100_000 + "dolor " * 100_000), index))[0][2] == score_by_hand("lorem ipsum " * 100 + "dolor " * 100, item)
+
+
+def test_blocks_of_alignment_change_nothing(monkeypatch):
+    rng = random.Random(8)
+    item = " ".join(rng.choice("abcde") for _ in range(12))
+    texts = [" ".join(rng.choice("abcdefgh" if k % 2 else "abcde") for _ in range(400)) for k in range(30)] + [item + " x" * 300 + " " + item, item]
+    index = decontamination.Seeds([(1, item), (2, item[4:])], 3, 0.6, 6, 3)
+    index.choose(np.zeros(len(index.every), np.int64))
+    words = [decontamination._words(pa.array([t]))[0].astype("<u8").tobytes() for t in texts]
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "words": words})
+    whole = list(decontamination._aligned(part, index))
+    assert {r[0]: r[2] for r in whole if r[1] == 1} == {i: s for i, t in enumerate(texts) if (s := score_by_hand(t, item)) >= 0.6}
+    monkeypatch.setattr(decontamination, "BLOCK", 7)
+    monkeypatch.setattr(decontamination, "OWNERS", 3)
+    assert list(decontamination._aligned(part, index)) == whole
+
+
 def test_decontamination_of_copies_with_most_trigrams_broken(spark):
     item = " ".join(f"t{i}" for i in range(20))
     changed = [" ".join(f"x{i}" if i in at else f"t{i}" for i in range(20)) for at in ((4, 9, 14), (3, 8, 13, 17), (2, 5, 8, 11, 14, 17))]
