@@ -5,15 +5,16 @@ they begin) that tell toxic documents from others, chosen one after another unti
 times, so that words of one group of copies do not enter. A word meets the lexicon exactly, or through its Levenshtein
 automaton run along the lexicon's trie (distance 1 from 5 letters on, 2 from 12 on); terms that are near to words of clean
 documents are left out of the trie. The context window of each hit tells quotation from abuse: hits whose line opens a
-quotation shortly before and closes it shortly after count apart, and not in the share of hits.
+quotation shortly before and closes it shortly after (double or single marks), or starts with ">", count apart, and not in
+the share of hits.
 
 A logistic model of exact and near hits, quoted or not, gives the score. Labelled texts seldom hold misspelled or quoted
 terms, so the model also learns from variants of the toxic ones: with a letter of each exact hit changed (still toxic),
 and with each hit in quotation marks (not toxic). Unquoted hits never lower a score; quoted ones may.
 
 Everything is learned from at most `max_train` labelled documents (a documented bound; they are those with the least
-hashes), so the lexicon, its counts and the model are small and bounded: a term stands in `least_docs` toxic ones at
-least, and the `max_terms` that tell most are looked at. Scoring reads every document whole.
+hashes), so the lexicon, its counts and the model are bounded by these: a term stands in `least_docs` toxic ones at
+least, and all that do are looked at. Scoring reads every document whole.
 
 Cases: null and empty texts have no hits and get the score of a text without any. Very long texts are scored whole.
 Documents without a label, or with a null one, are not learned from; a document labelled more than once counts as toxic if
@@ -43,6 +44,7 @@ WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6, 7, 8)
 OPEN, CLOSE = "“„«‹", "”“»›"  # besides the straight mark, which is both
 MARK = re.compile(f'["{OPEN}{CLOSE}]')
+SINGLE = re.compile(r"(?<!\w)(?P<o>['‘])(?=\w)|(?<=[\w.,!?])['’](?!\w)")  # no apostrophes within words
 REACH = 80
 CACHE = 200_000
 VARIANT = 0.5  # how much a variant weighs in learning
@@ -174,31 +176,37 @@ def misspelled(word: str) -> str:
 
 
 class Quotes:
-    """The quotation marks of a text; straight ones open and close by turns within each line."""
+    """The quotation marks of a text, and its lines that start with ">"; straight marks open and close by turns within each
+    line, single ones by what stands beside them."""
 
     def __init__(self, text: str):
         self.marks = [(m.start(), m[0]) for m in MARK.finditer(text)]
-        self.at = [i for i, _ in self.marks]
-        self.lines = [m.start() for m in re.finditer("\n", text)] if self.marks else []
+        self.single = [(m.start(), "‘" if m["o"] else "’") for m in SINGLE.finditer(text)] if "'" in text or "’" in text else []
+        self.replies = {m.start(1) for m in re.finditer(r"^([ \t]*)>", text, re.M)} if ">" in text else set()
+        self.lines = [m.start() for m in re.finditer("\n", text)] if self else []
         self.straight = [i for i, c in self.marks if c == '"']
 
     def __bool__(self) -> bool:
-        return bool(self.marks)
+        return bool(self.marks or self.single or self.replies)
 
     def around(self, start: int, end: int) -> bool:
-        """Whether a quotation opens before and closes after, within the context window and the line."""
+        """Whether a quotation opens before and closes after, within the context window and the line, or the line is one."""
         line = bisect_left(self.lines, start)
         low = self.lines[line - 1] if line else -1
         high = self.lines[line] if line < len(self.lines) else end + REACH
-        before = bisect_left(self.at, start) - 1
-        after = before + 1
-        if before < 0 or self.at[before] < max(low, start - REACH) or after == len(self.at) or self.at[after] >= min(high, end + REACH):
-            return False
-        left, right = self.marks[before][1], self.marks[after][1]
-        if left == '"':
-            opened = bisect_left(self.straight, start) - bisect_left(self.straight, low)
-            return opened % 2 == 1 and right == '"'
-        return left in OPEN and right in CLOSE
+        if low + 1 in self.replies:
+            return True
+        left, right = self._beside(self.marks, start, end, low, high)
+        if left == right == '"' and (bisect_left(self.straight, start) - bisect_left(self.straight, low)) % 2 == 1:
+            return True
+        return left in OPEN and right in CLOSE if left and right and left != '"' else self._beside(self.single, start, end, low, high) == ("‘", "’")
+
+    @staticmethod
+    def _beside(marks: list[tuple[int, str]], start: int, end: int, low: int, high: int) -> tuple[str, str]:
+        """The marks before and after a hit; empty where they are too far."""
+        after = bisect_left(marks, (start,))
+        left = marks[after - 1][1] if after and marks[after - 1][0] >= max(low, start - REACH) else ""
+        return left, marks[after][1] if after < len(marks) and marks[after][0] < min(high, end + REACH) else ""
 
 
 def held_out(id_col: str) -> Column:
@@ -219,7 +227,7 @@ def _terms(text: str) -> set[str]:
     return {w for w in words if len(w) >= 3} | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_terms: int = 3000, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The lexicon and the weights, from labelled documents that are not held out."""
     from .tables import stored
 
@@ -241,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 12_000, max_terms
 
     counts = train.mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    best = counts.where(F.col("n1") >= least_docs).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("n1") * F.col("odds")), "term").limit(max_terms)
+    best = counts.where(F.col("n1") >= least_docs).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("n1") * F.col("odds")), "term")
     terms = [r["term"] for r in best.select("term").collect()]
     number = {t: i for i, t in enumerate(terms)}
 
