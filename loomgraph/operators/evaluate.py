@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 
 def recall_at_k(ranked: DataFrame, gold: DataFrame, ks: list[int], key: str = "chunk_id") -> DataFrame:
     """qid, n_gold and recall_at_k for each k, of every question with gold keys."""
@@ -83,12 +85,23 @@ def judge_summary(scores: DataFrame, dims: list[str], by: str = "run") -> DataFr
     return long.groupBy(by, "dimension").agg(F.count("score").alias("n"), F.round(F.avg("score"), 9).alias("avg_score"))
 
 
-def context_precision(verdicts: DataFrame) -> DataFrame:
-    """qid, precision: average precision of ranked 0/1 verdicts; 0 where none is 1."""
-    run = Window.partitionBy("qid").orderBy("rank")
-    at = F.sum("verdict").over(run.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(run)
-    rows = verdicts.withColumn("p", F.when(F.col("verdict") == 1, at))
-    return rows.groupBy("qid").agg(F.round(F.coalesce(F.sum("p") / F.sum("verdict"), F.lit(0.0)), 9).alias("precision"))
+def context_precision(verdicts: DataFrame, parts: int = 64) -> DataFrame:
+    """qid, precision: average precision of 0/1 verdicts in the order of their ranks (any numbers; a null rank comes first,
+    a null verdict counts as a place); 0 where none is 1. Equal ranks are placed by their verdict, 1 last.
+
+    A question's rows are cut into about `parts` stretches of ranks, whose sizes and sums are added up first, so that no
+    task holds a whole question."""
+    rows = verdicts.select("qid", "rank", "verdict")
+    bounds = stored(rows.groupBy(F.col("qid").alias("q")).agg(F.percentile_approx("rank", [i / parts for i in range(1, parts)]).alias("bounds")))  # read twice: kept as they are
+    part = F.coalesce(F.size(F.filter("bounds", lambda x: x < F.col("rank"))), F.lit(0)).alias("part")
+    rows = rows.join(bounds, F.expr("qid <=> q")).select("qid", "rank", "verdict", part)
+    sums = rows.groupBy(F.col("qid").alias("q"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("verdict").alias("s"))
+    before = Window.partitionBy("q").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # at most `parts` rows
+    sums = sums.select("q", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("hits_before"))
+    run = Window.partitionBy("qid", "part").orderBy("rank", "verdict")
+    rows = rows.withColumn("n", F.row_number().over(run)).withColumn("hits", F.sum("verdict").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(sums, F.expr("qid <=> q and part = p")).withColumn("at", F.when(F.col("verdict") == 1, (F.col("hits") + F.col("hits_before")) / (F.col("n") + F.col("n_before"))))
+    return rows.groupBy("qid").agg(F.round(F.coalesce(F.sum("at") / F.sum("verdict"), F.lit(0.0)), 9).alias("precision"))
 
 
 def score_delta(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -312,10 +312,11 @@ def _holding(long: DataFrame, short: DataFrame) -> DataFrame:
     return within.join(begins, "gram").where(F.contains("l", "s")).select("l", "s").distinct()
 
 
-def match_personas(terms: DataFrame, personas: DataFrame, part: bool = False) -> DataFrame:
+def match_personas(terms: DataFrame, personas: DataFrame, part: bool = False, block: int = 1024) -> DataFrame:
     """gid, persona: personas one of whose concepts is one of the group's terms; all personas where none is.
 
-    With part, it is enough that one holds the other (for communities); empty terms and concepts meet nothing then."""
+    With part, it is enough that one holds the other (for communities); empty terms and concepts meet nothing then. Groups
+    that get all personas meet them in blocks of about `block`, however many personas there are."""
     asked = terms.select("gid", F.lower("term").alias("t"))
     known = personas.select("persona", F.lower("concept").alias("c"))
     if part:
@@ -327,8 +328,11 @@ def match_personas(terms: DataFrame, personas: DataFrame, part: bool = False) ->
         pairs = asked.select("t", F.col("t").alias("c")).distinct()
     met = asked.join(pairs, "t").join(known, "c").select("gid", "persona").distinct()
     none = terms.select("gid").distinct().join(met.select("gid").distinct(), "gid", "left_anti")
-    every = personas.agg(F.array_sort(F.collect_set("persona")).alias("p"))  # a short list of personas, by design
-    return met.unionAll(none.join(F.broadcast(every)).select("gid", F.explode("p").alias("persona")))
+    every = personas.where("persona is not null").select("persona").distinct()
+    blocks = -(-every.count() // block) or 1
+    lists = every.groupBy(F.pmod(F.xxhash64("persona"), F.lit(blocks)).alias("block")).agg(F.collect_list("persona").alias("p"))
+    dealt = none.select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    return met.unionAll(dealt.join(lists, "block").select("gid", F.explode("p").alias("persona")))
 
 
 def sample_trees(relations: DataFrame, degree: DataFrame, hub_keys: DataFrame, n: int, size: int, seed: str, low: int = 2, high: int = 40) -> DataFrame:

@@ -24,13 +24,18 @@ def sources(relations: DataFrame, assertions: DataFrame, most: int = 3) -> DataF
 
 
 def local_relations(seeds: DataFrame, relations: DataFrame, weights: DataFrame, degrees: DataFrame, pool: int) -> DataFrame:
-    """qid, rank, relation_id, weight: relations at a seed (qid, entity_key), by weight, then the ends' degrees."""
+    """qid, rank, relation_id, weight: relations at a seed (qid, entity_key), by weight, then the ends' degrees.
+
+    Pools over 1000, which Spark does not cut before the shuffle, are first cut within 16 shares of a question's relations."""
     ends = relations.select("relation_id", "subject_key", "object_key", F.explode(F.array("subject_key", "object_key")).alias("entity_key"))
     met = seeds.join(ends, "entity_key").select("qid", "relation_id", "subject_key", "object_key").dropDuplicates(["qid", "relation_id"])
     degree = lambda side: degrees.select(F.col("entity_key").alias(f"{side}_key"), F.col("degree").alias(f"{side}_degree"))
     met = met.join(weights.select("relation_id", F.col("aggregated_weight").alias("weight")), "relation_id", "left").join(degree("subject"), "subject_key", "left").join(degree("object"), "object_key", "left")
     met = met.withColumn("weight", F.round(F.coalesce("weight", F.lit(0.0)), 9)).withColumn("degrees", F.coalesce("subject_degree", F.lit(0)) + F.coalesce("object_degree", F.lit(0)))
-    return top_per(met, pool, F.desc("weight"), F.desc("degrees"), "relation_id").select("qid", "rank", "relation_id", "weight")
+    order = (F.desc("weight"), F.desc("degrees"), "relation_id")
+    if pool > 1000:
+        met = top_per(met.withColumn("share", F.pmod(F.xxhash64("relation_id"), F.lit(16))), pool, *order, by=["qid", "share"])
+    return top_per(met, pool, *order).select("qid", "rank", "relation_id", "weight")
 
 
 def expand_context(wanted: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ def seeds(g: Graph) -> DataFrame:
 
 
 SEEDS_SQL = "seeds AS (SELECT CAST(qid AS BIGINT) AS qid, sha1('entity||' || lower(name)) AS entity_key FROM (VALUES (1, 'Supplier 1'), (1, 'Part 1'), (2, 'Customer 7'), (3, 'Nobody 0')) v(qid, name))"
+ASKED_SQL = SEEDS_SQL[:-1] + " UNION ALL SELECT item_id + 100, sha1('entity||' || unnest(['supplier ', 'part ']) || item_id) FROM benchmark)"
 DEGREE_SQL = "degree AS (SELECT entity_key, count(DISTINCT relation_id) AS degree FROM (SELECT relation_id, unnest([subject_key, object_key]) AS entity_key FROM relations WHERE subject_key <> object_key) GROUP BY 1)"
 HUBS_SQL = f"{DEGREE_SQL}, hubs AS (SELECT entity_key, degree FROM degree WHERE degree >= (SELECT greatest(50, CAST(floor(quantile_cont(degree, 0.99)) AS INTEGER)) FROM degree))"
 WEIGHT_SQL = "weights AS (SELECT relation_id, count(*) AS support_count, avg(confidence) AS avg_confidence, avg(strength) AS avg_strength, count(*) * avg(strength) / 10 * avg(confidence) AS aggregated_weight FROM assertions GROUP BY 1)"
@@ -432,14 +433,19 @@ def weights(g: Graph) -> DataFrame:
     return build.relation_aggregates(g.assertions, g.relations)
 
 
-LOCAL_SQL = f"""{SEEDS_SQL}, {DEGREE_SQL}, {WEIGHT_SQL},
+LOCAL_SQL = f"""{ASKED_SQL}, {DEGREE_SQL}, {WEIGHT_SQL},
 met AS (SELECT DISTINCT qid, r.relation_id, subject_key, object_key FROM seeds s JOIN relations r ON s.entity_key IN (r.subject_key, r.object_key)),
 loc AS (SELECT qid, relation_id, weight, CAST(row_number() OVER (PARTITION BY qid ORDER BY weight DESC, d DESC, relation_id) AS INTEGER) AS rank FROM (
     SELECT qid, m.relation_id, round(coalesce(aggregated_weight, 0), 9) AS weight, coalesce(a.degree, 0) + coalesce(b.degree, 0) AS d FROM met m LEFT JOIN weights w ON w.relation_id = m.relation_id LEFT JOIN degree a ON a.entity_key = subject_key LEFT JOIN degree b ON b.entity_key = object_key))"""
 
 
+def asked(g: Graph) -> DataFrame:
+    """qid, entity_key: the seeds, and those of the benchmark's items, whose numbers begin after 100."""
+    return seeds(g).unionAll(item_seeds(g).withColumn("qid", F.col("qid") + 100))
+
+
 def local(g: Graph, pool: int = 500) -> DataFrame:
-    return graph.local_relations(seeds(g), g.relations, weights(g), graph.degrees(g.relations), pool)
+    return graph.local_relations(asked(g), g.relations, weights(g), graph.degrees(g.relations), pool)
 
 
 @query("f2_local_relations", f"+{LOCAL_SQL} SELECT qid, rank, relation_id, round(weight, 6) AS weight FROM loc WHERE rank <= 500")
@@ -536,7 +542,7 @@ def lists(g: Graph) -> list[DataFrame]:
 
 def local_sql(seeds_sql: str) -> str:
     """loc (qid, relation_id, weight, rank) of the given seeds."""
-    return LOCAL_SQL.replace(SEEDS_SQL, seeds_sql)
+    return LOCAL_SQL.replace(ASKED_SQL, seeds_sql)
 
 
 ITEM_SEEDS_SQL = "seeds AS (SELECT item_id AS qid, sha1('entity||' || unnest(['supplier ', 'part ']) || item_id) AS entity_key FROM benchmark)"
@@ -601,7 +607,7 @@ def _(g):
 @query("j11_context_precision", "SELECT qid, round(coalesce(sum(CASE WHEN verdict = 1 THEN s * 1.0 / rank END) / sum(verdict), 0), 9) AS precision FROM (SELECT *, sum(verdict) OVER (PARTITION BY qid ORDER BY rank) AS s FROM (SELECT source AS qid, quality AS verdict, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM labels JOIN documents USING (doc_id))) GROUP BY 1", tables=False)
 def _(g):
     rows = g.table("labels").join(g.table("documents").select("doc_id", F.col("source").alias("qid")), "doc_id")
-    return evaluate.context_precision(retrieval.top_per(rows, 2**31 - 1, "doc_id").select("qid", "rank", F.col("quality").alias("verdict")))
+    return evaluate.context_precision(rows.select("qid", F.col("doc_id").alias("rank"), F.col("quality").alias("verdict")))
 
 
 @query("k1_chunk_group", "SELECT count(DISTINCT regexp_replace(chunk_id, '_chunk_[0-9]+$', '')) AS n_groups, count(*) AS n_chunks FROM chunks")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, fusion, goldset, graph, names, ppr, retrieval, routing, runs
 from ..sources.fixtures import Graph
 from ..sources.storage import stored
-from .catalogue import BM25_SQL, DEGREE_SQL, HUBS_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, SEEDS_SQL, WEIGHT_SQL, item_seeds, lists, local, query, seeds, text_queries, vector_of, vector_queries, walked, weights
+from .catalogue import BM25_SQL, DEGREE_SQL, HUBS_SQL, LISTS_SQL, LOCAL_SQL, RELSCORE_SQL, SEEDS_SQL, WEIGHT_SQL, asked, item_seeds, lists, local, query, seeds, text_queries, vector_of, vector_queries, walked, weights
 from .more import KNN_SQL, SUB_SQL, subgraphs
 
 VEC_SQL = "rv AS (SELECT relation_id, embedding FROM (SELECT relation_id, CAST('0x' || substr(relation_id, 1, 4) AS BIGINT) % (SELECT count(*) FROM embeddings) AS vec_id FROM relations) JOIN embeddings USING (vec_id))"
@@ -46,7 +46,7 @@ def _(g):
 @query("f11_single_hop", f"""+{LOCAL_SQL}, sup AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY support DESC, chunk_id) AS INTEGER) AS rank FROM (SELECT qid, chunk_id, count(DISTINCT l.relation_id) AS support FROM (SELECT * FROM loc WHERE rank <= 10) l JOIN assertions a ON a.relation_id = l.relation_id GROUP BY 1, 2))
 SELECT qid, rank, chunk_id, CAST(support AS DOUBLE) AS score FROM sup WHERE rank <= 5""")
 def _(g):
-    return runs.single_hop(seeds(g), g.relations, g.assertions, g.chunks, weights(g)).select("qid", "rank", "chunk_id", "score")
+    return runs.single_hop(asked(g), g.relations, g.assertions, g.chunks, weights(g)).select("qid", "rank", "chunk_id", "score")
 
 
 @query("f12_dual_level", f"""+{LOCAL_SQL}, {NEAR_SQL}, own AS (SELECT qid, relation_id FROM loc WHERE rank <= 30), far AS (SELECT qid, relation_id FROM near WHERE rank <= 80 UNION SELECT qid, relation_id FROM loc WHERE rank BETWEEN 21 AND 60),
@@ -58,7 +58,7 @@ FROM fin f JOIN chunks c ON c.chunk_id = f.chunk_id LEFT JOIN chunks p ON p.doc
 def _(g):
     near = runs.global_relations(relation_vectors(g), vector_queries(g), 80)
     proof = local(g, 60).select("qid", "rank", "relation_id").where("rank > 20")
-    return runs.dual_level(seeds(g), near.select("qid", "rank", "relation_id").unionAll(proof), g.relations, g.assertions, g.chunks, weights(g))
+    return runs.dual_level(asked(g), near.select("qid", "rank", "relation_id").unionAll(proof), g.relations, g.assertions, g.chunks, weights(g))
 
 
 def rated(rows: DataFrame) -> DataFrame:
@@ -243,8 +243,8 @@ def _(g):
 b AS (SELECT qid, s.rank AS bridge_rank, r.relation_id FROM sup s JOIN assertions a ON a.chunk_id = s.chunk_id JOIN relations r ON r.relation_id = a.relation_id WHERE s.rank <= 5 AND contains(lower(subject || object), 'customer ' || qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s.rank, r.relation_id) = 1)
 SELECT qid, bridge_rank, relation_id FROM (SELECT DISTINCT qid FROM seeds) LEFT JOIN b USING (qid)""")
 def _(g):
-    ranked = runs.single_hop(seeds(g), g.relations, g.assertions, g.chunks, weights(g)).select("qid", "rank", "chunk_id")
-    bridges = seeds(g).select("qid").distinct().withColumn("bridge", F.concat(F.lit("Customer "), F.col("qid").cast("string")))
+    ranked = runs.single_hop(asked(g), g.relations, g.assertions, g.chunks, weights(g)).select("qid", "rank", "chunk_id")
+    bridges = asked(g).select("qid").distinct().withColumn("bridge", F.concat(F.lit("Customer "), F.col("qid").cast("string")))
     return evaluate.bridge_rank(ranked, g.assertions, g.relations, bridges)
 
 

@@ -1,5 +1,7 @@
 """Graph operators against hand-computed tables and invariants."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,28 @@ def test_bridge_rank(spark):
     assert got == {1: (2, "r2"), 2: (None, None), 3: (None, None)}
 
 
+def test_context_precision_of_long_lists(spark):
+    """Stretches of ranks give what one running sum gives, with big ids, ties, nulls and a hot question."""
+    rng = random.Random(4)
+    rows = [(1, 2**60 + i, rng.randrange(2)) for i in range(3000)] + [(None, i // 3, rng.choice([0, 1, None])) for i in range(90)] + [(2, 5, 0), (3, None, 1), (3, 7, 1), (4, None, None)]
+    rng.shuffle(rows)
+    got = {r["qid"]: r["precision"] for r in evaluate.context_precision(spark.createDataFrame(rows, "qid long, rank long, verdict int"), parts=7).collect()}
+    for qid in (None, 1, 2, 3, 4):
+        own = sorted((-1 if r is None else r, -1 if v is None else v) for q, r, v in rows if q == qid)
+        hits = [i for i, (_, v) in enumerate(own, 1) if v == 1]
+        assert abs(got[qid] - (sum(k / i for k, i in enumerate(hits, 1)) / len(hits) if hits else 0)) < 1e-8
+    assert evaluate.context_precision(spark.createDataFrame([], "qid long, rank long, verdict int")).collect() == []
+
+
+def test_large_pools_are_cut_in_shares(spark):
+    relations = spark.range(2600).select(F.concat(F.lit("r"), "id").alias("relation_id"), F.lit("hub").alias("subject_key"), F.concat(F.lit("e"), "id").alias("object_key"))
+    weights = spark.range(2600).select(F.concat(F.lit("r"), "id").alias("relation_id"), (F.col("id") % 7).cast("double").alias("aggregated_weight"))
+    asked = spark.createDataFrame([(1, "hub"), (2, "e5")], "qid long, entity_key string")
+    got = graph.local_relations(asked, relations, weights, graph.degrees(relations), 2000).where("qid = 1").orderBy("rank").collect()
+    want = sorted((-(i % 7), f"r{i}") for i in range(2600))[:2000]
+    assert [(r["rank"], r["relation_id"]) for r in got] == [(k, i) for k, (_, i) in enumerate(want, 1)]
+
+
 def test_personas_of_communities(spark):
     from loomgraph.operators import goldset
 
@@ -116,6 +140,9 @@ def test_personas_of_communities(spark):
         met = [p for p, c in personas if t and (t.lower() in c.lower() or c.lower() in t.lower())]
         want |= {(gid, p) for p in met or [p for p, _ in personas]}
     assert got == want
+    dealt = goldset.match_personas(spark.createDataFrame(terms, "gid long, term string"), spark.createDataFrame([*personas, (None, "none")], "persona string, concept string"), part=True, block=1)
+    assert sorted(map(tuple, dealt.collect())) == sorted(want)
+    assert goldset.match_personas(spark.createDataFrame(terms, "gid long, term string"), spark.createDataFrame([], "persona string, concept string")).collect() == []
 
 
 def test_admit_and_prefilter(spark):
