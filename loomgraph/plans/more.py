@@ -38,9 +38,12 @@ def _(g):
     return g.chunks.where("tender_id = 'MACHINERY'").select("tender_id", "doc", "file_name").distinct()
 
 
-@query("c6_search_summaries", "SELECT qid, CAST(rank AS INTEGER) AS rank, doc_url FROM (SELECT q.qid, p.url AS doc_url, row_number() OVER (PARTITION BY q.qid ORDER BY p.url) AS rank FROM (VALUES (1::BIGINT, 'example.com'), (2::BIGINT, 'nation')) q(qid, word) JOIN pages p ON contains(lower(p.html), word) OR contains(lower(p.url), word)) WHERE rank <= 5", tables=False)
+@query("c6_search_summaries", """WITH q AS (SELECT * FROM (VALUES (1::BIGINT, 'example.com'), (2::BIGINT, 'nation')) v(qid, word) UNION ALL SELECT item_id + 100, lower(regexp_extract(text, '[A-Za-z]{5,}')) FROM benchmark)
+SELECT qid, CAST(rank AS INTEGER) AS rank, doc_url FROM (SELECT qid, p.url AS doc_url, row_number() OVER (PARTITION BY qid ORDER BY p.url) AS rank FROM q JOIN pages p ON contains(lower(p.html), word) OR contains(lower(p.url), word) WHERE word <> '') WHERE rank <= 5""", tables=False)
 def _(g):
+    """Two fixed words, and the first word of five letters or more of each benchmark item."""
     words = g.spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).cast("long").alias("qid"), F.lit("example.com").alias("word")), F.struct(F.lit(2).cast("long").alias("qid"), F.lit("nation").alias("word")))).alias("w")).select("w.*")
+    words = words.unionAll(g.table("benchmark").select(F.col("item_id") + 100, F.regexp_extract("text", "[A-Za-z]{5,}", 0).alias("word")).where("word != ''"))
     return lookups.search_summaries(g.table("pages").select(F.col("url").alias("doc_url"), F.col("html").alias("summary")), words).select("qid", "rank", "doc_url")
 
 
