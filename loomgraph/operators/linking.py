@@ -124,13 +124,14 @@ def loose_terms(queries: DataFrame) -> DataFrame:
     return every.select("qid", F.array_join(F.array_distinct(F.flatten(F.transform("a", lambda x: x["terms"]))), " OR ").alias("terms"))
 
 
-def enrich_entities(keys: DataFrame, mentions: DataFrame, relations: DataFrame, n_chunks: int = 2, n_labels: int = 8, n_near: int = 8) -> DataFrame:
+def enrich_entities(keys: DataFrame, mentions: DataFrame, relations: DataFrame, n_chunks: int = 2, n_labels: int = 8, n_near: int = 8, full: Callable[[str], Column] = F.col) -> DataFrame:
     """entity_key, chunks, labels, neighbours of the keys: chunks that mention it, its relations' labels, and entities at the
-    other ends, outgoing ones first; each cut and in order."""
+    other ends, outgoing ones first; each cut and in order. full: the id that a column's keys stand for."""
     asked = keys.select("entity_key").distinct()
 
     def few(df: DataFrame, most: int, name: str, *order: str) -> DataFrame:
-        kept = top_per(df, most, *order, name, by="entity_key", rank="_n")
+        key = full(name) if name == "neighbour" else F.col(name)
+        kept = top_per(df, most, *order, key, by="entity_key", rank="_n").withColumn(name, key)
         return kept.groupBy("entity_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", name))), lambda x: x[name]), ",").alias(f"{name}s"))
 
     out = relations.where("subject_key <> object_key").join(asked.withColumnRenamed("entity_key", "subject_key"), "subject_key").select(F.col("subject_key").alias("entity_key"), "label", F.col("object_key").alias("neighbour"), F.lit(0).alias("side"))
