@@ -112,3 +112,29 @@ def test_communities_have_modularity(spark):
     degree = {n: sum(w for a, b, w in edges if n in (a, b)) for n in got}
     q = sum(w for a, b, w in edges if got[a] == got[b]) / total - sum(degree[a] * degree[b] for a in got for b in got if got[a] == got[b]) / (2 * total) ** 2
     assert q > 0.4
+
+
+def test_slips_meet_few_names(spark, monkeypatch):
+    """Names with a letter less or more are found among a few candidates each, not among all names alike; others as before."""
+    rng = random.Random(4)
+    names = [f"Supplier {i}" for i in range(400)] + ["Supplierr 7", "Suplier 12x", "ab", "abcdef"]
+    asked = [f"Suplier {i}" for i in range(0, 400, 3)] + [f"Suppplier {i}" for i in range(1, 90, 7)] + [f"Supplire {i}" for i in range(5)] + ["a b", "abcde f", "axbxcxdxexf"]
+    rng.shuffle(names)
+    met, rated = [], lookups._ratios
+    monkeypatch.setattr(lookups, "_ratios", lambda pairs, least: met.append(pairs.count()) or rated(pairs, least))
+    rows = spark.createDataFrame([(1, x) for x in names], "scope long, name string")
+    got = lambda words: {r["qid"]: r["name"] for r in lookups.close_matches(spark.createDataFrame([(i, 1, x) for i, x in enumerate(words)], "qid long, scope long, asked string"), rows, 0.6).collect()}
+    close = lambda words: {i: f[0] for i, w in enumerate(words) if (f := get_close_matches(w, names, n=1, cutoff=0.6))}
+    slips = [f"Suplier {i}" for i in range(400)]
+    assert got(slips) == close(slips)
+    assert sum(met) < 3 * len(slips)
+    assert got(asked) == close(asked)
+
+
+def test_words_meet_the_texts_that_hold_them(spark):
+    """A long number is looked up by more than three of its digits."""
+    texts = spark.createDataFrame([(f"supplier {i}",) for i in range(3000)], "low string")
+    words = spark.createDataFrame([(str(i),) for i in (1, 77, 123, 2999, 5000)] + [("supplier 12",), ("plier 2",), ("r 2999",)], "want string")
+    want = sorted((f"supplier {i}", w["want"]) for w in words.collect() for i in range(3000) if w["want"] in f"supplier {i}")
+    for longest in (3, 8):
+        assert sorted(tuple(r) for r in lookups.holding(texts, words, ["low"], "low", "want", longest=longest).collect()) == want
