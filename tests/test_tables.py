@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import build, goldset, graph
 from loomgraph.plans import catalogue, runs
-from loomgraph.sources.fixtures import Graph, named
+from loomgraph.sources.fixtures import Graph, full_id, named
 
 
 def size(df):
@@ -86,3 +86,15 @@ def test_paths_from_known_nodes(spark):
     r = spark.createDataFrame([(f"r{i}", f"n{i % 7}", f"n{(i * 3 + 1) % 11}") for i in range(40)], "relation_id string, subject_key string, object_key string")
     hubs = spark.createDataFrame([("n1", 9)], "entity_key string, degree int")
     assert rows(goldset.sample_paths(r, hubs, 5, 2, "s", nodes=graph.degrees(r))) == rows(goldset.sample_paths(r, hubs, 5, 2, "s", keep=lambda df: df))
+
+
+def test_ids_are_made_once(spark, sf_dir):
+    """An id is worked out once for a row: names and keys have projections of their own, and no join makes the ids anew to drop null ones."""
+    g = Graph(spark, sf_dir)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (g.relations.select("relation_id"), g.assertions.select("relation_id"), named(g.short.relations.select("relation_id"))):
+        assert plan(df).count("sha1(") <= 5
+    attached = catalogue.queries()["b21_attach_embeddings"](spark, sf_dir)
+    assert not any("Filter" in line and "conv(" in line for line in plan(attached).splitlines())
+    odd = spark.createDataFrame([("S12>P34",), ("already an id",), (None,), ("S>P1",), ("S-1>P2",)], "relation_id string")
+    assert rows(named(odd)) == rows(odd.select(full_id(F.col("relation_id")).alias("relation_id")))
