@@ -98,3 +98,8 @@ def test_ids_are_made_once(spark, sf_dir):
     assert not any("Filter" in line and "conv(" in line for line in plan(attached).splitlines())
     odd = spark.createDataFrame([("S12>P34",), ("already an id",), (None,), ("S>P1",), ("S-1>P2",)], "relation_id string")
     assert rows(named(odd)) == rows(odd.select(full_id(F.col("relation_id")).alias("relation_id")))
+
+
+def test_payloads_are_parsed_once(spark, sf_dir):
+    for name in ("b4_norm_keywords", "b7_explode_relations", "b9_clamp_scores"):
+        assert catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
