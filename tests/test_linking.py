@@ -6,6 +6,7 @@ from difflib import SequenceMatcher, get_close_matches
 from pyspark.sql import functions as F
 
 from loomgraph.operators import fusion, goldset, linking, lookups, retrieval, routing
+from loomgraph.sources.storage import stored
 
 
 def resolved(word, names):
@@ -42,6 +43,22 @@ def test_docs_by_entity_and_domain(spark):
     assert got == {1: ("low", 7), 2: ("high", 8), 3: ("high", 8)}
 
 
+def test_docs_by_entity_keeps_each_step(spark):
+    """A name's first documents are picked before it is resolved, and no step holds the sorts of all joins at once."""
+    kept = []
+
+    def keep(df):
+        kept.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), stored(df)))
+        return kept[-1][1]
+
+    held = spark.createDataFrame([(1, o, n, d) for o, n in ((0, "Gulf Pump"), (1, "Valve"), (2, "Valve")) for d in list(range(15)) * 2], "scope long, ord long, name string, doc long")
+    asked = spark.createDataFrame([(1, 1, "pump"), (2, 1, "Vavle"), (3, 1, "Gulf Pump of Oslo")], "qid long, scope long, asked string")
+    got = sorted((r["qid"], r["rank"], r["name"], r["doc"]) for r in lookups.docs_by_entity(asked, held, 4, keep).collect())
+    assert got == [(q, d + 1, n, d) for q, n in ((1, "Gulf Pump"), (2, "Valve"), (3, "Gulf Pump")) for d in range(4)]
+    assert kept[0][1].count() == 12
+    assert max(n for n, _ in kept) <= 6
+
+
 def likeness(hint, name, base, mediated):
     clean = lambda x: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in x.lower()).split())
     h, n = clean(hint), clean(name)
