@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,20 +83,23 @@ def update_column(target: DataFrame, rows: DataFrame, key: str, column: str) ->
     return target.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def repeated_keys(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 def check_constraints(nodes: dict[str, tuple[DataFrame, str]], edges: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """check_name, violations: repeated keys of node tables, and edge ends that name no node."""
+    """check_name, violations: repeated keys of node tables, and edge ends that name no node. The rows of a node table and the
+    ends that name it are counted by key together, so each is shuffled once, without a sort, and ends that repeat as a count."""
+    if unknown := {node for *_, node in edges} - set(nodes):
+        raise KeyError(f"no node tables: {sorted(unknown)}")
     out = None
     for name, (df, key) in nodes.items():
-        row = repeated_keys(df, key).agg(F.count(F.lit(1)).alias("violations")).select(F.lit(f"unique {name}").alias("check_name"), "violations")
-        out = row if out is None else out.unionAll(row)
-    for name, df, column, node in edges:
-        table, key = nodes[node]
-        row = df.join(table.select(F.col(key).alias(column)), column, "left_anti").agg(F.count(F.lit(1)).alias("violations"))
-        out = out.unionAll(row.select(F.lit(f"{name}.{column} in {node}").alias("check_name"), "violations"))
+        tables = [(df, key)] + [(e, column) for _, e, column, node in edges if node == name]
+        checks = [f"unique {name}"] + [f"{e}.{column} in {node}" for e, _, column, node in edges if node == name]
+        n = [f"n{i}" for i in range(len(tables))]
+        rows = reduce(DataFrame.unionAll, [t.select(F.col(c).alias("key"), *[F.lit(int(i == j)).alias(x) for j, x in enumerate(n)]) for i, (t, c) in enumerate(tables)])
+        counts = rows.groupBy("key").agg(*[F.sum(x).alias(x) for x in n])
+        missing = F.col("key").isNull() | (F.col("n0") == 0)
+        found = counts.agg(F.count_if(F.col("n0") > 1).alias("n0"), *[F.coalesce(F.sum(F.when(missing, F.col(x))), F.lit(0)).alias(x) for x in n[1:]])
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(x).alias("violations")) for c, x in zip(checks, n, strict=True)]))
+        part = found.select(each.alias("r")).select("r.*")
+        out = part if out is None else out.unionAll(part)
     return out
 
 

@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import build, goldset, graph
+from loomgraph.operators import build, goldset, graph, ingest
 from loomgraph.plans import catalogue, runs
 from loomgraph.sources.fixtures import Graph, full_id, named
 
@@ -103,3 +103,13 @@ def test_ids_are_made_once(spark, sf_dir):
 def test_payloads_are_parsed_once(spark, sf_dir):
     for name in ("b4_norm_keywords", "b7_explode_relations", "b9_clamp_scores"):
         assert catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_constraints_are_counted_by_key(spark, sf_dir):
+    """Repeated and missing keys, null ones too, without a join or a sort of all rows."""
+    nodes = {"a": (spark.createDataFrame([("x",), ("x",), ("y",), (None,), (None,)], "k string"), "k"), "b": (spark.createDataFrame([], "i string"), "i")}
+    e = spark.createDataFrame([("x", "1"), ("x", "1"), ("z", "2"), ("z", None), (None, "2")], "s string, o string")
+    out = ingest.check_constraints(nodes, [("e", e, "s", "a"), ("e", e, "o", "b"), ("f", e.where("s = 'y'"), "s", "a")])
+    assert rows(out) == sorted([("unique a", 2), ("unique b", 0), ("e.s in a", 3), ("e.o in b", 5), ("f.s in a", 0)], key=repr)
+    plan = catalogue.queries()["a12_check_constraints"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
