@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import build, goldset, graph, ingest
 from loomgraph.plans import catalogue, runs
-from loomgraph.sources.fixtures import Graph, full_id, named
+from loomgraph.sources.fixtures import _TABLES, Graph, full_id, named
 
 
 def size(df):
@@ -113,3 +113,20 @@ def test_constraints_are_counted_by_key(spark, sf_dir):
     assert rows(out) == sorted([("unique a", 2), ("unique b", 0), ("e.s in a", 3), ("e.o in b", 5), ("f.s in a", 0)], key=repr)
     plan = catalogue.queries()["a12_check_constraints"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Sort" not in plan
+
+
+def test_pairs_from_lines(spark, sf_dir, tmp_path):
+    """Pairs made from the stored lines are those of the given tables, and no orders are read for them."""
+    for f in Path(sf_dir).glob("*.parquet"):
+        if f.name != "part.parquet":
+            shutil.copy(f, tmp_path)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.where("p_partkey <> 3").unionAll(part.where("p_partkey = 7").withColumn("p_type", F.lit("other"))).write.parquet(str(tmp_path / "part.parquet"))
+    build = Graph._pairs.func.__wrapped__
+    each = lambda df: rows(df.withColumn("domains", F.array_sort("domains")))
+    given = each(build(Graph(spark, str(tmp_path))))
+    catalogue.queries()["b15_distribution"](spark, str(tmp_path))
+    assert [k[3] for k in _TABLES if k[2] == str(tmp_path)] == ["_lines", "_pairs"]
+    made = build(Graph(spark, str(tmp_path)))
+    assert each(made) == given
+    assert not any("orders.parquet" in f for f in made.inputFiles())
