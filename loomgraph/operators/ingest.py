@@ -85,7 +85,8 @@ def update_column(target: DataFrame, rows: DataFrame, key: str, column: str) ->
 
 def check_constraints(nodes: dict[str, tuple[DataFrame, str]], edges: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """check_name, violations: repeated keys of node tables, and edge ends that name no node. The rows of a node table and the
-    ends that name it are counted by key together, so each is shuffled once, without a sort, and ends that repeat as a count."""
+    ends that name it are counted by key together, so each is shuffled once, without a sort. Keys are dealt out before they are
+    counted: most are there once, and counts of a task's share of a table would be as large as the share."""
     if unknown := {node for *_, node in edges} - set(nodes):
         raise KeyError(f"no node tables: {sorted(unknown)}")
     out = None
@@ -94,7 +95,7 @@ def check_constraints(nodes: dict[str, tuple[DataFrame, str]], edges: list[tuple
         checks = [f"unique {name}"] + [f"{e}.{column} in {node}" for e, _, column, node in edges if node == name]
         n = [f"n{i}" for i in range(len(tables))]
         rows = reduce(DataFrame.unionAll, [t.select(F.col(c).alias("key"), *[F.lit(int(i == j)).alias(x) for j, x in enumerate(n)]) for i, (t, c) in enumerate(tables)])
-        counts = rows.groupBy("key").agg(*[F.sum(x).alias(x) for x in n])
+        counts = rows.repartition("key").groupBy("key").agg(*[F.sum(x).alias(x) for x in n])
         missing = F.col("key").isNull() | (F.col("n0") == 0)
         found = counts.agg(F.count_if(F.col("n0") > 1).alias("n0"), *[F.coalesce(F.sum(F.when(missing, F.col(x))), F.lit(0)).alias(x) for x in n[1:]])
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(x).alias("violations")) for c, x in zip(checks, n, strict=True)]))
