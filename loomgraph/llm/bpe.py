@@ -3,6 +3,7 @@
 A word's parts stand in a row of part ids (boundaries) with the ranks of adjacent parts beside them. The minimum rank
 is found by a scan, its right boundary is deleted and the ranks of its neighbours are looked up anew, until no pair
 has a rank. New words of a batch are worked on together: words of one length share a matrix, one row each. Longer words keep the same two arrays on their own. The distinct words met by a task are cached, at most CACHE.
+Texts are encoded in slices of some PART bytes and matrices have at most ROWS rows, which bounds a task's memory.
 
 Cases: null and empty texts give no ids and an empty text. Repeated rows, null ids and other columns change nothing:
 each row is encoded alone; extra columns do not pass. An empty table gives an empty table.
@@ -25,8 +26,9 @@ from .words import slices
 
 NO_RANK = np.iinfo(np.int32).max
 WIDTHS = (4, 8, 12, 16, 24, 48)  # of the shared matrices
-ROWS = 1 << 16
-CACHE = 250_000
+ROWS = 1 << 13
+PART = 1 << 19
+CACHE = 100_000
 # Letters and digits of Unicode 16, which the tokenizer knows and unicodedata (15.1) does not yet.
 NEW_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
 NEW_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
@@ -50,8 +52,11 @@ def byte_alphabet() -> list[str]:
 def later_letters() -> str:
     """Letters and digits of the installed regex that the tokenizer's Unicode version does not have."""
     new = {c for r in f"{NEW_LETTERS} {NEW_DIGITS}".split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[-1], 16) + 1)}
-    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and c not in new)
-    return "".join(regex.findall(r"[\p{L}\p{N}]", every))
+    out = []
+    for low in range(0, sys.maxunicode + 1, 1 << 12):  # in blocks, for all characters at once take some 60 MB
+        every = "".join(chr(c) for c in range(low, low + (1 << 12)) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and c not in new)
+        out += regex.findall(r"[\p{L}\p{N}]", every)
+    return "".join(out)
 
 
 class PairTable:
@@ -251,7 +256,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(path)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", PART):
                 ids = bpe.encode(part["_text"].to_pylist())
                 columns = [part[c] for c in kept] + [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.large_binary()), pa.array([bpe.decode(x) for x in ids], pa.large_string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_tokens", "ids", "decoded"])

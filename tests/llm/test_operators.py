@@ -189,6 +189,21 @@ def test_bpe_is_the_library(spark, sf_dir):
             assert out[i]["decoded"] == other.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_bounds_its_memory():
+    coder, rng = bpe.Bpe(bpe.default_tokenizer()), random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop0123", k=20)) for _ in range(30_000)]
+    tracemalloc.start()
+    try:
+        bpe.later_letters()
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20
+        tracemalloc.reset_peak()
+        found = coder.merged(words)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+    assert all(found[w] == coder.merged([w])[w] for w in words[::1000])
+
+
 # 1
 
 
@@ -791,6 +806,28 @@ def test_pipeline_of_repeated_rows_and_null_ids(spark, tmp_path):
     assert got == Counter(map(tuple, decoded.collect()))
 
 
+def test_pipeline_stages_send_small_batches(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(5000).cast("long").alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, before = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    try:
+        for name, stage in pipeline.STAGES:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+            stage(spark, docs.limit(0), str(tmp_path))
+            assert max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect()) < 5 << 20, name
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert pipeline.run(spark, str(tmp_path)).count() == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)
