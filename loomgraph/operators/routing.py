@@ -70,9 +70,15 @@ def single_domain_gate(pred: DataFrame, least: float = 0.5) -> DataFrame:
     return pred.select("qid", (~none("is_complex", False) & none("single_domain", False) & (none("confidence", 0.0) >= least)).alias("passes"))
 
 
-def vote_domains(candidates: DataFrame, texts: DataFrame, domains: DataFrame, default: str = "GENERAL") -> DataFrame:
-    """relation_id, domain: of each relation's candidates (relation_id, domain) the one whose keywords its text (relation_id,
-    text) hits most, ties by name; the default where none is hit."""
-    hits = keyword_scores(texts.select(F.col("relation_id").alias("qid"), "text"), domains).select(F.col("qid").alias("relation_id"), "domain", "hits")
-    best = top_per(candidates.join(hits, ["relation_id", "domain"]), 1, F.desc("hits"), "domain", by="relation_id", rank="_n").select("relation_id", F.col("domain").alias("voted"))
-    return candidates.select("relation_id").distinct().join(best, "relation_id", "left").select("relation_id", F.coalesce("voted", F.lit(default)).alias("domain"))
+def vote_domains(candidates: DataFrame, texts: DataFrame, domains: DataFrame, default: str = "GENERAL", relation: str | list[str] = "relation_id", of: str = "relation_id") -> DataFrame:
+    """relation, domain: of each relation's candidates (relation, domain) the one whose keywords its text (of, text) hits most,
+    ties by name; the default where none is hit. relation: the columns that name one; of: that of them by which texts are known.
+
+    Candidates are dealt out once, by `of`, for the hits and for the vote."""
+    keys = [relation] if isinstance(relation, str) else relation
+    hits = keyword_scores(texts.select(F.col(of).alias("qid"), "text"), domains).select(F.col("qid").alias(of), "domain", "hits")
+    lists = hits.groupBy(of).agg(F.collect_list(F.struct("domain", "hits")).alias("h"))
+    own = F.get(F.filter("h", lambda x: x["domain"] == F.col("domain")), F.lit(0))["hits"]
+    rated = candidates.join(lists, of, "left").select(*keys, F.struct((-own).alias("hits"), "domain").alias("r"))
+    best = rated.groupBy(*keys).agg(F.min(F.when(F.col("r.hits").isNotNull(), F.col("r")))["domain"].alias("voted"))
+    return best.select(*keys, F.coalesce("voted", F.lit(default)).alias("domain"))
